@@ -1,7 +1,7 @@
 """Content addresses as Column expressions: canonical JSON text and its sha256.
 
-Everything stays in the JVM. Only rows holding a control character other than the five with a short
-escape, or a character above U+FFFF, take the character-wise branch of :func:`jcs_string`.
+Everything stays in the JVM. One scan of a row's fields finds out whether any character needs an
+escape; the text of all other rows is a plain concatenation.
 """
 
 from pyspark.sql import Column, functions as F
@@ -13,7 +13,12 @@ _SHORT = (
     ("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"),
     ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
 )
+_ANY = r'[\\"\x00-\x1f\x{10000}-\x{10FFFF}]'
 _LONG = r"[\x00-\x07\x0b\x0e-\x1f\x{10000}-\x{10FFFF}]"
+# While a text is put together, _Q stands for a structural quote. A field's own _M is followed by
+# _N, so the two cannot be mixed up, and escaping runs once over the whole text.
+_M = "\x1e"
+_Q, _N = _M + "\x1d", _M + "\x1c"
 HEX64 = "^[0-9a-fA-F]{64}$"
 
 
@@ -21,77 +26,89 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _long_escape(ch: Column) -> Column:
-    cp = F.ascii(ch)
-    over = cp - F.lit(0x10000)
+def _long_escape(text: Column) -> Column:
+    """Writes control characters and surrogate halves as ``\\uxxxx``. The text is taken apart into
+    UTF-16 units in hex, the units to escape are spelled out, and all is put together again; only rows
+    that hold such a character get here."""
+    units = F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-16BE"))), "(.{4})", "$1 ")
+    digit = "([0-9a-f])"
+    wanted = f"(?:(d)([89a-f]){digit}{digit}|(0)(0)([01]){digit}) "
+    spelled = F.regexp_replace(units, wanted, "005c0075<$1$5><$2$6><$3$7><$4$8>")
+    for d in "0123456789abcdef":
+        spelled = F.replace(spelled, F.lit(f"<{d}>"), F.lit("%04x" % ord(d)))
+    escaped = F.decode(F.unhex(F.replace(spelled, F.lit(" "), F.lit(""))), "UTF-16BE")
+    return F.when(text.rlike(_LONG), escaped).otherwise(text)
 
-    def unit(v):
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(v)), 4, "0"))
 
-    return (
-        F.when(cp > 0xFFFF, F.concat(
-            unit(F.lit(0xD800) + F.shiftright(over, 10)),
-            unit(F.lit(0xDC00) + over.bitwiseAND(F.lit(0x3FF))),
-        ))
-        .when((cp < 0x20) & (ch != ""), unit(cp))
-        .otherwise(ch)
-    )
+def _marked(c) -> Column:
+    """A quoted field, still unescaped; see :func:`_escape`."""
+    return F.concat(F.lit(_Q), F.replace(c, F.lit(_M), F.lit(_N)), F.lit(_Q))
+
+
+def _plain(c) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _escape(marked: Column) -> Column:
+    """Canonical JSON from a text put together with :func:`_marked`."""
+    for ch, esc in _SHORT:
+        marked = F.replace(marked, F.lit(ch), F.lit(esc))
+    marked = F.replace(marked, F.lit(_Q), F.lit('"'))
+    return _long_escape(F.replace(marked, F.lit(_N), F.lit("\\u001e")))
+
+
+def _json(fields, make) -> Column:
+    """``make(s, t)`` puts the text together: ``s`` quotes a field and ``t`` is fixed JSON. ``fields``
+    are the values that may hold a character to escape."""
+    special = F.concat_ws("", *fields).rlike(_ANY)
+    marked = make(_marked, lambda t: F.lit(t.replace('"', _Q)))
+    return F.when(special, _escape(marked)).otherwise(make(_plain, F.lit))
 
 
 def jcs_string(c) -> Column:
     """The string as canonical JSON, quotes included."""
     c = _col(c)
-    short = c
-    for raw, esc in _SHORT:
-        short = F.replace(short, F.lit(raw), F.lit(esc))
-    long = F.array_join(F.transform(F.split(short, F.lit("")), _long_escape), "")
-    return F.concat(F.lit('"'), F.when(c.rlike(_LONG), long).otherwise(short), F.lit('"'))
+    return _json([c], lambda s, t: s(c))
 
 
-def _or_null(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit("null")).otherwise(jcs_string(c))
+def _columns(prefix, names):
+    return {n: F.col(prefix + n) for n in names}
 
 
-def _present(name: str, c: Column) -> Column:
-    """``"name":"value",`` or nothing when the field is absent or empty."""
-    return F.when(
-        F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'"{name}":'), jcs_string(c), F.lit(","))
-    ).otherwise(F.lit(""))
-
-
-def object_json(o) -> Column:
+def _object(o, s, t) -> Column:
     """The object union; absent members are left out."""
-    o = _col(o)
+    def member(name, before="", after=""):
+        c = o[name]
+        return F.when(
+            F.coalesce(c, F.lit("")) != "", F.concat(t(f'{before}"{name}":'), s(c), F.lit(after))
+        ).otherwise(F.lit(""))
+
     return F.concat(
-        F.lit("{"),
-        _present("datatype", o["datatype"]),
-        _present("iri", o["iri"]),
-        F.lit('"kind":'),
-        jcs_string(F.coalesce(o["kind"], F.lit(""))),
-        F.when(F.coalesce(o["literal"], F.lit("")) != "",
-               F.concat(F.lit(',"literal":'), jcs_string(o["literal"]))).otherwise(F.lit("")),
-        F.when(F.coalesce(o["ref"], F.lit("")) != "",
-               F.concat(F.lit(',"ref":'), jcs_string(o["ref"]))).otherwise(F.lit("")),
-        F.lit("}"),
+        F.lit("{"), member("datatype", after=","), member("iri", after=","), t('"kind":'),
+        s(F.coalesce(o["kind"], F.lit(""))), member("literal", before=","), member("ref", before=","), F.lit("}"),
     )
 
 
 def identity_json(prefix: str = "") -> Column:
     """Canonical text of a fact from the columns of the fact table."""
-    def c(n):
-        return F.col(prefix + n)
-
-    return F.concat(
-        F.lit('{"evidence_id":'), jcs_string(c("evidence_id")),
-        F.lit(',"normalizer":'), jcs_string(c("normalizer")),
-        F.lit(',"object":'), object_json(c("object")),
-        F.lit(',"observed_at":'), jcs_string(c("observed_at")),
-        F.lit(',"predicate":'), jcs_string(c("predicate")),
-        F.lit(',"revises":'), _or_null(c("revises")),
-        F.lit(',"subject":'), jcs_string(c("subject")),
-        F.lit(',"vocab":'), jcs_string(c("vocab")),
-        F.lit("}"),
-    )
+    c = _columns(prefix, ("evidence_id", "normalizer", "observed_at", "predicate", "revises", "subject", "vocab"))
+    o = F.col(prefix + "object")
+
+    def make(s, t):
+        return F.concat(
+            t('{"evidence_id":'), s(c["evidence_id"]),
+            t(',"normalizer":'), s(c["normalizer"]),
+            t(',"object":'), _object(o, s, t),
+            t(',"observed_at":'), s(c["observed_at"]),
+            t(',"predicate":'), s(c["predicate"]),
+            t(',"revises":'), F.coalesce(s(c["revises"]), F.lit("null")),
+            t(',"subject":'), s(c["subject"]),
+            t(',"vocab":'), s(c["vocab"]),
+            F.lit("}"),
+        )
+
+    members = [o[n] for n in ("kind", "iri", "literal", "datatype", "ref")]
+    return _json([*c.values(), *members], make)
 
 
 def identity_id(prefix: str = "") -> Column:
@@ -100,17 +117,19 @@ def identity_id(prefix: str = "") -> Column:
 
 def occurrence_json_head(prefix: str = "") -> Column:
     """Canonical text of an event up to the previous chain hash, which comes last."""
-    def c(n):
-        return F.col(prefix + n)
+    c = _columns(prefix, ("attestor", "attestor_role", "identity_id", "ingested_at", "log_id"))
 
-    return F.concat(
-        F.lit('{"attestor":'), jcs_string(c("attestor")),
-        F.lit(',"attestor_role":'), jcs_string(c("attestor_role")),
-        F.lit(',"identity_id":'), jcs_string(c("identity_id")),
-        F.lit(',"ingested_at":'), jcs_string(c("ingested_at")),
-        F.lit(',"log_id":'), jcs_string(c("log_id")),
-        F.lit(',"prev_chain_hash":'),
-    )
+    def make(s, t):
+        return F.concat(
+            t('{"attestor":'), s(c["attestor"]),
+            t(',"attestor_role":'), s(c["attestor_role"]),
+            t(',"identity_id":'), s(c["identity_id"]),
+            t(',"ingested_at":'), s(c["ingested_at"]),
+            t(',"log_id":'), s(c["log_id"]),
+            t(',"prev_chain_hash":'),
+        )
+
+    return _json(c.values(), make)
 
 
 def occurrence_json(prefix: str = "") -> Column:
@@ -157,77 +176,97 @@ def chain_hash(prev, occurrence) -> Column:
     )
 
 
-def _string_list(c: Column) -> Column:
+def _list(c: Column, s) -> Column:
     """A sorted list of strings; an undefined list stays ``null``."""
-    body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(c), jcs_string), ","), F.lit("]"))
-    return F.when(c.isNull(), F.lit("null")).otherwise(body)
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(c), s), ","), F.lit("]"))
+    return F.coalesce(body, F.lit("null"))
 
 
-def _map(c: Column, value) -> Column:
+def _map(c: Column, s, value) -> Column:
     entries = F.transform(
         F.array_sort(F.map_entries(c)),
-        lambda e: F.concat(jcs_string(e["key"]), F.lit(":"), value(e["value"])),
+        lambda e: F.concat(s(e["key"]), F.lit(":"), value(e["value"])),
     )
-    body = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
-    return F.when(c.isNull(), F.lit("null")).otherwise(body)
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")), F.lit("null"))
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, "")
+
+
+def id_list_json(prefix: str, name: str) -> Column:
+    c = F.col(prefix + name)
+    return _json([_joined(c)], lambda s, t: _list(c, s))
 
 
 def claim_json_parts(prefix: str = "") -> tuple[Column, Column, Column]:
     """Canonical text of a claim around its two lists of consumed ids: before the fact ids, between
     the lists, and after the evidence ids."""
-    def c(n):
-        return F.col(prefix + n)
-
-    d = c("derivation")
-    head = F.concat(
-        F.lit('{"derivation":{"input_counts":'), _map(d["input_counts"], lambda v: v.cast("string")),
-        F.lit(',"missing_predicates":'), _string_list(d["missing_predicates"]),
-        F.lit(',"rules_fired":'), _string_list(d["rules_fired"]),
-        F.lit('},"evaluator_version":'), jcs_string(c("evaluator_version")),
-        F.lit(',"identity_ids_consumed":'),
-    )
-    middle = F.concat(
-        F.lit(',"normalizer_versions":'), _map(c("normalizer_versions"), jcs_string),
-        F.lit(',"policy_hash":'), jcs_string(c("policy_hash")),
-        F.lit(',"policy_id":'), jcs_string(c("policy_id")),
-        F.lit(',"policy_version":'), jcs_string(c("policy_version")),
-        F.lit(',"qualifiers":'), _string_list(c("qualifiers")),
-        F.lit(',"query":'), jcs_string(c("query")),
-        F.lit(',"raw_evidence_ids_consumed":'),
-    )
-    tail = F.concat(
-        F.lit(',"subject":'), jcs_string(c("subject")),
-        F.lit(',"verdict":'), jcs_string(c("verdict")),
-        F.lit(',"vocab_version":'), jcs_string(c("vocab_version")),
-        F.lit("}"),
+    c = _columns(prefix, (
+        "evaluator_version", "normalizer_versions", "policy_hash", "policy_id", "policy_version",
+        "qualifiers", "query", "subject", "verdict", "vocab_version",
+    ))
+    d = F.col(prefix + "derivation")
+    versions = c["normalizer_versions"]
+
+    def head(s, t):
+        return F.concat(
+            t('{"derivation":{"input_counts":'), _map(d["input_counts"], s, lambda v: v.cast("string")),
+            t(',"missing_predicates":'), _list(d["missing_predicates"], s),
+            t(',"rules_fired":'), _list(d["rules_fired"], s),
+            t('},"evaluator_version":'), s(c["evaluator_version"]),
+            t(',"identity_ids_consumed":'),
+        )
+
+    def middle(s, t):
+        return F.concat(
+            t(',"normalizer_versions":'), _map(versions, s, s),
+            t(',"policy_hash":'), s(c["policy_hash"]),
+            t(',"policy_id":'), s(c["policy_id"]),
+            t(',"policy_version":'), s(c["policy_version"]),
+            t(',"qualifiers":'), _list(c["qualifiers"], s),
+            t(',"query":'), s(c["query"]),
+            t(',"raw_evidence_ids_consumed":'),
+        )
+
+    def tail(s, t):
+        return F.concat(
+            t(',"subject":'), s(c["subject"]),
+            t(',"verdict":'), s(c["verdict"]),
+            t(',"vocab_version":'), s(c["vocab_version"]),
+            F.lit("}"),
+        )
+
+    return (
+        _json([_joined(F.map_keys(d["input_counts"])), _joined(d["missing_predicates"]),
+               _joined(d["rules_fired"]), c["evaluator_version"]], head),
+        _json([_joined(F.map_keys(versions)), _joined(F.map_values(versions)), c["policy_hash"], c["policy_id"],
+               c["policy_version"], _joined(c["qualifiers"]), c["query"]], middle),
+        _json([c["subject"], c["verdict"], c["vocab_version"]], tail),
     )
-    return head, middle, tail
 
 
 def claim_id(prefix: str = "") -> Column:
     """Content id of a claim; id, signature, times, projection hashes and the cited events are
     outside it."""
     head, middle, tail = claim_json_parts(prefix)
-    return F.sha2(
-        F.concat(
-            head, _string_list(F.col(prefix + "identity_ids_consumed")),
-            middle, _string_list(F.col(prefix + "raw_evidence_ids_consumed")), tail,
-        ),
-        256,
-    )
+    ids, evidence = (id_list_json(prefix, n) for n in ("identity_ids_consumed", "raw_evidence_ids_consumed"))
+    return F.sha2(F.concat(head, ids, middle, evidence, tail), 256)
 
 
 def checkpoint_json(prefix: str = "") -> Column:
-    def c(n):
-        return F.col(prefix + n)
+    c = _columns(prefix, ("chain_hash", "log_id", "signed_at"))
 
-    return F.concat(
-        F.lit('{"chain_hash":'), jcs_string(c("chain_hash")),
-        F.lit(',"log_id":'), jcs_string(c("log_id")),
-        F.lit(',"seq":'), c("seq").cast("string"),
-        F.lit(',"signed_at":'), jcs_string(c("signed_at")),
-        F.lit("}"),
-    )
+    def make(s, t):
+        return F.concat(
+            t('{"chain_hash":'), s(c["chain_hash"]),
+            t(',"log_id":'), s(c["log_id"]),
+            t(',"seq":'), F.col(prefix + "seq").cast("string"),
+            t(',"signed_at":'), s(c["signed_at"]),
+            F.lit("}"),
+        )
+
+    return _json(c.values(), make)
 
 
 def signed_checkpoint_json(prefix: str = "") -> Column:
@@ -243,26 +282,23 @@ def checkpoint_iri(prefix: str = "") -> Column:
 
 def raw_metadata_json(prefix: str = "") -> Column:
     """Canonical text of a sidecar without its signature, which is what the signature covers."""
-    def c(n):
-        return F.col(prefix + n)
-
-    def s(n):
-        return jcs_string(F.coalesce(c(n), F.lit("")))
-
-    return F.concat(
-        F.lit('{"endpoint":'), s("endpoint"),
-        F.lit(',"fetched_at":'), s("fetched_at"),
-        F.lit(',"fetcher":'), s("fetcher"),
-        F.lit(',"id":'), s("id"),
-        F.lit(',"payload_hash":'), s("payload_hash"),
-        F.lit(',"payload_path":'), s("payload_path"),
-        F.lit(',"request_params":'), _map(c("request_params"), jcs_string),
-        F.lit(',"response_status":'), c("response_status").cast("string"),
-        F.when(c("result_count").isNotNull(),
-               F.concat(F.lit(',"result_count":'), c("result_count").cast("string"))).otherwise(F.lit("")),
-        F.lit(',"source":'), s("source"),
-        F.lit("}"),
-    )
+    names = ("endpoint", "fetched_at", "fetcher", "id", "payload_hash", "payload_path", "source")
+    c = {n: F.coalesce(v, F.lit("")) for n, v in _columns(prefix, names).items()}
+    params, count = F.col(prefix + "request_params"), F.col(prefix + "result_count").cast("string")
+
+    def make(s, t):
+        parts = []
+        for n in names[:-1]:
+            parts += [t(("{" if n == "endpoint" else ",") + f'"{n}":'), s(c[n])]
+        return F.concat(
+            *parts,
+            t(',"request_params":'), _map(params, s, s),
+            t(',"response_status":'), F.col(prefix + "response_status").cast("string"),
+            F.coalesce(F.concat(t(',"result_count":'), count), F.lit("")),
+            t(',"source":'), s(c["source"]), F.lit("}"),
+        )
+
+    return _json([*c.values(), _joined(F.map_keys(params)), _joined(F.map_values(params))], make)
 
 
 def content_hash(c, bits: int = 256) -> Column:
