@@ -1,0 +1,64 @@
+"""Ed25519 signature verification (RFC 8032) for use inside Arrow batches; no package for it is needed."""
+
+import hashlib
+
+P = 2**255 - 19
+L = 2**252 + 27742317777372353535851937790883648493
+D = -121665 * pow(121666, P - 2, P) % P
+ROOT = pow(2, (P - 1) // 4, P)
+
+
+def _recover(y: int, sign: int):
+    if y >= P:
+        return None
+    x2 = (y * y - 1) * pow(D * y * y + 1, P - 2, P) % P
+    if x2 == 0:
+        return None if sign else 0
+    x = pow(x2, (P + 3) // 8, P)
+    if (x * x - x2) % P:
+        x = x * ROOT % P
+    if (x * x - x2) % P:
+        return None
+    return P - x if x & 1 != sign else x
+
+
+def _decode(raw: bytes):
+    n = int.from_bytes(raw, "little")
+    y = n & (2**255 - 1)
+    x = _recover(y, n >> 255)
+    return None if x is None else (x, y, 1, x * y % P)
+
+
+def _add(p, q):
+    a = (p[1] - p[0]) * (q[1] - q[0]) % P
+    b = (p[1] + p[0]) * (q[1] + q[0]) % P
+    c = 2 * p[3] * q[3] * D % P
+    d = 2 * p[2] * q[2] % P
+    e, f, g, h = b - a, d - c, d + c, b + a
+    return e * f % P, g * h % P, f * g % P, e * h % P
+
+
+def _times(k: int, p):
+    q = (0, 1, 1, 0)
+    while k:
+        if k & 1:
+            q = _add(q, p)
+        p = _add(p, p)
+        k >>= 1
+    return q
+
+
+_BY = 4 * pow(5, P - 2, P) % P
+BASE = (lambda x: (x, _BY, 1, x * _BY % P))(_recover(_BY, 0))
+
+
+def verify(public_key: bytes, message: bytes, signature: bytes) -> bool:
+    if len(public_key) != 32 or len(signature) != 64:
+        return False
+    a, r = _decode(public_key), _decode(signature[:32])
+    s = int.from_bytes(signature[32:], "little")
+    if a is None or r is None or s >= L:
+        return False
+    h = int.from_bytes(hashlib.sha512(signature[:32] + public_key + message).digest(), "little") % L
+    left, right = _times(s, BASE), _add(r, _times(h, a))
+    return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0

@@ -1,15 +1,14 @@
 """Projected tables written once and read by every query after that.
 
-A table goes to a new directory in the shared folder the session names in ``spark.checkpoint.dir``;
-it counts as written when its manifest is there. Queries then get column pruning, partition pruning
+A table goes to a new directory in the shared folder the session names in ``spark.checkpoint.dir``.
+Queries then get column pruning, partition pruning
 on ``predicate`` and pushed-down filters instead of recomputing ids, and a lost executor costs a scan.
 """
 
-import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from factwright.operators import projection
 from factwright.plans import tables
@@ -29,17 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, path: str, partition_by=(), cluster_by=()) -> None:
-    """Writes a table with its manifest last. ``cluster_by`` range-partitions the rows, so that files
-    hold narrow ranges and a popular value is split over several tasks."""
+    """``cluster_by`` range-partitions the rows, so that files hold narrow ranges and a popular value
+    is split over several tasks."""
     if cluster_by:
         df = df.repartitionByRange(*cluster_by)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    manifest = json.dumps({"path": path, "schema": json.loads(df.schema.json())})
-    spark = df.sparkSession
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("error").text(f"{path}.manifest")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
