@@ -151,7 +151,8 @@ def source_flags(raw: DataFrame, policies) -> DataFrame:
     """One row: per source flag whether it holds, and per source how many rows there are."""
     flags = {f for p in policies for f in p.flags.values() if isinstance(f, Source)}
     sources = sorted({s for p in policies for s in p.required_raw_sources})
-    aggs = [F.count_if(F.col("source") == s).alias(f"n_{s}") for s in sources]
+    aggs = [F.count(F.lit(1)).alias("n_")]
+    aggs += [F.count_if(F.col("source") == s).alias(f"n_{s}") for s in sources]
     for f in sorted(flags, key=repr):
         hit = F.col("source") == f.source
         if f.positive:

@@ -132,7 +132,7 @@ def project_raw_evidence(raw: DataFrame, keep_sources: bool = False) -> DataFram
     (id, source), so that equal bytes from two sources both stay visible."""
     keys = ["id", "source"] if keep_sources else ["id"]
     rest = [c for c in RAW_COLUMNS if c not in keys]
-    first = F.min_by(F.struct(*rest), "payload_path")
+    first = F.min_by(F.struct(*rest), F.struct("payload_path", "endpoint"))
     return raw.groupBy(*keys).agg(first.alias("r")).select(*keys, "r.*").select(*RAW_COLUMNS)
 
 

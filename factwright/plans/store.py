@@ -49,6 +49,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(_written[key])
 
 
+def derived(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table computed from others, written on first use like the ones above."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/{abs(hash(sf)):x}/{name}"
+        write_table(build(), path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def facts(spark, sf) -> DataFrame:
     return table(spark, sf, "facts")
 
