@@ -183,7 +183,7 @@ def _bundles(spark, sf):
     text = k.cast("string")
     statement = F.concat(F.lit('{"subject":['), F.when(k % 5 == 0, F.lit("")).otherwise(
         F.concat(F.lit('{"name":"order-'), text, F.lit('","digest":{"sha256":"'), F.sha2(text, 256), F.lit('"}}'))), F.lit("]}"))
-    payload = F.when(k % 7 == 0, F.lit("")).otherwise(F.base64(statement.cast("binary")))
+    payload = F.when(k % 7 == 0, F.lit("")).otherwise(F.replace(F.base64(statement.cast("binary")), F.lit("\r\n"), F.lit("")))
     bundle = F.concat(F.lit('{"dsseEnvelope":{"payload":"'), payload, F.lit('"},"n":'), text, F.lit("}"))
     return tables.table(spark, sf, "orders").select("o_orderkey", bundle.alias("bundle"))
 

@@ -53,17 +53,20 @@ def chain_heads(spark, sf):
 
 
 _RAW = "id, source, endpoint, fetched_at, payload_path, CAST(result_count AS VARCHAR) AS result_count"
-_RAW_SPARK = ["id", "source", "endpoint", "fetched_at", "payload_path", F.col("result_count").cast("string").alias("result_count")]
+
+
+def _raw_columns(df):
+    return df.select("id", "source", "endpoint", "fetched_at", "payload_path", F.col("result_count").cast("string").alias("result_count"))
 
 
 @query("raw_content_dedup", sql(f"SELECT {_RAW} FROM raw", "raw"))
 def raw_content_dedup(spark, sf):
-    return P.project_raw_evidence(tables.raw_evidence(spark, sf)).select(*_RAW_SPARK)
+    return _raw_columns(P.project_raw_evidence(tables.raw_evidence(spark, sf)))
 
 
 @query("raw_keep_sources", sql(f"SELECT {_RAW} FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY payload_path, endpoint) AS rn FROM rawl) WHERE rn=1", "rawl"))
 def raw_keep_sources(spark, sf):
-    return P.project_raw_evidence(tables.raw_evidence(spark, sf), keep_sources=True).select(*_RAW_SPARK)
+    return _raw_columns(P.project_raw_evidence(tables.raw_evidence(spark, sf), keep_sources=True))
 
 
 @query("projected_facts", sql("SELECT * FROM facts", "facts"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factwright.functions.envelopes import _json, claim_id, claim_json_parts
 from factwright.operators import policy as policies_, snapshot
+from factwright.session import cut, union_all
 
 DOCUMENT_IDS = 20_000
 KEYS = ["subject", "policy_id", "policy_version"]
@@ -83,7 +84,6 @@ def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> Dat
         return rows.select(*KEYS, F.inline(F.array(piece(section, c, _json([c], lambda s, t: s(c))))))
 
     rows = listed(ids, 1, "identity_id").unionByName(listed(evidence, 3, "evidence_id"))
-    rows = rows.join(headers.select(*KEYS), KEYS, "left_semi")
     sizes = rows.groupBy(*KEYS).agg(
         F.count_if(F.col("__section") == 1).alias("__n1"), F.count_if(F.col("__section") == 3).alias("__n3")
     )
@@ -113,45 +113,51 @@ def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | Non
     verdicts = policies_.evaluate(facts, raw, policies, subjects)
     consumed = snapshot.consumed_facts(facts, policies, subjects)
     shared = snapshot.policy_raw_evidence(raw, policies)
-    headers = _headers(verdicts, snapshot.normalizer_versions(consumed), evaluator, evaluated_at,
-                       identities_hash, manifest_hash)
-
-    small = headers.where(F.col("__ids") <= document_ids)
-    few = consumed.join(small.select(*KEYS), KEYS, "left_semi")
-    own = _sorted_lists(few.select(*KEYS, "identity_id"), "identity_id", "identity_ids_consumed")
-    own_evidence = _sorted_lists(snapshot.consumed_evidence(few), "evidence_id", "__own")
-    # a policy whose sources hold more rows than a document may list has no small claim
+    # one row per claim; kept, as both paths and their filters start from it
+    headers = cut(_headers(verdicts, snapshot.normalizer_versions(consumed), evaluator, evaluated_at,
+                           identities_hash, manifest_hash))
+    is_large = F.col("__ids") > document_ids
+    large, small = headers.where(is_large), headers.where(~is_large)
+    if large.isEmpty():
+        return _documents(headers, consumed, shared, document_ids)
+    parts = [_streamed(large, consumed.join(large.select(*KEYS), KEYS, "left_semi"), shared)]
+    if not small.isEmpty():
+        parts.append(_documents(small, consumed.join(small.select(*KEYS), KEYS, "left_semi"), shared, document_ids))
+    return union_all(parts)
+
+
+COLUMNS = [
+    "id", *KEYS, "policy_hash", "query", "verdict", "qualifiers", "evaluated_at", "evaluator_version",
+    "identities_hash", "projection_manifest_hash", "vocab_version", "normalizer_versions",
+    "identity_ids_consumed", "raw_evidence_ids_consumed", "derivation",
+]
+
+
+def _documents(headers: DataFrame, consumed: DataFrame, shared: DataFrame, document_ids: int) -> DataFrame:
+    own = _sorted_lists(consumed.select(*KEYS, "identity_id"), "identity_id", "identity_ids_consumed")
+    own_evidence = _sorted_lists(snapshot.consumed_evidence(consumed), "evidence_id", "__own")
+    # a policy whose sources hold more rows than a document may list has no claim here
     sizes = shared.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("n"))
     listed = shared.join(sizes.where(F.col("n") <= document_ids), ["policy_id", "policy_version"], "left_semi")
     common = listed.groupBy("policy_id", "policy_version").agg(F.collect_list("evidence_id").alias("__shared"))
     none = F.array().cast("array<string>")
     all_evidence = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
     documents = (
-        small.join(own, KEYS, "left").join(own_evidence, KEYS, "left")
+        headers.join(own, KEYS, "left").join(own_evidence, KEYS, "left")
         .join(common, ["policy_id", "policy_version"], "left")
         .withColumn("raw_evidence_ids_consumed", F.when(F.size(all_evidence) > 0, all_evidence))
-        .withColumn("id", claim_id())
     )
-    columns = [
-        "id", *KEYS, "policy_hash", "query", "verdict", "qualifiers", "evaluated_at", "evaluator_version",
-        "identities_hash", "projection_manifest_hash", "vocab_version", "normalizer_versions",
-        "identity_ids_consumed", "raw_evidence_ids_consumed", "derivation",
-    ]
-    out = documents.select(*columns)
-
-    large = headers.where(F.col("__ids") > document_ids)
-    many = consumed.join(large.select(*KEYS), KEYS, "left_semi")
-    evidence = snapshot.consumed_evidence(many).unionByName(
-        shared.join(large.select(*KEYS), ["policy_id", "policy_version"]).select(*KEYS, "evidence_id")
+    return documents.withColumn("id", claim_id()).select(*COLUMNS)
+
+
+def _streamed(headers: DataFrame, consumed: DataFrame, shared: DataFrame) -> DataFrame:
+    evidence = snapshot.consumed_evidence(consumed).unionByName(
+        shared.join(headers.select(*KEYS), ["policy_id", "policy_version"]).select(*KEYS, "evidence_id")
     ).distinct()
-    hashed = streamed_ids(large, many.select(*KEYS, "identity_id"), evidence)
+    hashed = streamed_ids(headers, consumed.select(*KEYS, "identity_id"), evidence)
     null_list = F.lit(None).cast("array<string>")
-    rest = (
-        large.join(hashed, KEYS)
-        .withColumn("identity_ids_consumed", null_list)
-        .withColumn("raw_evidence_ids_consumed", null_list)
-    )
-    return out.unionByName(rest.select(*columns))
+    rows = headers.join(hashed, KEYS).withColumn("identity_ids_consumed", null_list)
+    return rows.withColumn("raw_evidence_ids_consumed", null_list).select(*COLUMNS)
 
 
 def with_citations(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
