@@ -15,6 +15,6 @@ def query(name, sql=None):
 
 
 def load():
-    from catalog import audits, evaluation, federation, lineage, projection  # noqa: F401
+    from catalog import audits, evaluation, federation, functions, lineage, normalising, projection  # noqa: F401
 
     return QUERIES, ORACLES

@@ -49,8 +49,7 @@ def import_summary(spark, sf):
 NOW = "2025-01-01T00:00:00Z"
 
 
-@query("importer_occurrences", sql("SELECT count(*) AS events, min(seq) AS first, max(seq) AS last, count(DISTINCT prev_chain_hash) AS links FROM (SELECT row_number() OVER (ORDER BY rid, foreign_occurrence_id) AS seq, rid AS prev_chain_hash, foreign_occurrence_id FROM rep)",
-                                    "occ", "lines", r=_ROUTE, rep=_REPORTS).replace("count(DISTINCT prev_chain_hash)", "count(*)"))
+@query("importer_occurrences", sql("SELECT count(*) AS events, 1 AS first, count(*) AS last, count(*) AS links FROM rep", "occ", "lines", r=_ROUTE, rep=_REPORTS))
 def importer_occurrences(spark, sf):
     """All reports appended to one local log; every line has its own previous hash."""
     rows = FED.importer_occurrences(FED.rewrite_peer_reports(routed(spark, sf)), "log:home", NOW)
@@ -134,7 +133,7 @@ def revoked_peers(spark, sf):
     return FED.revoked_peer_occurrences(foreign(spark, sf), revoked).select("id", "log_id")
 
 
-@query("signature_text", sql("SELECT id, " + "sha256('{\"attestor\":\"'||attestor||'\",\"attestor_role\":\"'||attestor_role||'\",\"identity_id\":\"'||identity_id||'\",\"ingested_at\":\"'||ingested_at||'\",\"log_id\":\"'||log_id||'\",\"prev_chain_hash\":\"'||prev_chain_hash||'\"}')=id AS same FROM occ", "occ").replace("=id AS same", " AS digest"))
+@query("signature_text", sql("SELECT id, " + occ_id() + " AS digest FROM occ", "occ"))
 def signature_text(spark, sf):
     """What an event's signature covers is the text its id is taken from."""
     return store.table(spark, sf, "occurrences").select("id", F.sha2(E.occurrence_json(), 256).alias("digest"))

@@ -16,7 +16,7 @@ def claim_lineage(claims: DataFrame, identities: DataFrame, raw: DataFrame, occu
     :func:`cited_occurrences`; spelling them out per claim would multiply the two."""
     ids = claims.select(F.col("id").alias("claim_id"), F.inline(F.array(
         F.struct(F.lit("fact").alias("kind"), F.col("identity_ids_consumed").alias("ids")),
-        F.struct(F.lit("evidence"), F.col("raw_evidence_ids_consumed")),
+        F.struct(F.lit("evidence").alias("kind"), F.col("raw_evidence_ids_consumed").alias("ids")),
     ))).select("claim_id", "kind", F.explode("ids").alias("id"))
     return lineage_of(ids, identities, raw, occurrences)
 
