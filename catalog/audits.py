@@ -145,7 +145,7 @@ def audit_rederive(spark, sf):
     """Stored claims, an eighth of them under a wrong id, evaluated again."""
     wrong = F.when(F.col("id") < "2", F.reverse("id")).otherwise(F.col("id"))
     claims = stored_claims(spark, sf).withColumn("id", wrong)
-    return rows(A.claim_rederivation(claims, store.facts(spark, sf), store.table(spark, sf, "raw_evidence"), HASHED))
+    return rows(A.claim_rederivation(claims, store.facts(spark, sf), store.table(spark, sf, "raw_lines"), HASHED, subject_scoped=True))
 
 
 @query("audit_laundering", sql("""SELECT 12 AS check_no, o.log_id, o.id AS key, CASE WHEN l.id IS NULL THEN 'names an unknown fact' ELSE 'laundering: verification' END AS reason FROM

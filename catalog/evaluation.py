@@ -43,12 +43,21 @@ ALL = f"""SELECT subject, 'release_signing' AS policy_id, 'v1' AS policy_version
     UNION ALL SELECT flags.subject, 'dependency_hygiene', 'v1', {V_DH}, {E_DH}, {Q_DH}, {T_DH}, {M_DH},
     'affected_by='||(n_vul+coalesce(d_vul,0))||',depends_on='||(n_dep+coalesce(d_dep,0))||',raw_evidence='||({RAW_DH}), 'v1' FROM flags LEFT JOIN near ON near.subject=flags.subject, rf"""
 NEEDS = ("flags", "rf", "near")
+SCOPED = ALL.replace(", rf", "").replace("flags", "fs")
+SCOPED_NEEDS = ("fs", "near")
 
 
 def evaluate(spark, sf, policies=G.BUILT_IN, raw=None):
     return G.evaluate(store.facts(spark, sf), store.table(spark, sf, "raw_evidence") if raw is None else raw, policies)
 
 
+@query("verdicts_scoped", sql("SELECT subject, policy_id, policy_version, verdict, error, qualifiers, counts FROM a", *SCOPED_NEEDS, a=SCOPED))
+def verdicts_scoped(spark, sf):
+    """Verdicts from the evidence that names each subject."""
+    rows = G.evaluate(store.facts(spark, sf), store.table(spark, sf, "raw_lines"), subject_scoped=True)
+    return rows.select("subject", "policy_id", "policy_version", "verdict", "error", F.array_join("qualifiers", ",").alias("qualifiers"), counts_text().alias("counts"))
+
+
 def counts_text():
     entries = F.array_sort(F.map_entries("input_counts"))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -187,13 +196,13 @@ def _pairs(expr):
 CLAIM_CTES = {
     "pos": POSITIONS,
     "c": CONSUMED,
-    "sh": SHARED,
-    "a": ALL,
+    "sh": SHARED.replace("s.policy_id, s.policy_version, raw.id", "raw.subject, s.policy_id, s.policy_version, raw.id").replace("FROM raw JOIN", "FROM rawl raw JOIN"),
+    "a": SCOPED,
     "nv": _VERSIONS,
     "nvj": "SELECT subject, policy_id, policy_version, '{'||string_agg('\"'||name||'\":\"'||version||'\"', ',' ORDER BY name)||'}' AS j FROM nv GROUP BY 1,2,3",
     "idj": "SELECT subject, policy_id, policy_version, string_agg('\"'||identity_id||'\"', ',' ORDER BY identity_id) AS j FROM c GROUP BY 1,2,3",
     "evj": """SELECT subject, policy_id, policy_version, string_agg('"'||evidence_id||'"', ',' ORDER BY evidence_id) AS j FROM (
-        SELECT subject, policy_id, policy_version, evidence_id FROM c UNION SELECT a.subject, a.policy_id, a.policy_version, sh.evidence_id FROM a JOIN sh USING (policy_id, policy_version)) GROUP BY 1,2,3""",
+        SELECT subject, policy_id, policy_version, evidence_id FROM c UNION SELECT subject, policy_id, policy_version, evidence_id FROM sh) GROUP BY 1,2,3""",
     "cl": f"""SELECT a.subject, a.policy_id, a.policy_version, a.verdict, sha256('{{"derivation":{{"input_counts":'||{_pairs("counts")}||',"missing_predicates":'||CASE WHEN missing='' THEN 'null' ELSE {_list("missing")} END
         ||',"rules_fired":'||{_list("trace")}||'}},"evaluator_version":"{C.EVALUATOR}","identity_ids_consumed":'||coalesce('['||idj.j||']','null')||',"normalizer_versions":'||coalesce(nvj.j,'{{}}')
         ||',"policy_hash":"{POLICY_HASH}","policy_id":"'||a.policy_id||'","policy_version":"'||a.policy_version||'","qualifiers":'||{_list("qualifiers")}||',"query":"data.'||a.policy_id||'.verdict","raw_evidence_ids_consumed":'
@@ -201,12 +210,12 @@ CLAIM_CTES = {
         LEFT JOIN idj USING (subject, policy_id, policy_version) LEFT JOIN nvj USING (subject, policy_id, policy_version) LEFT JOIN evj USING (subject, policy_id, policy_version)
         WHERE a.error IS NULL""",
 }
-CLAIM_NEEDS = ("facts", "edges", "raw", *NEEDS)
+CLAIM_NEEDS = ("facts", "edges", "raw", "rawl", *SCOPED_NEEDS)
 _CLAIMS = sql("SELECT subject, policy_id, policy_version, verdict, id FROM cl", *CLAIM_NEEDS, **CLAIM_CTES)
 
 
 def claims(spark, sf, **options):
-    return C.claims(store.facts(spark, sf), store.table(spark, sf, "raw_evidence"), HASHED, **options)
+    return C.claims(store.facts(spark, sf), store.table(spark, sf, "raw_lines"), HASHED, subject_scoped=True, **options)
 
 
 def stored_claims(spark, sf):
@@ -219,12 +228,10 @@ def claim_ids(spark, sf):
     return claims(spark, sf).select("subject", "policy_id", "policy_version", "verdict", "id")
 
 
-@query("claim_ids_streamed", sql("SELECT subject, policy_id, policy_version, verdict, id FROM cl WHERE policy_id='dependency_hygiene'", *CLAIM_NEEDS, **CLAIM_CTES))
+@query("claim_ids_streamed", _CLAIMS)
 def claim_ids_streamed(spark, sf):
-    """The same ids for claims too long to list: hashed as streams."""
-    facts, raw = store.facts(spark, sf), store.table(spark, sf, "raw_evidence")
-    rows = C.claims(facts, raw, [p for p in HASHED if p.id == "dependency_hygiene"], document_ids=0)
-    return rows.select("subject", "policy_id", "policy_version", "verdict", "id")
+    """The same ids as for claims too long to list: hashed as streams."""
+    return claims(spark, sf, document_ids=0).select("subject", "policy_id", "policy_version", "verdict", "id")
 
 
 @query("claim_lists", sql("""SELECT a.subject, a.policy_id, a.policy_version, len(string_split(idj.j,',')) AS facts, len(string_split(evj.j,',')) AS evidence FROM a

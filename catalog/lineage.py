@@ -30,13 +30,12 @@ SHOWN = "CASE kind WHEN 'literal' THEN '\"'||object||'\"^^'||datatype ELSE objec
 
 
 @query("claim_lineage", sql(f"""SELECT cl.id AS claim_id, 'fact' AS kind, c.identity_id AS id, 'true' AS found, d.subject||' '||d.predicate||' '||{SHOWN} AS detail, coalesce(n.n,0) AS occurrences
-    FROM cl JOIN c USING (subject, policy_id, policy_version) JOIN d ON d.id=c.identity_id LEFT JOIN (SELECT identity_id, count(*) AS n FROM occ GROUP BY 1) n ON n.identity_id=c.identity_id WHERE cl.policy_version='v2'
+    FROM cl JOIN c USING (subject, policy_id, policy_version) JOIN d ON d.id=c.identity_id LEFT JOIN (SELECT identity_id, count(*) AS n FROM occ GROUP BY 1) n ON n.identity_id=c.identity_id
     UNION ALL SELECT e.claim_id, 'evidence', e.evidence_id, CASE WHEN raw.id IS NULL THEN 'false' ELSE 'true' END, raw.source||' '||raw.endpoint, 0 FROM (
-    SELECT DISTINCT cl.id AS claim_id, x.evidence_id FROM cl JOIN (SELECT subject, policy_id, policy_version, evidence_id FROM c UNION SELECT a.subject, a.policy_id, a.policy_version, sh.evidence_id FROM a JOIN sh USING (policy_id, policy_version)) x
-    USING (subject, policy_id, policy_version) WHERE cl.policy_version='v2') e LEFT JOIN raw ON raw.id=e.evidence_id""", *CLAIM_NEEDS, "occ", "lines", **CLAIM_CTES, d=DISTINCT_LINES))
+    SELECT DISTINCT cl.id AS claim_id, x.evidence_id FROM cl JOIN (SELECT subject, policy_id, policy_version, evidence_id FROM c UNION SELECT subject, policy_id, policy_version, evidence_id FROM sh) x
+    USING (subject, policy_id, policy_version)) e LEFT JOIN raw ON raw.id=e.evidence_id""", *CLAIM_NEEDS, "occ", "lines", **CLAIM_CTES, d=DISTINCT_LINES))
 def claim_lineage(spark, sf):
-    claims = stored_claims(spark, sf).where("policy_version = 'v2'")
-    rows = L.claim_lineage(claims, lines(spark, sf), raw(spark, sf), occurrences(spark, sf))
+    rows = L.claim_lineage(stored_claims(spark, sf), lines(spark, sf), raw(spark, sf), occurrences(spark, sf))
     return rows.select("claim_id", "kind", "id", F.col("found").cast("string").alias("found"), "detail", "occurrences")
 
 

@@ -58,7 +58,7 @@ CTES = {
         FROM (SELECT predicate, id AS identity_id, subject, object, datatype AS object_datatype, observed_at, evidence_id, normalizer, min(ordinal) AS fo FROM lines GROUP BY ALL) g
         LEFT JOIN sup ON sup.target=g.identity_id AND sup.by_ordinal>g.fo"""),
     "rawl": ((), """SELECT sha256(text) AS id, src AS source, 'doc:'||d.doc_id AS endpoint, day||'T00:00:00Z' AS fetched_at,
-        'raw/'||src||'/'||day||'/'||sha256(text)||'.bin' AS payload_path, CAST(l.quality AS BIGINT) AS result_count, d.doc_id
+        'raw/'||src||'/'||day||'/'||sha256(text)||'.bin' AS payload_path, CAST(l.quality AS BIGINT) AS result_count, d.doc_id, 'pkg:tpch/order-'||d.doc_id AS subject
         FROM (SELECT *, CASE source WHEN 'src0' THEN 'npm.registry' WHEN 'src1' THEN 'sigstore.rekor' WHEN 'src2' THEN 'npm.attestations' WHEN 'src3' THEN 'osv.dev' ELSE source END AS src,
         '2024-01-'||lpad(CAST(doc_id%28+1 AS VARCHAR),2,'0') AS day FROM documents) d LEFT JOIN labels l ON l.doc_id=d.doc_id"""),
     "raw": (("rawl",), "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY payload_path, endpoint) AS rn FROM rawl) WHERE rn=1"),
@@ -87,6 +87,12 @@ CTES = {
     "rf": (("raw",), """SELECT coalesce(bool_or(source='sigstore.rekor'),false) AS rq, coalesce(bool_or(source='sigstore.rekor' AND coalesce(result_count,-1)>0),false) AS rh,
         coalesce(bool_or(source='npm.registry'),false) AS nq, coalesce(bool_or(source='npm.attestations'),false) AS af, coalesce(bool_or(source='osv.dev' AND endpoint<>''),false) AS oq,
         count(*) FILTER (source='sigstore.rekor') AS n_rq, count(*) FILTER (source='npm.registry') AS n_nq, count(*) FILTER (source='npm.attestations') AS n_af, count(*) FILTER (source='osv.dev') AS n_oq FROM raw"""),
+    # the same per subject, for evidence that names its subject
+    "rs": (("rawl",), """SELECT subject, bool_or(source='sigstore.rekor') AS rq, bool_or(source='sigstore.rekor' AND coalesce(result_count,-1)>0) AS rh,
+        bool_or(source='npm.registry') AS nq, bool_or(source='npm.attestations') AS af, bool_or(source='osv.dev' AND endpoint<>'') AS oq,
+        count(*) FILTER (source='sigstore.rekor') AS n_rq, count(*) FILTER (source='npm.registry') AS n_nq, count(*) FILTER (source='npm.attestations') AS n_af, count(*) FILTER (source='osv.dev') AS n_oq FROM rawl GROUP BY 1"""),
+    "fs": (("flags", "rs"), """SELECT flags.*, coalesce(rq,false) AS rq, coalesce(rh,false) AS rh, coalesce(nq,false) AS nq, coalesce(af,false) AS af, coalesce(oq,false) AS oq,
+        coalesce(n_rq,0) AS n_rq, coalesce(n_nq,0) AS n_nq, coalesce(n_af,0) AS n_af, coalesce(n_oq,0) AS n_oq FROM flags LEFT JOIN rs ON rs.subject=flags.subject"""),
     "edges": (("facts",), "SELECT DISTINCT subject, object FROM facts WHERE predicate='depends_on' AND superseded_by IS NULL AND subject<>object"),
     "near": (("edges", "flags"), "SELECT e.subject, CAST(sum(f.n_dep) AS BIGINT) AS d_dep, CAST(sum(f.n_vul) AS BIGINT) AS d_vul FROM edges e JOIN flags f ON f.subject=e.object GROUP BY 1"),
     "conv": ((), "SELECT * FROM conversations"),

@@ -119,12 +119,10 @@ def repository_url(doc) -> Column:
     s = F.btrim(F.when(field.startswith("{"), nested).otherwise(field))
     out = s
     for scheme in REPOSITORY_SCHEMES:
-        n = len(scheme)
-        out = F.when(out.startswith(scheme), F.substr(out, F.lit(n + 1))).otherwise(out)
+        out = F.regexp_replace(out, rf"^\Q{scheme}\E", "")
     out = F.regexp_replace(out, r"(?s)^(.*?)github\.com:", r"$1github.com/")
     out = F.regexp_replace(out, r"\.git$", "")
-    out = F.when(out.startswith("http"), out).otherwise(F.concat(F.lit("https://"), out))
-    return F.when(s == "", F.lit("")).otherwise(out)
+    return F.regexp_replace(out, "(?s)^(?!http)(?=.)", "https://")
 
 
 def owner_repo(c) -> Column:
@@ -208,7 +206,12 @@ def is_rfc3339(c) -> Column:
 def instant(c) -> Column:
     """The point in time, independent of the session zone; null unless strict RFC 3339."""
     c = _col(c)
-    return F.when(is_rfc3339(c), c.try_cast("timestamp"))
+    zone = r"([+-])([0-9]{2}):([0-9]{2})$"
+    local = F.regexp_replace(c, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "Z").try_cast("timestamp")
+    seconds = F.regexp_extract(c, zone, 2).try_cast("bigint") * 3600 + F.regexp_extract(c, zone, 3).try_cast("bigint") * 60
+    ahead = F.when(F.regexp_extract(c, zone, 1) == "-", -seconds).otherwise(seconds)
+    micros = F.unix_micros(local) - F.coalesce(ahead, F.lit(0)) * 1000000
+    return F.when(is_rfc3339(c), F.timestamp_micros(micros))
 
 
 def day_bucket(c) -> Column:

@@ -214,10 +214,11 @@ def claim_envelopes(claims: DataFrame) -> DataFrame:
     return violations(claims, 7, "file_id", reason)
 
 
-def claim_rederivation(claims: DataFrame, facts: DataFrame, raw: DataFrame, policies, evaluator: str = claims_.EVALUATOR) -> DataFrame:
+def claim_rederivation(claims: DataFrame, facts: DataFrame, raw: DataFrame, policies,
+                       evaluator: str = claims_.EVALUATOR, subject_scoped: bool = False) -> DataFrame:
     """Evaluates every claim's subject and policy again and compares the ids."""
     stored = claims.select("id", *claims_.KEYS)
-    again = claims_.claims(facts, raw, policies, claims.select("subject"), evaluator=evaluator)
+    again = claims_.claims(facts, raw, policies, claims.select("subject"), evaluator=evaluator, subject_scoped=subject_scoped)
     both = stored.join(again.select(*claims_.KEYS, F.col("id").alias("again")), claims_.KEYS, "left")
     absent = F.lit(False)
     for k in claims_.KEYS:

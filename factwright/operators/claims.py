@@ -107,12 +107,19 @@ def _sorted_lists(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | None = None, *,
            evaluator: str = EVALUATOR, evaluated_at: str = "", identities_hash: str = "",
-           manifest_hash: str = "", document_ids: int = DOCUMENT_IDS) -> DataFrame:
-    """Claim rows with their content ids. Subjects whose verdict rules conflict give no claim."""
+           manifest_hash: str = "", document_ids: int = DOCUMENT_IDS, subject_scoped: bool = False) -> DataFrame:
+    """Claim rows with their content ids. Subjects whose verdict rules conflict give no claim.
+
+    A claim names all evidence of its policy's sources, so claims about many subjects grow with
+    subjects times evidence. ``subject_scoped`` keeps to the evidence that names the claim's subject
+    and grows with the evidence alone; use it to evaluate everything."""
     policies = list(policies)
-    verdicts = policies_.evaluate(facts, raw, policies, subjects)
+    verdicts = policies_.evaluate(facts, raw, policies, subjects, subject_scoped)
     consumed = snapshot.consumed_facts(facts, policies, subjects)
-    shared = snapshot.policy_raw_evidence(raw, policies)
+    if subject_scoped:
+        shared = snapshot.subject_raw_evidence(raw, policies)
+    else:
+        shared = snapshot.policy_raw_evidence(raw, policies)
     # one row per claim; kept, as both paths and their filters start from it
     headers = cut(_headers(verdicts, snapshot.normalizer_versions(consumed), evaluator, evaluated_at,
                            identities_hash, manifest_hash))
@@ -135,24 +142,31 @@ COLUMNS = [
 
 def _documents(headers: DataFrame, consumed: DataFrame, shared: DataFrame, document_ids: int) -> DataFrame:
     own = _sorted_lists(consumed.select(*KEYS, "identity_id"), "identity_id", "identity_ids_consumed")
-    own_evidence = _sorted_lists(snapshot.consumed_evidence(consumed), "evidence_id", "__own")
-    # a policy whose sources hold more rows than a document may list has no claim here
-    sizes = shared.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("n"))
-    listed = shared.join(sizes.where(F.col("n") <= document_ids), ["policy_id", "policy_version"], "left_semi")
-    common = listed.groupBy("policy_id", "policy_version").agg(F.collect_list("evidence_id").alias("__shared"))
+    evidence = snapshot.consumed_evidence(consumed)
     none = F.array().cast("array<string>")
-    all_evidence = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
-    documents = (
-        headers.join(own, KEYS, "left").join(own_evidence, KEYS, "left")
-        .join(common, ["policy_id", "policy_version"], "left")
-        .withColumn("raw_evidence_ids_consumed", F.when(F.size(all_evidence) > 0, all_evidence))
-    )
+    documents = headers.join(own, KEYS, "left")
+    if "subject" in shared.columns:
+        named = shared.join(headers.select(*KEYS), KEYS, "left_semi").select(*evidence.columns)
+        lists = _sorted_lists(evidence.unionByName(named).distinct(), "evidence_id", "raw_evidence_ids_consumed")
+        documents = documents.join(lists, KEYS, "left")
+    else:
+        # a policy whose sources hold more rows than a document may list has no claim here
+        sizes = shared.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("n"))
+        listed = shared.join(sizes.where(F.col("n") <= document_ids), ["policy_id", "policy_version"], "left_semi")
+        common = listed.groupBy("policy_id", "policy_version").agg(F.collect_list("evidence_id").alias("__shared"))
+        both = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
+        documents = (
+            documents.join(_sorted_lists(evidence, "evidence_id", "__own"), KEYS, "left")
+            .join(common, ["policy_id", "policy_version"], "left")
+            .withColumn("raw_evidence_ids_consumed", F.when(F.size(both) > 0, both))
+        )
     return documents.withColumn("id", claim_id()).select(*COLUMNS)
 
 
 def _streamed(headers: DataFrame, consumed: DataFrame, shared: DataFrame) -> DataFrame:
+    by = [k for k in KEYS if k in shared.columns]
     evidence = snapshot.consumed_evidence(consumed).unionByName(
-        shared.join(headers.select(*KEYS), ["policy_id", "policy_version"]).select(*KEYS, "evidence_id")
+        shared.join(headers.select(*KEYS), by).select(*KEYS, "evidence_id")
     ).distinct()
     hashed = streamed_ids(headers, consumed.select(*KEYS, "identity_id"), evidence)
     null_list = F.lit(None).cast("array<string>")

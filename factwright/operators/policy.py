@@ -147,8 +147,9 @@ def visible(policy: Policy, flag) -> bool:
     return flag.source in policy.required_raw_sources
 
 
-def source_flags(raw: DataFrame, policies) -> DataFrame:
-    """One row: per source flag whether it holds, and per source how many rows there are."""
+def source_flags(raw: DataFrame, policies, by=()) -> DataFrame:
+    """One row (per subject with ``by=("subject",)``): per source flag whether it holds, and per source
+    how many rows there are."""
     flags = {f for p in policies for f in p.flags.values() if isinstance(f, Source)}
     sources = sorted({s for p in policies for s in p.required_raw_sources})
     aggs = [F.count(F.lit(1)).alias("n_")]
@@ -160,7 +161,7 @@ def source_flags(raw: DataFrame, policies) -> DataFrame:
         if f.endpoint:
             hit = hit & (F.coalesce("endpoint", F.lit("")) != "")
         aggs.append(F.coalesce(F.max(hit), F.lit(False)).alias(_source_name(f)))
-    return raw.where(F.col("source").isin(sources)).agg(*aggs)
+    return raw.where(F.col("source").isin(sources)).groupBy(*by).agg(*aggs)
 
 
 def _source_name(f: Source) -> str:
@@ -202,7 +203,7 @@ def _flag_columns(policy: Policy, raw_row: Column) -> dict[str, Column]:
         elif isinstance(f, Current):
             out[name] = F.coalesce(F.col(f"c_{f.predicate}"), F.lit(False))
         else:
-            out[name] = raw_row.getField(_source_name(f))
+            out[name] = F.coalesce(raw_row.getField(_source_name(f)), F.lit(False))
     return out
 
 
@@ -246,10 +247,14 @@ def _map_column(names, values) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values))
 
 
-def evaluate(facts: DataFrame, raw: DataFrame, policies=BUILT_IN, subjects: DataFrame | None = None) -> DataFrame:
+def evaluate(facts: DataFrame, raw: DataFrame, policies=BUILT_IN, subjects: DataFrame | None = None,
+             subject_scoped: bool = False) -> DataFrame:
     """One row per (subject, policy): verdict or error, qualifiers, rules fired, missing predicates
     and input counts. ``subjects`` (a ``subject`` column) restricts or extends the subjects; all
-    subjects with facts otherwise. Every list is bounded by the policy's own text."""
+    subjects with facts otherwise. Every list is bounded by the policy's own text.
+
+    Evidence counts for every subject, whichever it was fetched for. With ``subject_scoped``, evidence
+    counts only for the subject in its ``subject`` column."""
     policies = list(policies)
     base = subject_flags(facts, policies)
     deep = sorted({p for policy in policies if policy.neighborhood_depth >= 1 for p in policy.required_predicates})
@@ -258,9 +263,12 @@ def evaluate(facts: DataFrame, raw: DataFrame, policies=BUILT_IN, subjects: Data
         wide = subjects.select("subject").distinct().join(base, "subject", "left")
     if deep:
         wide = wide.join(neighbour_counts(facts, base, deep), "subject", "left")
-    raw_row = source_flags(raw, policies)
-    raw_struct = raw_row.select(F.struct(*[F.col(f"`{c}`") for c in raw_row.columns])).scalar()
-    wide = wide.withColumn("__raw", raw_struct)
+    raw_row = source_flags(raw, policies, by=("subject",) if subject_scoped else ())
+    raw_struct = F.struct(*[F.col(f"`{c}`") for c in raw_row.columns if c != "subject"])
+    if subject_scoped:
+        wide = wide.join(raw_row.select("subject", raw_struct.alias("__raw")), "subject", "left")
+    else:
+        wide = wide.withColumn("__raw", raw_row.select(raw_struct).scalar())
 
     rows = []
     for p in policies:
@@ -276,7 +284,7 @@ def evaluate(facts: DataFrame, raw: DataFrame, policies=BUILT_IN, subjects: Data
             if p.neighborhood_depth >= 1:
                 c = c + F.coalesce(F.col(f"d_{n}"), zero)
             counts.append(c)
-        raw_count = sum((F.col("__raw").getField(f"n_{s}") for s in p.required_raw_sources), zero)
+        raw_count = sum((F.coalesce(F.col("__raw").getField(f"n_{s}"), zero) for s in p.required_raw_sources), zero)
         rows.append(
             F.struct(
                 F.lit(p.id).alias("policy_id"),

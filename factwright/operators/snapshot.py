@@ -42,7 +42,7 @@ def current(facts: DataFrame, predicate: str | None = None) -> DataFrame:
     return rows if predicate is None else rows.where(F.col("predicate") == predicate)
 
 
-def _policy_names(policies, depth_from: int) -> DataFrame:
+def _policy_names(policies, depth_from: int) -> list:
     rows = []
     for p in policies:
         if p.neighborhood_depth >= depth_from:
@@ -71,9 +71,19 @@ def consumed_facts(facts: DataFrame, policies, subjects: DataFrame | None = None
 def policy_raw_evidence(raw: DataFrame, policies) -> DataFrame:
     """(policy_id, policy_version, evidence_id): the evidence every evaluation of a policy consumes.
     It is the same for all subjects and so is kept once per policy."""
+    return _wanted_evidence(raw, policies).select("policy_id", "policy_version", F.col("id").alias("evidence_id")).distinct()
+
+
+def subject_raw_evidence(raw: DataFrame, policies) -> DataFrame:
+    """(subject, policy_id, policy_version, evidence_id): the same for evidence that names its subject."""
+    keys = ["subject", "policy_id", "policy_version"]
+    return _wanted_evidence(raw, policies).select(*keys, F.col("id").alias("evidence_id")).distinct()
+
+
+def _wanted_evidence(raw: DataFrame, policies) -> DataFrame:
     rows = [(p.id, p.version, s) for p in policies for s in p.required_raw_sources]
     wanted = raw.sparkSession.createDataFrame(rows, "policy_id string, policy_version string, source string")
-    return raw.join(wanted, "source").select("policy_id", "policy_version", F.col("id").alias("evidence_id")).distinct()
+    return raw.join(wanted, "source")
 
 
 def consumed_evidence(consumed: DataFrame) -> DataFrame:

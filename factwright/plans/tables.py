@@ -57,6 +57,7 @@ def raw_evidence(spark, sf) -> DataFrame:
         F.col("id").alias("payload_hash"),
         "result_count",
         F.lit(None).cast("string").alias("signature"),
+        order_subject("doc_id").alias("subject"),
     )
 
 
