@@ -12,10 +12,11 @@ from factwright.sources import config, evidence, logs, sinks
 
 
 class Store(NamedTuple):
-    """A data folder as tables."""
+    """A data folder as tables. ``occurrences`` are the records a chain names, ``records`` all of them."""
     identities: DataFrame
     occurrences: DataFrame
     missing_records: DataFrame
+    records: DataFrame
     chain: DataFrame
     raw: DataFrame
     payloads: DataFrame
@@ -27,6 +28,7 @@ def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
         logs.read_identities(spark, f"{root}/assertions/identities"),
         occurrences,
         missing,
+        logs.read_occurrences_file_order(spark, root, local_log_id),
         logs.read_chain(spark, root, local_log_id),
         evidence.read_raw_metadata(spark, root),
         evidence.read_payloads(spark, root, content=True),
@@ -101,7 +103,7 @@ def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame |
         10: A.chain_integrity(chain.where(~local), 10),
         12: A.no_laundering(store.occurrences, store.identities),
         13: A.anchor_integrity(store.identities, bodies, chain),
-        14: A.orphans(store.occurrences, chain.where(F.col("malformed").isNull())),
+        14: A.orphans(store.records.withColumn("log_id", F.col("stored_log_id")), chain.where(F.col("malformed").isNull())),
         16: A.anchor_equivocation(store.identities, bodies),
         17: A.role_class(store.occurrences, store.identities),
     }

@@ -1,0 +1,47 @@
+import base64
+
+from pyspark.sql import functions as F
+
+from factwright import schemas
+from factwright.operators import audit as A, ed25519
+from tests import fixtures as X
+
+# Public key of the published example records.
+KEY = bytes.fromhex("e6c09f5b4cd2f4f0683df7ba8abc874f7a533337a195c5058a23504bf558bfd6")
+
+
+def test_rfc8032_vectors():
+    key = bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a")
+    sig = bytes.fromhex("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b")
+    assert ed25519.verify(key, b"", sig)
+    assert not ed25519.verify(key, b"x", sig)
+    key = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
+    sig = bytes.fromhex("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00")
+    assert ed25519.verify(key, b"\x72", sig)
+    assert not ed25519.verify(key[:31], b"\x72", sig)
+    assert not ed25519.verify(key, b"\x72", b"\xff" * 64)
+
+
+def test_published_event_signatures(spark):
+    events = spark.createDataFrame(X.OCCURRENCES, schemas.OCCURRENCE)
+    keys = spark.createDataFrame([(X.SIGNER, bytearray(KEY))], "fingerprint string, public_key binary")
+    assert A.occurrence_signatures(events, keys).count() == 0
+    bad = events.withColumn("ingested_at", F.lit("2026-01-03T00:00:00Z"))
+    assert {r.reason for r in A.occurrence_signatures(bad, keys).collect()} == {"signature does not verify"}
+
+
+def test_foreign_key_counts_whatever_the_header_names(spark):
+    events = spark.createDataFrame(X.OCCURRENCES, schemas.OCCURRENCE).withColumn("signature", F.regexp_replace("signature", X.SIGNER, "someoneelse"))
+    keys = spark.createDataFrame([("log:" + X.SIGNER, bytearray(KEY))], "log_id string, public_key binary")
+    assert A.foreign_signatures(events, keys).count() == 0
+    none = keys.where("false")
+    assert {r.reason for r in A.foreign_signatures(events, none).collect()} == {"peer not registered"}
+
+
+def test_header_reasons(spark):
+    sig = base64.b64encode(b"\0" * 64).decode()
+    cases = {"a:b": "malformed signature", "rsa:f:" + sig: "unsupported signature algorithm", "ed25519:g:" + sig: "unknown key", "ed25519:f:???": "signature is not base64"}
+    rows = [tuple([*X.OCCURRENCES[0][:-1], s]) for s in cases]
+    keys = spark.createDataFrame([("f", bytearray(KEY))], "fingerprint string, public_key binary")
+    got = A.occurrence_signatures(spark.createDataFrame(rows, schemas.OCCURRENCE), keys).collect()
+    assert sorted(r.reason for r in got) == sorted(cases.values())
