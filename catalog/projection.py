@@ -188,11 +188,10 @@ def _digest_sql(with_local):
         cols = ["id", "identity_id", "attestor", "attestor_role", "ingested_at", "log_id", "prev_chain_hash", "chain_hash", "NULL"]
         h += f" UNION ALL SELECT 'occurrences', {_row(cols)} FROM occ"
     needs = ["raw", "lines", "facts"] + (["occ"] if with_local else [])
-    step = "SELECT tbl, substr({c},1,{n})||sha256(string_agg({c},'' ORDER BY {c})) AS g, sum(n) AS n FROM {f} GROUP BY tbl, substr({c},1,{n})"
+    # one level of 4096 groups, the depth of the tree for up to 16 million rows
     return sql(
         "SELECT tbl AS \"table\", CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(g,'' ORDER BY g)) AS digest FROM one GROUP BY 1",
-        *needs, h0=h, h=f"SELECT tbl, h, 1 AS n FROM h0", two=step.format(c="h", n=6, f="h").replace(" AS g", " AS g2"),
-        one="SELECT tbl, substr(g2,1,3)||sha256(string_agg(g2,'' ORDER BY g2)) AS g, sum(n) AS n FROM two GROUP BY tbl, substr(g2,1,3)",
+        *needs, h=h, one="SELECT tbl, substr(h,1,3)||sha256(string_agg(h,'' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY tbl, substr(h,1,3)",
     )
 
 
@@ -204,17 +203,14 @@ def _projection(spark, sf):
     )
 
 
-DEPTH_ROWS = 4096**3  # a tree of two levels at every scale of the test tables
-
-
 @query("fact_digests", _digest_sql(False))
 def fact_digests(spark, sf):
-    return P.fact_digests(_projection(spark, sf), DEPTH_ROWS)
+    return P.fact_digests(_projection(spark, sf), store.table(spark, sf, "lines").count())
 
 
 @query("projection_digests", _digest_sql(True))
 def projection_digests(spark, sf):
-    return P.projection_digests(_projection(spark, sf), DEPTH_ROWS)
+    return P.projection_digests(_projection(spark, sf), store.table(spark, sf, "lines").count())
 
 
 @query("neighbourhood_1", sql("SELECT DISTINCT subject, subject AS member, 0 AS hops FROM facts UNION ALL SELECT subject, object, 1 FROM edges", "facts", "edges"))

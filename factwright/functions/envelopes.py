@@ -62,7 +62,10 @@ def _json(fields, make) -> Column:
     are the values that may hold a character to escape."""
     special = F.concat_ws("", *fields).rlike(_ANY)
     marked = make(_marked, lambda t: F.lit(t.replace('"', _Q)))
-    return F.when(special, _escape(marked)).otherwise(make(_plain, F.lit))
+    # A lambda is interpreted. That keeps the code of this rare branch out of the generated method,
+    # which would otherwise grow too long for the JIT compiler: measured, rows cost half as much.
+    escaped = F.get(F.transform(F.array(marked), _escape), F.lit(0))
+    return F.when(special, escaped).otherwise(make(_plain, F.lit))
 
 
 def jcs_string(c) -> Column:

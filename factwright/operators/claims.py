@@ -9,9 +9,9 @@ the same, is hashed from the sorted long rows as a stream, with constant memory.
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from factwright.functions.envelopes import _json, claim_id, claim_json_parts
+from factwright.functions.envelopes import _json, claim_id, claim_json_parts, split_normalizer
 from factwright.operators import policy as policies_, snapshot
 from factwright.session import cut, union_all
 
@@ -20,16 +20,9 @@ KEYS = ["subject", "policy_id", "policy_version"]
 EVALUATOR = "factwright@0.1.0/evaluator"
 
 
-def _headers(verdicts: DataFrame, versions: DataFrame, evaluator: str, evaluated_at: str,
-             identities_hash: str, manifest_hash: str) -> DataFrame:
-    maps = versions.groupBy(*KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "version"))).alias("normalizer_versions")
-    )
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+def _headers(verdicts: DataFrame, evaluator: str, evaluated_at: str, identities_hash: str, manifest_hash: str) -> DataFrame:
     return (
         verdicts.where(F.col("error").isNull())
-        .join(maps, KEYS, "left")
-        .withColumn("normalizer_versions", F.coalesce("normalizer_versions", empty))
         .withColumn("evaluator_version", F.lit(evaluator))
         .withColumn("evaluated_at", F.lit(evaluated_at))
         .withColumn("identities_hash", F.lit(identities_hash))
@@ -42,6 +35,12 @@ def _headers(verdicts: DataFrame, versions: DataFrame, evaluator: str, evaluated
     )
 
 
+def _versions(entries) -> Column:
+    """Normaliser name to version; a claim without facts has an empty map."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.map_from_entries(entries), empty).alias("normalizer_versions")
+
+
 def _hash_stream(batches):
     key, digest, first, done = None, None, True, []
     for batch in batches:
@@ -101,10 +100,6 @@ def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> Dat
     return stream.mapInArrow(_hash_stream, ", ".join(f"{k} string" for k in [*KEYS, "id"]))
 
 
-def _sorted_lists(rows: DataFrame, value: str, name: str) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(value)).alias(name))
-
-
 def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | None = None, *,
            evaluator: str = EVALUATOR, evaluated_at: str = "", identities_hash: str = "",
            manifest_hash: str = "", document_ids: int = DOCUMENT_IDS, subject_scoped: bool = False) -> DataFrame:
@@ -121,15 +116,16 @@ def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | Non
     else:
         shared = snapshot.policy_raw_evidence(raw, policies)
     # one row per claim; kept, as both paths and their filters start from it
-    headers = cut(_headers(verdicts, snapshot.normalizer_versions(consumed), evaluator, evaluated_at,
-                           identities_hash, manifest_hash))
+    headers = cut(_headers(verdicts, evaluator, evaluated_at, identities_hash, manifest_hash))
     is_large = F.col("__ids") > document_ids
     large, small = headers.where(is_large), headers.where(~is_large)
     if large.isEmpty():
         return _documents(headers, consumed, shared, document_ids)
     parts = [_streamed(large, consumed.join(large.select(*KEYS), KEYS, "left_semi"), shared)]
     if not small.isEmpty():
-        parts.append(_documents(small, consumed.join(small.select(*KEYS), KEYS, "left_semi"), shared, document_ids))
+        by = [k for k in KEYS if k in shared.columns]
+        near = shared.join(small.select(*by).distinct(), by, "left_semi")
+        parts.append(_documents(small, consumed.join(small.select(*KEYS), KEYS, "left_semi"), near, document_ids))
     return union_all(parts)
 
 
@@ -140,31 +136,46 @@ COLUMNS = [
 ]
 
 
+def _per_claim(consumed: DataFrame) -> DataFrame:
+    """Lists of ids and normaliser versions of claims short enough to list, in one shuffle: both steps
+    group rows that already lie together."""
+    named = consumed.withColumn("n", split_normalizer("normalizer")).repartition(*KEYS)
+    evidence = F.collect_set(F.when(F.coalesce("evidence_id", F.lit("")) != "", F.col("evidence_id")))
+    by_name = named.groupBy(*KEYS, F.col("n.name").alias("name")).agg(
+        F.collect_list("identity_id").alias("ids"), evidence.alias("evidence"),
+        F.max(F.struct("position", "identity_id", F.col("n.version").alias("version"))).alias("last"),
+    )
+    version = F.when(F.col("name") != "", F.struct("name", F.col("last.version").alias("version")))
+    return by_name.groupBy(*KEYS).agg(
+        F.array_sort(F.flatten(F.collect_list("ids"))).alias("identity_ids_consumed"),
+        F.array_distinct(F.flatten(F.collect_list("evidence"))).alias("__own"),
+        F.collect_list(version).alias("__versions"),
+    )
+
+
 def _documents(headers: DataFrame, consumed: DataFrame, shared: DataFrame, document_ids: int) -> DataFrame:
-    own = _sorted_lists(consumed.select(*KEYS, "identity_id"), "identity_id", "identity_ids_consumed")
-    evidence = snapshot.consumed_evidence(consumed)
-    none = F.array().cast("array<string>")
-    documents = headers.join(own, KEYS, "left")
+    documents = headers.join(_per_claim(consumed), KEYS, "left")
     if "subject" in shared.columns:
-        named = shared.join(headers.select(*KEYS), KEYS, "left_semi").select(*evidence.columns)
-        lists = _sorted_lists(evidence.unionByName(named).distinct(), "evidence_id", "raw_evidence_ids_consumed")
+        lists = shared.groupBy(*KEYS).agg(F.collect_list("evidence_id").alias("__shared"))
         documents = documents.join(lists, KEYS, "left")
     else:
         # a policy whose sources hold more rows than a document may list has no claim here
         sizes = shared.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("n"))
         listed = shared.join(sizes.where(F.col("n") <= document_ids), ["policy_id", "policy_version"], "left_semi")
         common = listed.groupBy("policy_id", "policy_version").agg(F.collect_list("evidence_id").alias("__shared"))
-        both = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
-        documents = (
-            documents.join(_sorted_lists(evidence, "evidence_id", "__own"), KEYS, "left")
-            .join(common, ["policy_id", "policy_version"], "left")
-            .withColumn("raw_evidence_ids_consumed", F.when(F.size(both) > 0, both))
-        )
+        documents = documents.join(common, ["policy_id", "policy_version"], "left")
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
+    documents = documents.withColumn("normalizer_versions", _versions(F.col("__versions"))).withColumn(
+        "raw_evidence_ids_consumed", F.when(F.size(both) > 0, both)
+    )
     return documents.withColumn("id", claim_id()).select(*COLUMNS)
 
 
 def _streamed(headers: DataFrame, consumed: DataFrame, shared: DataFrame) -> DataFrame:
     by = [k for k in KEYS if k in shared.columns]
+    names = snapshot.normalizer_versions(consumed).groupBy(*KEYS).agg(F.collect_list(F.struct("name", "version")).alias("__versions"))
+    headers = headers.join(names, KEYS, "left").withColumn("normalizer_versions", _versions(F.col("__versions")))
     evidence = snapshot.consumed_evidence(consumed).unionByName(
         shared.join(headers.select(*KEYS), by).select(*KEYS, "evidence_id")
     ).distinct()

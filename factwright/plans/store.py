@@ -5,28 +5,15 @@ Queries then get column pruning, partition pruning
 on ``predicate`` and pushed-down filters instead of recomputing ids, and a lost executor costs a scan.
 """
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from factwright.operators import projection
 from factwright.plans import tables
+from factwright.session import shared_folder
 
-_folders: dict[str, str] = {}
 _written: dict[tuple, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app not in _folders:
-        named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        base = named or tempfile.mkdtemp(prefix="spark-")
-        _folders[app] = f"{base}/factwright-{app}-{uuid.uuid4().hex[:8]}"
-    return _folders[app]
-
-
 def write_table(df: DataFrame, path: str, partition_by=(), cluster_by=()) -> None:
     """``cluster_by`` range-partitions the rows, so that files hold narrow ranges and a popular value
     is split over several tasks."""

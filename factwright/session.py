@@ -1,6 +1,7 @@
 """Session settings and the two helpers that need the session."""
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,27 @@ def build(master="local[*]", shuffle_partitions=None, **conf) -> SparkSession:
     return b.getOrCreate()
 
 
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for this application under the one the cluster names in ``spark.checkpoint.dir``. Only
+    where none is named, as in tests, is it made in a local one."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app not in _folders:
+        named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        base = named or tempfile.mkdtemp(prefix="spark-")
+        _folders[app] = f"{base}/factwright-{app}-{uuid.uuid4().hex[:8]}"
+    return _folders[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a loop's plan stays small and lost
-    executors cost one step. The cluster names the folder in ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """Cuts the lineage by writing a table to the shared folder and reading it back, so that a loop's plan
+    stays small, nothing is computed twice and a lost executor costs a scan."""
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def union_all(frames) -> DataFrame:
