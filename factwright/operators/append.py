@@ -50,6 +50,7 @@ def append_occurrences(new: DataFrame, heads: DataFrame | None = None, order=("i
     else:
         known = heads.select("log_id", F.col("seq").alias("__seq"), F.col("chain_hash").alias("__stored"))
         rows = rows.join(known, "log_id", "left").fillna({"__seq": 0, "__stored": GENESIS})
+        rows = rows.select(*new.columns, "__head", "__seq", "__stored")
     schema = T.StructType(
         [f for f in new.schema.fields]
         + [T.StructField("seq", T.LongType())]
