@@ -95,7 +95,6 @@ CTES = {
         coalesce(n_rq,0) AS n_rq, coalesce(n_nq,0) AS n_nq, coalesce(n_af,0) AS n_af, coalesce(n_oq,0) AS n_oq FROM flags LEFT JOIN rs ON rs.subject=flags.subject"""),
     "edges": (("facts",), "SELECT DISTINCT subject, object FROM facts WHERE predicate='depends_on' AND superseded_by IS NULL AND subject<>object"),
     "near": (("edges", "flags"), "SELECT e.subject, CAST(sum(f.n_dep) AS BIGINT) AS d_dep, CAST(sum(f.n_vul) AS BIGINT) AS d_vul FROM edges e JOIN flags f ON f.subject=e.object GROUP BY 1"),
-    "conv": ((), "SELECT * FROM conversations"),
 }
 
 
