@@ -2,9 +2,44 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import minhash
+from factwright.llm import minhash, mixing, sharding, winnow
 from factwright.llm.common import ORACLES, QUERIES, query, table
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op1_hash_threshold_mix", r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+w AS (SELECT source, s, 3.0::DOUBLE * s AS most, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM s),
+o AS (SELECT *, most / w AS edge, (sum(s) OVER ())::DOUBLE AS total, coalesce(sum(most) OVER before, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS free
+    FROM w WINDOW before AS (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((total - held) / free, edge) FILTER (WHERE (total - held) / free <= edge) AS l FROM o),
+t AS (SELECT source, s, round(least(most, l * w), 6) AS target FROM o, level),
+p AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole FROM t),
+g AS (SELECT d.source, h, sum(size) AS words FROM d GROUP BY d.source, h),
+c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+x AS (SELECT c.source, h, p.s > 0 AND target - whole * s > 0 AND upto - words / 2.0 <= target - whole * s AS extra FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source)
+SELECT d.doc_id, d.size, p.s AS source_size, p.target, d.size * (p.whole + x.extra::BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
+""")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = mixing.cut(docs.select("doc_id", "source", mixing.size().alias("size"), mixing.mix_hash().alias("hash")))
+    plan = mixing.thresholds(rows, mixing.targets(rows))
+    return mixing.copies(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op3_sampled_splitters")
+def op3(spark, sf):
+    keyed = table(spark, sf, "documents").select(
+        "doc_id", sharding.size().alias("_size"), sharding.key().alias("_key"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    keyed = sharding.cut(keyed.withColumn("size", F.col("_size")))
+    out = sharding.shard(keyed, 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
 
 @query("op7_minhash_near_dedup")
 def op7(spark, sf):
@@ -12,5 +47,23 @@ def op7(spark, sf):
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+@query("op10_winnowing", rf"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (s) WHERE dw.n = bw.n),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+""")
+def op10(spark, sf):
+    found = winnow.report(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def load():
     return QUERIES, ORACLES
