@@ -8,8 +8,8 @@ threshold. What is left is confirmed on the full sets.
 
 No bucket is expanded into its pairs. Its members are first compared with one hub, the class that shares most
 buckets (the original of edited copies, as a rule). Only members which that leaves in different components are compared
-further, with their best partner in each other component, and then, for what is still apart, with all others, in
-blocks of bounded size. The packed bits are compared within the join, so that only pairs which pass become rows.
+further, in blocks of bounded size: the packed bits first, then the full sets. A pair is looked at in the first bucket
+that it shares, and only links that join two components become rows.
 
 Defined cases: a null, empty or wordless text has no shingles and no links; a text of fewer words than a shingle has
 one shingle, the whole sequence; documents without id get the least id of their group, or null, and are never kept;
@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factwright.llm import words as W
 from factwright.llm.common import components, in_arrow, row_key
-from factwright.session import cut, union_all
+from factwright.session import cut
 
 BANDS, ROWS = 28, 6
 SLOTS = 160  # minima whose two low bits are kept, 32 to a long
 LONGS = SLOTS // 32
 MARGIN = 0.2
 BLOCK = 1024  # members of a bucket that one group compares with as many others
+BLOCK_SHINGLES = 1 << 20  # and their shingles
 
 _PERMUTATIONS = (np.random.default_rng(20240607).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _BAND = [f"b{i}" for i in range(BANDS)]
@@ -94,26 +95,32 @@ def estimate(left: str, right: str) -> Column:
     return (1 - differ / SLOTS - 0.25) / 0.75
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """Per row of (node, text): node, shingles, the sorted hashes of its set, 8 bytes each."""
+
+    def each(batch):
+        for first, offsets, raw in W.blocks(batch.column("text")):
+            w = W.split(offsets, raw)
+            sets = [W.shingles(w.hash[w.bound[i] : w.bound[i + 1]], size).tobytes() for i in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(sets)), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return in_arrow(docs.select("node", "text"), "node long, shingles binary", each)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
 
     def each(batch):
-        sets = []
-        for c in ("text_a", "text_b"):
-            own = []
-            for _, offsets, raw in W.blocks(batch.column(c)):
-                w = W.split(offsets, raw)
-                own += [W.shingles(w.hash[w.bound[i] : w.bound[i + 1]], size) for i in range(len(offsets) - 1)]
-            sets.append(own)
         keep = []
-        for x, y in zip(*sets):
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), "a long, b long", each)
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    return in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), "a long, b long", each)
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -137,27 +144,98 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(mixed, "bucket")
 
 
-def _blockwise(apart: DataFrame, classes: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of one bucket and different components that may be as similar as asked for, the estimate being part of
-    the join condition, so that no other pair becomes a row. A bucket of m members is dealt to (m / BLOCK)^2 / 2 keys of
-    at most two blocks of about BLOCK members. With ``best_only``, just each member's best partner in every other component."""
-    own = apart.join(classes.select("node", "n_shingles", *_LOW), "node")
-    sizes = own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``estimate`` for packed bits a against each row of b."""
+    x = b ^ a
+    return (1 - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int32) / SLOTS - 0.25) / 0.75
+
+
+def _links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of one group's members, enough to join all that are linked. A pair is looked at in
+    the first bucket that it shares. Members of one block are compared among themselves, of two with the other's."""
+    block, node, comp, n = (rows.column(c).to_numpy() for c in ("block", "node", "component", "n_shingles"))
+    bits = np.stack([rows.column(c).to_numpy() for c in _LOW], axis=1).view(np.uint64)
+    bands = np.stack([rows.column(c).to_numpy() for c in _BAND], axis=1)
+    here = int(np.argmax(bands[0] == rows.column("bucket")[0].as_py()))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    ids = np.split(ids, ends[:-1])
+    lone = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out, mine, flag = [], comp.copy(), np.zeros(len(values), np.int32)
+    counts = {c: k for c, k in zip(*np.unique(comp, return_counts=True))}
+    order = sorted(range(len(node)), key=lambda k: (counts[comp[k]], node[k]))  # members of small components first
+    done = np.zeros(len(node), bool)
+    for a in order:
+        done[a] = True
+        other = (mine != mine[a]) & ~done & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        if not lone:
+            other &= block != block[a]
+        b = np.flatnonzero(other)
+        b = b[_estimates(bits[a], bits[b]) >= percent / 100 - MARGIN]
+        b = b[np.argmax(bands[b] == bands[a], axis=1) == here]
+        if not len(b):
+            continue
+        flag[ids[a]] = 1
+        both = np.add.reduceat(flag[np.concatenate([ids[k] for k in b])], np.concatenate([[0], np.cumsum(n[b])[:-1]]))
+        flag[ids[a]] = 0
+        linked = False
+        for k in b[100 * both >= percent * (n[b] + n[a] - both)]:
+            x, y = find(comp[a].item()), find(comp[k].item())
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((node[a].item(), node[k].item()))
+                linked = True
+        if linked:
+            mine = np.array([find(c) for c in comp.tolist()])
+    return out
+
+
+def _blockwise(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links between components that share a bucket. A bucket is dealt to groups of at most two blocks of
+    about BLOCK members and BLOCK_SHINGLES shingles, so that each pair of blocks meets once; only links become rows."""
+    own = apart.join(classes.select("node", "n_shingles", *_LOW, *_BAND), "node").join(sets, "node")
+    many = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = apart.join(classes.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.ceil(many).alias("blocks"))
     dealt = own.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    upper = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("x")
-    lower = dealt.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other")))).alias("y")
-    same = F.col("x.block") == F.col("x.other")
-    on = (
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.other") == F.col("y.other"))
-        & (F.col("x.component") != F.col("y.component")) & (~same | (F.col("x.node") < F.col("y.node"))) & _alike("x", "y", percent)
-    )
-    found = upper.join(lower, on)
-    a, b = F.col("x.node"), F.col("y.node")
-    if best_only:
-        best = F.max(F.struct(estimate("x", "y"), b)).getField("node")
-        found = found.groupBy(a.alias("own"), F.col("y.component")).agg(best.alias("partner"))
-        a, b = F.col("own"), F.col("partner")
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    keys = ["bucket", "i", "j"]
+    dealt = dealt.select(*keys, "block", "node", "component", "n_shingles", *_LOW, *_BAND, "shingles").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            k = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for x, y in zip(starts, starts[1:]):
+                if x == y:
+                    continue
+                key = tuple(k[x].tolist())
+                if key != last and held:
+                    yield from emit(held)
+                    held = []
+                held.append(table.slice(x, y - x))
+                last = key
+        if held:
+            yield from emit(held)
+
+    def emit(held):
+        out = _links(pa.concat_tables(held).combine_chunks(), percent)
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -182,20 +260,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     wanted = members.select("node").distinct().join(classes.select("node", "key"), "node")
     # equal rows share a key, hence one text of each
     texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    links = [cut(_confirm(tested, texts, size, percent))]
-    tries = [tested]
-    labels = components(links[0])
-    for best_only in (True, False):
-        left = cut(_apart(members.select("bucket", "node"), labels))
-        if left.isEmpty():
-            break
-        pairs = _blockwise(left, classes, percent, best_only).join(union_all(tries), ["a", "b"], "left_anti")
-        tries.append(cut(pairs))
-        more = cut(_confirm(tries[-1], texts, size, percent))
-        if not more.isEmpty():
-            links.append(more)
-            labels = components(union_all(links))
+    sets = cut(shingle_sets(texts, size))
+    links = cut(_confirm(tested, sets, percent))
+    labels = components(links)
+    left = cut(_apart(members.select("bucket", "node"), labels))
+    more = cut(_blockwise(left, classes, sets, percent))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
