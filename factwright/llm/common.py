@@ -41,6 +41,17 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def carry(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Rows as one struct, ``row``, beside what an operator works out of them, so that no name can clash. ``select("row.*")`` gives
+    them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose ``row_key`` is not in the column ``key``."""
+    return carry(docs, key=row_key("doc_id", "text")).join(keys.select("key").distinct(), "key", "left_anti").select("row.*")
+
+
 def in_arrow(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]]) -> DataFrame:
     """``df`` through a function of record batches."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factwright.llm import words as W
-from factwright.llm.common import components, in_arrow, row_key
+from factwright.llm.common import carry, components, in_arrow, row_key, without
 from factwright.session import cut
 
 BANDS, ROWS = 28, 6
@@ -282,7 +282,7 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose id is the least of their group, repeated rows of it once; texts without words and
     documents without id stay, as nothing says that they are copies."""
     found = groups(docs, size, percent)
-    drop = found.where("doc_id is not null and doc_id <> component_id").select("key").distinct()
-    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(drop.withColumnRenamed("key", "_key"), "_key", "left_anti")
-    with_id = kept.where("doc_id is not null and text is not null").dropDuplicates(["doc_id", "_key"])
-    return with_id.unionByName(kept.where("doc_id is null or text is null")).drop("_key")
+    rest = without(docs, found.where("doc_id is not null and doc_id <> component_id"))
+    once = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    rows = carry(rest, key=row_key("doc_id", "text"), id=F.col("doc_id"), once=once)
+    return rows.where("once").dropDuplicates(["id", "key"]).unionByName(rows.where("not once")).select("row.*")

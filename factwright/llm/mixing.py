@@ -15,7 +15,7 @@ table gives an empty mix."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factwright.llm.common import WORD, id_text
+from factwright.llm.common import WORD, carry, id_text
 from factwright.operators.ordering import row_numbers
 from factwright.session import cut
 
@@ -92,11 +92,9 @@ def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
-    names = docs.columns
-    sized = docs.withColumns({"_size": size(), "_hash": mix_hash()})
-    rows = cut(sized.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")))
-    p = thresholds(rows, targets(rows, weights, cap)).withColumnRenamed("source", "_source").select("_source", "whole", "limit")
-    taken = sized.join(p, F.col("source").eqNullSafe(F.col("_source")), "left")
-    times = F.coalesce(F.col("whole") + (F.col("_hash") < F.col("limit")).cast("long"), F.lit(0).cast("long"))
-    taken = taken.withColumn("_times", times).where("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*names)
+    sized = carry(docs, _source=F.col("source"), size=size(), hash=mix_hash())
+    rows = cut(sized.select(F.col("_source").alias("source"), "size", "hash"))
+    p = thresholds(rows, targets(rows, weights, cap)).select("source", "whole", "limit")
+    times = F.coalesce(F.col("whole") + (F.col("hash") < F.col("limit")).cast("long"), F.lit(0).cast("long"))
+    taken = sized.join(p, F.col("source").eqNullSafe(F.col("_source")), "left").select("row", times.cast("int").alias("times"))
+    return taken.where("times > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import minhash, mixing, sharding, winnow
+from factwright.llm import minhash, mixing, resample, sharding, winnow
 from factwright.llm.common import ORACLES, QUERIES, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,11 +34,16 @@ def op1(spark, sf):
 
 @query("op3_sampled_splitters")
 def op3(spark, sf):
-    keyed = table(spark, sf, "documents").select(
-        "doc_id", sharding.size().alias("_size"), sharding.key().alias("_key"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    keyed = sharding.cut(keyed.withColumn("size", F.col("_size")))
-    out = sharding.shard(keyed, 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    keyed = sharding.keyed(table(spark, sf, "documents")).select("_size", "_key", "_tie", "row")
+    narrow = F.struct("row.doc_id", F.col("_size").alias("size"), F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"))
+    placed = sharding.place(sharding.cut(keyed.withColumn("row", narrow)), 8)
+    return placed.select("row.*", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_importance_resampling")
+def op5(spark, sf):
+    found = resample.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    return found.select("doc_id", "n_words", "log_weight", "draw", "kept")
 
 
 @query("op7_minhash_near_dedup")

@@ -2,17 +2,21 @@
 
 Two generative models over hashed n-grams, one of target text (labelled good and not toxic) and one of raw text (all documents),
 give every document an importance weight: the ratio of its probabilities under them. Documents are drawn without replacement
-in proportion to their weights by taking the k largest of log weight plus Gumbel noise. N-grams are words, lower-cased,
-and runs of three bytes as they stand, in tables of fixed size.
+in proportion to their weights by taking the k largest of log weight plus Gumbel noise.
+
+N-grams are words, lower-cased, and runs of three bytes as they stand, each with a table of fixed size. A bucket whose counts do
+not clearly differ has ratio 1. Sums of log ratios grow with length, so each is centred and divided by its spread
+among good texts of that length; a document's log weight is ``SHARP`` times the lesser of both, so that it must be like the
+target in both views.
 
 The raw model counts every document. The target model uses at most ``SAMPLE`` labelled rows in expectation, drawn by the hash of
 their ids; a fifth of them are held out, and k is the number of documents whose key is above the cut that best tells
-good from bad held-out rows. The k-th largest key is found by counts over ranges of keys, refined where k falls,
-so that nothing is sorted or collected.
+good from bad held-out rows, a lost good one counting ``LOSS`` times. The k-th largest key is found by counts over ranges of
+keys, refined where k falls, so that nothing is sorted or collected.
 
-Defined cases: null, empty and wordless texts have log weight 0; without good or bad held-out labels k is the number of
-documents; repeated rows share their key, and all rows that tie with the k-th are taken; a label with a null quality or toxic
-counts as neither; of several labels of one id the worst counts."""
+Defined cases: null, empty and wordless texts have the weight of a text of length 1 without evidence; without good or bad
+held-out labels k is the number of documents; repeated rows share their key, and all rows that tie with the k-th are taken; a
+label with a null quality or toxic does not count; of several labels of one id the worst counts."""
 
 import numpy as np
 import pandas as pd
@@ -20,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factwright.llm import words as W
-from factwright.llm.common import row_key
+from factwright.llm.common import row_key, without
 from factwright.session import cut
 
 SAMPLE = 40_000
 WORDS, BYTES = 1 << 16, 1 << 14
 SMOOTH = 2.0
+SHARP, LOSS = 4.0, 5.0
+CLEAR = 4.0  # standard deviations by which a bucket's counts must differ to have a ratio other than 1
 
 
 def _features(offsets, raw):
     """(text of each feature, bucket of each feature) for one block."""
-    w = W.split(offsets, raw)
+    w = W.split(offsets, raw, W.LETTERS)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(w.bound))
     bucket = (w.hash & np.uint64(WORDS - 1)).astype(np.int32)
     if len(raw) < 3:
@@ -79,17 +85,11 @@ def ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
         if not r.sum() or not t.sum():
             continue
         expected = r * (t.sum() / r.sum())
-        p = r * (t + SMOOTH) / (expected + SMOOTH)
-        out[part] = np.log((t + SMOOTH) / (expected + SMOOTH)) - np.log(p.sum() / r.sum())
+        sure = (t - expected) ** 2 > CLEAR**2 * (expected + 1)
+        out[part] = np.where(sure, np.log((t + SMOOTH) / (expected + SMOOTH)), 0.0)
     return out
 
 
-def gumbel() -> Column:
-    """Noise that depends on a row's content alone."""
-    u = (F.shiftrightunsigned(F.xxhash64("key", F.lit("gumbel")), 11) + 0.5) / float(1 << 53)
-    return -F.log(-F.log(u))
-
-
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """Per document: doc_id, key, and for words and byte runs their number (n0, n1) and the sum of their log ratios (w0, w1)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -111,14 +111,42 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return keyed.mapInArrow(score, f"doc_id {kind}, key long, n0 long, w0 double, n1 long, w1 double")
 
 
+def gumbel() -> Column:
+    """Noise that depends on a row's content alone."""
+    u = (F.shiftrightunsigned(F.xxhash64("key", F.lit("gumbel")), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
+
+
+def spread(total: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """(mean, s, t) of good texts: a sum over n features has mean n * mean and variance s^2 n + t^2 n^2. Medians, so that a
+    few wrong labels do not matter; short texts give s, long ones t."""
+    total, n = total[n > 0], n[n > 0].astype(float)
+    if len(n) < 20:
+        return 0.0, 1.0, 0.0
+    mean = total.sum() / n.sum()
+    m2 = (total / n - mean) ** 2
+    s2 = max(float(np.median((n * m2)[n <= np.median(n)])) / 0.455, 1e-6)
+    longer = n >= np.quantile(n, 0.75)
+    t2 = max(0.0, float(np.median((m2 - s2 / n)[longer])) / 0.455)
+    return float(mean), s2**0.5, t2**0.5
+
+
+def log_weight(views: list[tuple[float, float, float]]) -> Column:
+    z = []
+    for i, (mean, s, t) in enumerate(views):
+        n = F.greatest(F.col(f"n{i}"), F.lit(1)).cast("double")
+        z.append((F.col(f"w{i}") - mean * F.col(f"n{i}")) / F.sqrt(s * s * n + t * t * n * n))
+    return SHARP * F.least(*z)
+
+
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the largest sum of the shares of good rows above and bad rows below it, in the middle of its gap;
-    minus infinity where either side is empty."""
+    """The cut with the largest sum of LOSS times the share of good rows above it and the share of bad rows below it, in the
+    middle of its gap; minus infinity where either side is empty."""
     if not len(good) or not len(bad):
         return -np.inf
     values = np.unique(np.concatenate([good, bad]))
     good, bad = np.sort(good), np.sort(bad)
-    worth = 1 - np.searchsorted(good, values, "left") / len(good) + np.searchsorted(bad, values, "left") / len(bad)
+    worth = LOSS * (1 - np.searchsorted(good, values, "left") / len(good)) + np.searchsorted(bad, values, "left") / len(bad)
     best = int(np.argmax(worth))
     return float(values[0]) - 1 if best == 0 else float(values[best - 1] + values[best]) / 2
 
@@ -147,18 +175,23 @@ def top(scored: DataFrame, k: int, column: str = "draw") -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """Per document: doc_id, key, n_features, log_weight, draw, kept."""
+    """Per document: doc_id, key, n_words, log_weight, draw (log weight and noise), kept."""
     labelled = cut(sample(labels, bound))
-    scored = cut(weigh(docs, ratios(docs, labelled)))
-    # of repeated ids every row is judged; the sample bounds what comes here
-    judged = scored.join(F.broadcast(labelled.where("held_out")), "doc_id").groupBy("doc_id").agg(F.first("good").alias("good"), F.min("draw").alias("draw"))
-    held: pd.DataFrame = judged.toPandas()
-    least = best_cut(held.loc[held["good"] == 1, "draw"].to_numpy(), held.loc[held["good"] == 0, "draw"].to_numpy())
+    sums = cut(weigh(docs, ratios(docs, labelled)))
+    # the sample bounds what comes here; of repeated ids every row is judged
+    held_out = F.broadcast(labelled.where("held_out").select("doc_id", "good"))
+    held: pd.DataFrame = sums.join(held_out, "doc_id").toPandas()
+    good = held["good"] == 1
+    views = [spread(held.loc[good, f"w{i}"].to_numpy(), held.loc[good, f"n{i}"].to_numpy()) for i in range(2)]
+    scored = sums.withColumn("log_weight", log_weight(views)).withColumn("draw", F.col("log_weight") + gumbel())
+    scored = cut(scored.select("doc_id", "key", F.col("n0").alias("n_words"), "log_weight", "draw"))
+    draws = scored.join(held_out, "doc_id").select("good", "draw").toPandas()
+    good = draws["good"] == 1
+    least = best_cut(draws.loc[good, "draw"].to_numpy(), draws.loc[~good, "draw"].to_numpy())
     k = scored.where(F.col("draw") >= F.lit(least)).count()
     return scored.withColumn("kept", top(scored, k))
 
 
 def keep(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """The documents drawn."""
-    drop = classify(docs, labels, bound).where("not kept").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(drop, "_key", "left_anti").drop("_key")
+    return without(docs, classify(docs, labels, bound).where("not kept"))

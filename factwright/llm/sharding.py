@@ -14,7 +14,7 @@ among themselves; an empty table gives no rows; with fewer records than shards s
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factwright.llm.common import id_text
+from factwright.llm.common import carry, id_text
 from factwright.session import cut
 
 ID_BITS = 23
@@ -51,7 +51,7 @@ def _range(cuts: list[int]) -> Column:
     if not cuts:
         return F.lit(0)
     steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-    array = F.array_repeat(F.lit(0).cast("long"), 0) if not cuts else F.lit(cuts).cast("array<bigint>")
+    array = F.lit(cuts).cast("array<bigint>")
 
     def further(at, step):
         ahead = at + step
@@ -60,12 +60,12 @@ def _range(cuts: list[int]) -> Column:
     return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), further)
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> DataFrame:
-    """Adds shard, and slot, gapless from 0 in every shard. A column ``_size``, ``_key`` or ``_tie`` that is there is used."""
-    names = [c for c in docs.columns if c not in ("_size", "_key", "_tie")]
-    have = docs.columns
-    more = {"_size": size(), "_key": key(), "_tie": F.xxhash64(id_text(), F.lit("tie"))}
-    rows = docs.withColumns({k: v for k, v in more.items() if k not in have})
+def keyed(docs: DataFrame) -> DataFrame:
+    return carry(docs, _size=size(), _key=key(), _tie=F.xxhash64(id_text(), F.lit("tie")))
+
+
+def place(rows: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> DataFrame:
+    """Of ``keyed`` rows: row, shard, and slot, gapless from 0 in every shard."""
     narrow = cut(rows.select("_size", "_key", "_tie"))
     total = narrow.agg(F.sum("_size")).first()[0] or 1
     cuts = splitters(narrow, total, shards * ranges_per_shard)
@@ -87,4 +87,9 @@ def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> Data
     placed = rows.withColumn("_range", _range(cuts)).join(F.broadcast(parts), "_range").withColumn("_part", part)
     placed = placed.join(F.broadcast(units.select("_range", "_part", "shard", "offset")), ["_range", "_part"])
     order = Window.partitionBy("_range", "_part").orderBy("_key", "_tie")
-    return placed.withColumn("slot", (F.col("offset") + F.row_number().over(order) - 1).cast("long")).select(*names, "shard", "slot")
+    return placed.select("row", "shard", (F.col("offset") + F.row_number().over(order) - 1).cast("long").alias("slot"))
+
+
+def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> DataFrame:
+    """Adds shard and slot to documents."""
+    return place(keyed(docs), shards, ranges_per_shard).select("row.*", "shard", "slot")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factwright.llm import words as W
-from factwright.llm.common import in_arrow, row_key
+from factwright.llm.common import in_arrow, row_key, without
 from factwright.session import cut
 
 KGRAM, SPAN = 5, 10
@@ -162,5 +162,4 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that share no window with an item."""
     _, exact, _ = hits(docs, items)
-    hit = exact.select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(hit, "_key", "left_anti").drop("_key")
+    return without(docs, exact)
