@@ -1,11 +1,12 @@
 """Helpers that several operators share."""
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factwright.session import cut
+from factwright.session import cut, shared_folder
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+
+
 def id_text(c: str = "doc_id") -> Column:
     """A document id as text; a null one counts as empty text."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import minhash, mixing, resample, sharding, winnow
-from factwright.llm.common import ORACLES, QUERIES, query, table
+from factwright.llm import archive, language, minhash, mixing, resample, sharding, winnow
+from factwright.llm.common import ORACLES, QUERIES, new_folder, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,12 +46,35 @@ def op5(spark, sf):
     return found.select("doc_id", "n_words", "log_weight", "draw", "kept")
 
 
+@query("op6_mixture_language_id")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
+    model = language.learn(docs.where("not held_out").select("text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), *model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark, sf):
     found = minhash.groups(table(spark, sf, "documents").select("doc_id", "text"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+@query("op8_content_addressed_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS newest FROM p),
+x AS (SELECT *, [('0x' || substr(h, 1 + 10 * i, 10))::BIGINT FOR i IN [0, 1, 2, 3]] AS v FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v[1 + k // 8] >> (35 - 5 * (k % 8))) & 31)::INTEGER, 1) FOR k IN range(32)], '') AS payload_digest,
+    CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM x
+""")
+def op8(spark, sf):
+    path = new_folder(spark, "warc")
+    archive.write(archive.records(table(spark, sf, "pages")), path)
+    found = archive.parse(archive.read(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_winnowing", rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
