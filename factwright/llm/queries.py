@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import archive, language, minhash, mixing, resample, sharding, winnow
+from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, winnow
 from factwright.llm.common import ORACLES, QUERIES, new_folder, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +32,32 @@ def op1(spark, sf):
     return mixing.copies(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op2_risk_controlled_rules", r"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, array_to_string(w, '') AS j, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT doc_id, coalesce(lang, '') AS stratum, n_words, len(j)::BIGINT AS word_chars, len(regexp_replace(j, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    len(regexp_replace(j, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals, len(regexp_replace(j, '[^!]+', '', 'g'))::BIGINT AS n_exclamations,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words FROM m),
+r AS (SELECT doc_id, stratum, unnest(['symbols', 'capitals', 'exclamations', 'repeats', 'dup_lines']) AS rule,
+    unnest([n_symbols / nullif(word_chars, 0), n_capitals / nullif(word_chars, 0), n_exclamations / nullif(word_chars, 0), n_repeat_words / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0)]) AS rate FROM f),
+st AS (SELECT doc_id, stratum, rule, coalesce(least(ceil(rate * 200), 200), 0)::INTEGER AS step FROM r),
+h AS (SELECT stratum, rule, step, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad FROM st JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL),
+g AS (SELECT stratum, rule, unnest(range(0, 201)) AS step FROM (SELECT DISTINCT stratum, rule FROM h)),
+t AS (SELECT stratum, rule, step, sum(coalesce(good, 0)) OVER one AS n, sum(coalesce(bad, 0)) OVER one AS n_bad, coalesce(sum(good) OVER above, 0) AS lost, coalesce(sum(bad) OVER above, 0) AS caught
+    FROM g LEFT JOIN h USING (stratum, rule, step) WINDOW one AS (PARTITION BY stratum, rule), above AS (PARTITION BY stratum, rule ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, CASE WHEN lost >= n * 0.01 THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)) FOR i IN range(lost::BIGINT + 1)]) END AS p FROM t),
+c AS (SELECT stratum, rule, max({'worth': caught / greatest(n_bad, 1) - 5.0 * lost / n, 'step': step}).step AS cutoff FROM p WHERE p <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM h)) GROUP BY ALL),
+v AS (SELECT doc_id, bool_or(coalesce(step > cutoff, false)) AS failed FROM st LEFT JOIN c USING (stratum, rule) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT failed AS kept FROM f JOIN v USING (doc_id)
+""")
+def op2(spark, sf):
+    found = quality.rules(table(spark, sf, "documents").select("doc_id", "lang", "text"), table(spark, sf, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op3_sampled_splitters")
 def op3(spark, sf):
     keyed = sharding.keyed(table(spark, sf, "documents")).select("_size", "_key", "_tie", "row")
