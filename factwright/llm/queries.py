@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, winnow
+from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, tokens, winnow
 from factwright.llm.common import ORACLES, QUERIES, new_folder, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,6 +66,14 @@ def op3(spark, sf):
     return placed.select("row.*", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_pretoken_counts")
+def op4(spark, sf):
+    import public_tokenizers
+
+    found = tokens.counts(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 @query("op5_importance_resampling")
 def op5(spark, sf):
     found = resample.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
