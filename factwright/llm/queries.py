@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, tokens, winnow
+from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, suffixtree, tokens, winnow
 from factwright.llm.common import ORACLES, QUERIES, new_folder, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,6 +109,11 @@ def op8(spark, sf):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_suffix_tree_scores")
+def op9(spark, sf):
+    return suffixtree.fit_and_score(table(spark, sf, "documents").select("doc_id", "text"))[0]
+
+
 @query("op10_winnowing", rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
