@@ -220,24 +220,37 @@ def claims(spark, sf, **options):
 
 def stored_claims(spark, sf):
     """Claims written once, as a store of claims would hold them."""
-    return store.derived(spark, sf, "claims", lambda: claims(spark, sf))
+    made = []
+
+    def part(name):
+        def build():
+            if not made:
+                made.append(claims(spark, sf))
+            return getattr(made[0], name)
+
+        return store.derived(spark, sf, f"claims_{name}", build)
+
+    return C.Claims(*map(part, C.Claims._fields))
 
 
 @query("claim_ids", _CLAIMS)
 def claim_ids(spark, sf):
-    return claims(spark, sf).select("subject", "policy_id", "policy_version", "verdict", "id")
+    return claims(spark, sf).rows.select("subject", "policy_id", "policy_version", "verdict", "id")
 
 
 @query("claim_ids_streamed", _CLAIMS)
 def claim_ids_streamed(spark, sf):
-    """The same ids as for claims too long to list: hashed as streams."""
-    return claims(spark, sf, document_ids=0).select("subject", "policy_id", "policy_version", "verdict", "id")
+    """The ids that the stored rows and long tables give again."""
+    stored = stored_claims(spark, sf)
+    again = stored.rows.drop("id").join(C.derived_ids(stored, "own").join(stored.rows.select(F.col("id").alias("own"), *C.KEYS), "own"), C.KEYS)
+    return again.select(*C.KEYS, "verdict", F.col("derived").alias("id"))
 
 
 @query("claim_lists", sql("""SELECT a.subject, a.policy_id, a.policy_version, len(string_split(idj.j,',')) AS facts, len(string_split(evj.j,',')) AS evidence FROM a
     JOIN idj USING (subject, policy_id, policy_version) JOIN evj USING (subject, policy_id, policy_version) WHERE a.error IS NULL""", *CLAIM_NEEDS, **CLAIM_CTES))
 def claim_lists(spark, sf):
-    rows = stored_claims(spark, sf).where(F.size("identity_ids_consumed") > 0)
+    stored = stored_claims(spark, sf)
+    rows = C.documents(stored, stored.rows).where(F.size("identity_ids_consumed") > 0)
     return rows.select(*C.KEYS, F.size("identity_ids_consumed").alias("facts"), F.size("raw_evidence_ids_consumed").alias("evidence"))
 
 

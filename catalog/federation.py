@@ -79,7 +79,7 @@ def foreign_evidence(spark, sf):
 
 
 @query("import_validation", sql("""SELECT 'event' AS kind, id AS key, CASE WHEN user_id=4 THEN 'peer log is the local log' WHEN event_id%37=0 THEN 'log_id is not the declared peer' WHEN attestor_role='error' THEN 'unknown attestor_role' WHEN event_id%41=0 THEN 'id mismatch' END AS reason FROM occ
-    WHERE NOT is_local AND (user_id=4 OR event_id%37=0 OR attestor_role='error' OR event_id%41=0) UNION ALL SELECT 'event', id, 'names an unknown fact' FROM occ WHERE NOT is_local AND identity_id NOT IN (SELECT id FROM lines)
+    WHERE NOT is_local AND (user_id=4 OR event_id%37=0 OR attestor_role='error' OR event_id%41=0) UNION ALL SELECT 'event', id, 'names an unknown fact' FROM occ WHERE NOT is_local AND NOT EXISTS (SELECT 1 FROM lines WHERE lines.id=occ.identity_id)
     UNION ALL SELECT 'fact', id, 'id mismatch' FROM lines WHERE ordinal%83=0""", "occ", "lines"))
 def import_validation(spark, sf):
     k = F.col("event_id")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.sql import sql
+from factwright.constants import NAMESPACE
 from factwright.functions import checks, envelopes as E
 from factwright.operators import append, ordering, projection as P, snapshot as Q
 from factwright.plans import store, tables
@@ -188,10 +189,10 @@ def _digest_sql(with_local):
         cols = ["id", "identity_id", "attestor", "attestor_role", "ingested_at", "log_id", "prev_chain_hash", "chain_hash", "NULL"]
         h += f" UNION ALL SELECT 'occurrences', {_row(cols)} FROM occ"
     needs = ["raw", "lines", "facts"] + (["occ"] if with_local else [])
-    # one level of 4096 groups, the depth of the tree for up to 16 million rows
     return sql(
         "SELECT tbl AS \"table\", CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(g,'' ORDER BY g)) AS digest FROM one GROUP BY 1",
-        *needs, h=h, one="SELECT tbl, substr(h,1,3)||sha256(string_agg(h,'' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY tbl, substr(h,1,3)",
+        *needs, h=h, two="SELECT tbl, substr(h,1,6)||sha256(string_agg(h,'' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY tbl, substr(h,1,6)",
+        one="SELECT tbl, substr(h,1,3)||sha256(string_agg(h,'' ORDER BY h)) AS g, sum(n) AS n FROM two GROUP BY tbl, substr(h,1,3)",
     )
 
 
@@ -205,12 +206,12 @@ def _projection(spark, sf):
 
 @query("fact_digests", _digest_sql(False))
 def fact_digests(spark, sf):
-    return P.fact_digests(_projection(spark, sf), store.table(spark, sf, "lines").count())
+    return P.fact_digests(_projection(spark, sf))
 
 
 @query("projection_digests", _digest_sql(True))
 def projection_digests(spark, sf):
-    return P.projection_digests(_projection(spark, sf), store.table(spark, sf, "lines").count())
+    return P.projection_digests(_projection(spark, sf))
 
 
 @query("neighbourhood_1", sql("SELECT DISTINCT subject, subject AS member, 0 AS hops FROM facts UNION ALL SELECT subject, object, 1 FROM edges", "facts", "edges"))
@@ -250,12 +251,12 @@ def occurrences_by_identity(spark, sf):
     return Q.occurrences_by_identity(store.table(spark, sf, "occurrences"))
 
 
-_URN = "'<urn:origin:"
-@query("nquads_lines", sql(f"""SELECT id, 0 AS line_no, {_URN}purl:'||subject||'> <urn:origin:pred:'||predicate||'> '||CASE kind WHEN 'literal' THEN '"'||object||'"^^<'||datatype||'>' ELSE {_URN}iri:'||object||'>' END||' '||g||' .' AS line FROM q
-    UNION ALL SELECT id, 1, g||' <urn:origin:meta:observed_at> "'||observed_at||'"^^<xsd:dateTime> <urn:origin:metadata> .' FROM q
-    UNION ALL SELECT id, 2, g||' <urn:origin:meta:evidence>    <urn:origin:raw:'||evidence_id||'> <urn:origin:metadata> .' FROM q
-    UNION ALL SELECT id, 3, g||' <urn:origin:meta:normalizer> "'||normalizer||'" <urn:origin:metadata> .' FROM q
-    UNION ALL SELECT id, 4, g||' <urn:origin:meta:vocab>      "v6" <urn:origin:metadata> .' FROM q""", "lines", q=f"SELECT *, {_URN}identity:'||id||'>' AS g FROM lines"))
+_URN = f"'<urn:{NAMESPACE}:"
+@query("nquads_lines", sql(f"""SELECT id, 0 AS line_no, {_URN}purl:'||subject||'> <urn:{NAMESPACE}:pred:'||predicate||'> '||CASE kind WHEN 'literal' THEN '"'||object||'"^^<'||datatype||'>' ELSE {_URN}iri:'||object||'>' END||' '||g||' .' AS line FROM q
+    UNION ALL SELECT id, 1, g||' <urn:{NAMESPACE}:meta:observed_at> "'||observed_at||'"^^<xsd:dateTime> <urn:{NAMESPACE}:metadata> .' FROM q
+    UNION ALL SELECT id, 2, g||' <urn:{NAMESPACE}:meta:evidence>    <urn:{NAMESPACE}:raw:'||evidence_id||'> <urn:{NAMESPACE}:metadata> .' FROM q
+    UNION ALL SELECT id, 3, g||' <urn:{NAMESPACE}:meta:normalizer> "'||normalizer||'" <urn:{NAMESPACE}:metadata> .' FROM q
+    UNION ALL SELECT id, 4, g||' <urn:{NAMESPACE}:meta:vocab>      "v6" <urn:{NAMESPACE}:metadata> .' FROM q""", "lines", q=f"SELECT *, {_URN}identity:'||id||'>' AS g FROM lines"))
 def nquads_lines(spark, sf):
     return sinks.nquads(store.table(spark, sf, "lines"))
 

@@ -50,7 +50,7 @@ CTES = {
         UNION ALL SELECT 3000000000000000+ordinal, subject, predicate, kind, object, datatype, evidence_id, observed_at, 'orders@v2', id FROM pub WHERE o_orderstatus='F'
         UNION ALL SELECT 4000000000000000+l_orderkey, subject, 'depends_on', 'iri', 'pkg:tpch/part-'||l_partkey, NULL, evidence_id, '2024-01-01T00:00:00Z', 'lineitem@v1', NULL FROM li
         UNION ALL SELECT 5000000000000000+l_orderkey, subject, 'affected_by', 'iri', 'osv:part-'||l_partkey, NULL, evidence_id, '2024-01-01T00:00:00Z', 'osv@v1', NULL FROM li WHERE l_returnflag='R' AND l_quantity>45
-        UNION ALL SELECT 6000000000000000+l_orderkey, subject, 'registry_reports_signing_key', 'iri', 'npm:key:supplier-'||l_suppkey, NULL, evidence_id, '2024-01-01T00:00:00Z', 'lineitem@v1', NULL FROM li JOIN supplier ON s_suppkey=l_suppkey WHERE s_nationkey<5
+        UNION ALL SELECT 6000000000000000+l_orderkey, subject, 'registry_reports_signing_key', 'iri', 'npm:key:supplier-'||l_suppkey, NULL, evidence_id, '2024-01-01T00:00:00Z', 'lineitem@v1', NULL FROM li JOIN supplier ON s_suppkey=l_suppkey
         UNION ALL SELECT 7000000000000000+p_partkey, 'pkg:tpch/part-'||p_partkey, 'depends_on', 'iri', 'pkg:tpch/size-'||p_size, NULL, sha256('part:'||p_partkey), '2024-01-01T00:00:00Z', 'part@v1', NULL FROM part"""),
     "lines": (("f0",), "SELECT *, " + ident() + " AS id FROM f0"),
     "sup": (("lines",), "SELECT revises AS target, arg_max(id, ordinal) AS superseded_by, max(ordinal) AS by_ordinal FROM lines WHERE revises IS NOT NULL GROUP BY 1"),
@@ -117,5 +117,6 @@ def sql(select, *needs, **extra):
 
     for n in needs:
         visit(n)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra.items()]
+    # each is worked out once, however often it is named
+    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order] + [f"{n} AS MATERIALIZED ({b})" for n, b in extra.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select

@@ -122,14 +122,8 @@ NORMALIZER_FEDERATION = "federation-import@v0.1.0"
 NORMALIZER_ANCHOR = "transparency-anchor-recorder@v0.1.0"
 ACTIVE_VOCAB = "v6"
 
-# Names in the N-Quads export.
-URN_IDENTITY = "urn:origin:identity:"
-URN_SUBJECT = "urn:origin:purl:"
-URN_PREDICATE = "urn:origin:pred:"
-URN_IRI = "urn:origin:iri:"
-URN_RAW = "urn:origin:raw:"
-URN_METADATA = "urn:origin:metadata"
-URN_META = "urn:origin:meta:"
+# First part of the names in the N-Quads export.
+NAMESPACE = "factwright"
 
 # Characters percent-escaped in an exported IRI, with what stands for them.
 IRI_ESCAPES = (

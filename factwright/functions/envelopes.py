@@ -369,8 +369,4 @@ def parse_policy_spec(c) -> Column:
 def parse_vn(c) -> Column:
     """The number of a ``vN`` tag, null for anything else."""
     c = _col(c)
-    return F.when(c.rlike(r"^v[0-9]+$"), F.substring(c, 2, 19).cast("bigint"))
-
-
-def genesis() -> Column:
-    return F.lit(GENESIS)
+    return F.when(c.rlike(r"^v[0-9]+$"), F.substr(c, F.lit(2)).try_cast("decimal(38,0)"))

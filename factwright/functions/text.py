@@ -278,12 +278,16 @@ def tarball_url(doc) -> Column:
     return _no_nulls(F.get_json_object(_col(doc), "$.dist.tarball"))
 
 
+LAST_SECOND = 253402300799  # of the year 9999
+
+
 def integrated_time(bundle) -> Column:
     """First log entry's inclusion time as RFC 3339 UTC text; empty when absent or not a number."""
     entries = F.from_json(_col(bundle), schemas.BUNDLE)["verificationMaterial"]["tlogEntries"]
     text = F.get(entries, F.lit(0))["integratedTime"]
-    ok = F.coalesce(text.rlike("^[0-9]{1,11}$"), F.lit(False))
-    return F.when(ok, epoch_text(text.try_cast("bigint"))).otherwise(F.lit(""))
+    ok = F.coalesce(text.rlike("^[0-9]+$"), F.lit(False))
+    seconds = F.when(ok, text.try_cast("bigint"))
+    return F.coalesce(F.when(seconds <= LAST_SECOND, epoch_text(seconds)), F.lit(""))
 
 
 def bundle_digests(bundle) -> Column:

@@ -2,14 +2,13 @@
 ``(check_no, check, log_id, key, reason)``. Checks do not depend on each other.
 """
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from factwright import schemas
 from factwright.constants import GENESIS
 from factwright.functions import envelopes as E, text as X
 from factwright.functions.checks import identity_violation, occurrence_violation
-from factwright.operators import claims as claims_, ed25519
+from factwright.operators import claims as claims_
 from factwright.operators.ordering import previous
 from factwright.session import union_all
 
@@ -55,18 +54,11 @@ def occurrence_ids(occurrences: DataFrame, no: int = 2) -> DataFrame:
     return violations(occurrences, no, "id", F.coalesce(occurrence_violation(), drift), "log_id")
 
 
-def _verify_batches(batches):
-    for batch in batches:
-        keys, texts, sigs = (batch.column(n).to_pylist() for n in ("public_key", "__text", "__sig"))
-        ok = [ed25519.verify(bytes(k), t.encode(), bytes(s)) for k, t, s in zip(keys, texts, sigs)]
-        kept = [batch.column("log_id"), batch.column("id")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(ok, pa.bool_())], names=["log_id", "id", "ok"])
-
-
-def occurrence_signatures(occurrences: DataFrame, keys: DataFrame, no: int = 2) -> DataFrame:
+def occurrence_signatures(occurrences: DataFrame, keys: DataFrame, outcomes: DataFrame, no: int = 2) -> DataFrame:
     """Signatures against known keys. ``keys`` holds (fingerprint, public_key) for local logs; for
     foreign logs (``no=11``) it holds (log_id, public_key), and the peer's key counts whatever
-    fingerprint the header names. Only rows with a usable header, key and encoding reach Python."""
+    fingerprint the header names. ``outcomes`` (id, valid) is what a verifier found for the records; a signature with a
+    usable header, key and encoding that it does not name is reported ``not_run``."""
     by = "log_id" if no == 11 else "fingerprint"
     sig = E.split_signature("signature")
     parsed = occurrences.withColumn("__s", sig).withColumn("fingerprint", F.col("__s.fingerprint"))
@@ -79,16 +71,14 @@ def occurrence_signatures(occurrences: DataFrame, keys: DataFrame, no: int = 2)
         F.when(F.col("public_key").isNull(), F.lit("unknown key" if no == 2 else "peer not registered")),
         F.when(F.col("__sig").isNull(), F.lit("signature is not base64")),
     )
-    known = known.withColumn("__header", header)
-    bad_header = violations(known, no, "id", F.col("__header"), "log_id")
-    usable = known.where(F.col("__header").isNull()).select("log_id", "id", "public_key", "__sig", E.occurrence_json().alias("__text"))
-    checked = usable.where(F.col("__text").isNotNull()).mapInArrow(_verify_batches, "log_id string, id string, ok boolean")
-    bad = violations(checked, no, "id", F.when(~F.col("ok"), F.lit("signature does not verify")), "log_id")
-    return bad_header.unionByName(bad)
+    found = outcomes.groupBy("id").agg(F.min("valid").alias("__valid"))  # one bad outcome counts
+    rows = known.withColumn("__header", header).join(found, "id", "left")
+    verdict = F.when(F.col("__valid").isNull(), F.lit("not_run")).when(~F.col("__valid"), F.lit("signature does not verify"))
+    return violations(rows, no, "id", F.coalesce("__header", verdict), "log_id")
 
 
-def foreign_signatures(occurrences: DataFrame, peer_keys: DataFrame) -> DataFrame:
-    return occurrence_ids(occurrences, 11).unionByName(occurrence_signatures(occurrences, peer_keys, 11))
+def foreign_signatures(occurrences: DataFrame, peer_keys: DataFrame, outcomes: DataFrame) -> DataFrame:
+    return occurrence_ids(occurrences, 11).unionByName(occurrence_signatures(occurrences, peer_keys, outcomes, 11))
 
 
 # -- 3, 10: chains ------------------------------------------------------------------------------
@@ -205,20 +195,21 @@ def orphans(occurrences: DataFrame, chain: DataFrame) -> DataFrame:
 # -- 7, 9: claims -------------------------------------------------------------------------------
 
 
-def claim_envelopes(claims: DataFrame) -> DataFrame:
-    """``file_id`` is the name the claim is stored under."""
+def claim_envelopes(claims: claims_.Claims) -> DataFrame:
+    """``file_id`` is the name the claim is stored under. The id is derived again from the row and both long tables."""
+    rows = claims.rows.join(claims_.derived_ids(claims), "id", "left")
     reason = F.coalesce(
         F.when(~F.col("id").eqNullSafe(F.col("file_id")), F.lit("id differs from name")),
-        F.when(~E.claim_id().eqNullSafe(F.col("id")), F.lit("id drift")),
+        F.when(~F.col("derived").eqNullSafe(F.col("id")), F.lit("id drift")),
     )
-    return violations(claims, 7, "file_id", reason)
+    return violations(rows, 7, "file_id", reason)
 
 
-def claim_rederivation(claims: DataFrame, facts: DataFrame, raw: DataFrame, policies,
+def claim_rederivation(claims: claims_.Claims, facts: DataFrame, raw: DataFrame, policies,
                        evaluator: str = claims_.EVALUATOR, subject_scoped: bool = False) -> DataFrame:
     """Evaluates every claim's subject and policy again and compares the ids."""
-    stored = claims.select("id", *claims_.KEYS)
-    again = claims_.claims(facts, raw, policies, claims.select("subject"), evaluator=evaluator, subject_scoped=subject_scoped)
+    stored = claims.rows.select("id", *claims_.KEYS)
+    again = claims_.claims(facts, raw, policies, stored.select("subject"), evaluator=evaluator, subject_scoped=subject_scoped).rows
     both = stored.join(again.select(*claims_.KEYS, F.col("id").alias("again")), claims_.KEYS, "left")
     absent = F.lit(False)
     for k in claims_.KEYS:

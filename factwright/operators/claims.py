@@ -1,21 +1,21 @@
 """Evaluation records: a verdict with the ids of everything it was derived from.
 
-A claim document lists every consumed id in one row, and its content id hashes that list. Up to
-``document_ids`` ids per claim the lists are built in the row. Beyond that the row keeps its lists
-empty (the long tables of :mod:`factwright.operators.snapshot` hold them) and the id, which must be
-the same, is hashed from the sorted long rows as a stream, with constant memory.
+A claim is a row beside two long tables, the ids of its facts and of its evidence, at every size. Its content id hashes
+the text of the document that would list them, as a stream over the sorted long rows with constant memory. Lists are
+built only in :func:`documents`, an export for named subjects.
 """
 
+from typing import NamedTuple
+
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factwright.functions.envelopes import _json, claim_id, claim_json_parts, split_normalizer
+from factwright.functions.envelopes import _json, claim_json_parts
 from factwright.operators import policy as policies_, snapshot
-from factwright.session import cut, union_all
+from factwright.session import cut
 
-DOCUMENT_IDS = 20_000
 KEYS = ["subject", "policy_id", "policy_version"]
 EVALUATOR = "factwright@0.1.0/evaluator"
 
@@ -31,7 +31,7 @@ def _headers(verdicts: DataFrame, evaluator: str, evaluated_at: str, identities_
             "rules_fired", "missing_predicates", "input_counts",
             F.lit(None).cast("map<string,array<string>>").alias("occurrences_cited"),
         ))
-        .withColumn("__ids", F.aggregate(F.map_values("input_counts"), F.lit(0).cast("long"), lambda a, v: a + v))
+        .withColumn("__key", F.concat_ws("\x1f", *KEYS))
     )
 
 
@@ -44,12 +44,12 @@ def _versions(entries) -> Column:
 def _hash_stream(batches):
     key, digest, first, done = None, None, True, []
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in (*KEYS, "__section", "__text")]
-        for s, p, v, section, text in zip(*columns):
-            if (s, p, v) != key:
+        columns = [batch.column(n).to_pylist() for n in ("__key", "__section", "__text")]
+        for k, section, text in zip(*columns):
+            if k != key:
                 if key is not None:
-                    done.append((*key, digest.hexdigest()))
-                key, digest = (s, p, v), hashlib.sha256()
+                    done.append((key, digest.hexdigest()))
+                key, digest = k, hashlib.sha256()
             if section % 2 == 0:
                 first = True
             elif not first:
@@ -60,19 +60,18 @@ def _hash_stream(batches):
             yield _keyed(done)
             done = []
     if key is not None:
-        done.append((*key, digest.hexdigest()))
+        done.append((key, digest.hexdigest()))
     yield _keyed(done)
 
 
 def _keyed(rows):
-    columns = list(zip(*rows)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=[*KEYS, "id"])
+    columns = list(zip(*rows)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["__key", "id"])
 
 
 def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(subject, policy, id) for claims of any size, from distinct long rows of fact ids
-    (``identity_id``) and evidence ids (``evidence_id``). The text is hashed piece by piece in the
-    order of (section, value); Spark sorts on disk."""
+    """(__key, id) from headers with a ``__key`` and distinct long rows of fact ids (``identity_id``) and evidence ids
+    (``evidence_id``) under it. The text is hashed piece by piece in the order of (section, value); Spark sorts on disk."""
     head, middle, tail = claim_json_parts()
 
     def piece(section, value, text):
@@ -80,10 +79,10 @@ def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> Dat
 
     def listed(rows, section, name):
         c = F.col(name)
-        return rows.select(*KEYS, F.inline(F.array(piece(section, c, _json([c], lambda s, t: s(c))))))
+        return rows.select("__key", F.inline(F.array(piece(section, c, _json([c], lambda s, t: s(c))))))
 
     rows = listed(ids, 1, "identity_id").unionByName(listed(evidence, 3, "evidence_id"))
-    sizes = rows.groupBy(*KEYS).agg(
+    sizes = rows.groupBy("__key").agg(
         F.count_if(F.col("__section") == 1).alias("__n1"), F.count_if(F.col("__section") == 3).alias("__n3")
     )
 
@@ -91,19 +90,31 @@ def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> Dat
         return F.when(F.coalesce(F.col(name), F.lit(0)) > 0, F.lit(some)).otherwise(F.lit(none))
 
     none = F.lit("")
-    fixed = headers.join(sizes, KEYS, "left").select(*KEYS, F.inline(F.array(
+    fixed = headers.join(sizes, "__key", "left").select("__key", F.inline(F.array(
         piece(0, none, F.concat(head, around("__n1", "[", "null"))),
         piece(2, none, F.concat(around("__n1", "]", ""), middle, around("__n3", "[", "null"))),
         piece(4, none, F.concat(around("__n3", "]", ""), tail)),
     )))
-    stream = fixed.unionByName(rows).repartition(*KEYS).sortWithinPartitions(*KEYS, "__section", "__value")
-    return stream.mapInArrow(_hash_stream, ", ".join(f"{k} string" for k in [*KEYS, "id"]))
+    stream = fixed.unionByName(rows).repartition("__key").sortWithinPartitions("__key", "__section", "__value")
+    return stream.mapInArrow(_hash_stream, "__key string, id string")
+
+
+COLUMNS = [
+    "id", *KEYS, "policy_hash", "query", "verdict", "qualifiers", "evaluated_at", "evaluator_version",
+    "identities_hash", "projection_manifest_hash", "vocab_version", "normalizer_versions", "derivation",
+]
+
+
+class Claims(NamedTuple):
+    rows: DataFrame  # COLUMNS
+    facts: DataFrame  # (claim_id, identity_id), distinct
+    evidence: DataFrame  # (claim_id, evidence_id), distinct
 
 
 def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | None = None, *,
            evaluator: str = EVALUATOR, evaluated_at: str = "", identities_hash: str = "",
-           manifest_hash: str = "", document_ids: int = DOCUMENT_IDS, subject_scoped: bool = False) -> DataFrame:
-    """Claim rows with their content ids. Subjects whose verdict rules conflict give no claim.
+           manifest_hash: str = "", subject_scoped: bool = False) -> Claims:
+    """Claims with their content ids. Subjects whose verdict rules conflict give no claim.
 
     A claim names all evidence of its policy's sources, so claims about many subjects grow with
     subjects times evidence. ``subject_scoped`` keeps to the evidence that names the claim's subject
@@ -115,78 +126,53 @@ def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | Non
         shared = snapshot.subject_raw_evidence(raw, policies)
     else:
         shared = snapshot.policy_raw_evidence(raw, policies)
-    # one row per claim; kept, as both paths and their filters start from it
-    headers = cut(_headers(verdicts, evaluator, evaluated_at, identities_hash, manifest_hash))
-    is_large = F.col("__ids") > document_ids
-    large, small = headers.where(is_large), headers.where(~is_large)
-    if large.isEmpty():
-        return _documents(headers, consumed, shared, document_ids)
-    parts = [_streamed(large, consumed.join(large.select(*KEYS), KEYS, "left_semi"), shared)]
-    if not small.isEmpty():
-        by = [k for k in KEYS if k in shared.columns]
-        near = shared.join(small.select(*by).distinct(), by, "left_semi")
-        parts.append(_documents(small, consumed.join(small.select(*KEYS), KEYS, "left_semi"), near, document_ids))
-    return union_all(parts)
+    names = snapshot.normalizer_versions(consumed).groupBy(*KEYS).agg(F.collect_list(F.struct("name", "version")).alias("__versions"))
+    headers = _headers(verdicts, evaluator, evaluated_at, identities_hash, manifest_hash).join(names, KEYS, "left")
+    headers = cut(headers.withColumn("normalizer_versions", _versions(F.col("__versions"))).drop("__versions"))
+    keys = headers.select(*KEYS, "__key")
+    ids = consumed.join(keys, KEYS).select("__key", "identity_id").distinct()
+    own = consumed.where(F.coalesce("evidence_id", F.lit("")) != "").join(keys, KEYS).select("__key", "evidence_id")
+    by = [k for k in KEYS if k in shared.columns]
+    evidence = own.unionByName(shared.join(keys, by).select("__key", "evidence_id")).distinct()
+    hashed = cut(streamed_ids(headers, ids, evidence))
 
+    def named(rows):
+        return rows.join(hashed.withColumnRenamed("id", "claim_id"), "__key").drop("__key")
 
-COLUMNS = [
-    "id", *KEYS, "policy_hash", "query", "verdict", "qualifiers", "evaluated_at", "evaluator_version",
-    "identities_hash", "projection_manifest_hash", "vocab_version", "normalizer_versions",
-    "identity_ids_consumed", "raw_evidence_ids_consumed", "derivation",
-]
+    return Claims(headers.join(hashed, "__key").select(*COLUMNS), named(ids).select("claim_id", "identity_id"), named(evidence).select("claim_id", "evidence_id"))
 
 
-def _per_claim(consumed: DataFrame) -> DataFrame:
-    """Lists of ids and normaliser versions of claims short enough to list, in one shuffle: both steps
-    group rows that already lie together."""
-    named = consumed.withColumn("n", split_normalizer("normalizer")).repartition(*KEYS)
-    evidence = F.collect_set(F.when(F.coalesce("evidence_id", F.lit("")) != "", F.col("evidence_id")))
-    by_name = named.groupBy(*KEYS, F.col("n.name").alias("name")).agg(
-        F.collect_list("identity_id").alias("ids"), evidence.alias("evidence"),
-        F.max(F.struct("position", "identity_id", F.col("n.version").alias("version"))).alias("last"),
-    )
-    version = F.when(F.col("name") != "", F.struct("name", F.col("last.version").alias("version")))
-    return by_name.groupBy(*KEYS).agg(
-        F.array_sort(F.flatten(F.collect_list("ids"))).alias("identity_ids_consumed"),
-        F.array_distinct(F.flatten(F.collect_list("evidence"))).alias("__own"),
-        F.collect_list(version).alias("__versions"),
-    )
+def derived_ids(claims: Claims, key: str = "id") -> DataFrame:
+    """(``key``, derived): the id that each stored claim's row and long tables give."""
+    def under(rows):
+        return rows.distinct().withColumnRenamed("claim_id", "__key")
 
+    again = streamed_ids(claims.rows.withColumn("__key", F.col("id")).dropDuplicates(["__key"]), under(claims.facts), under(claims.evidence))
+    return again.select(F.col("__key").alias(key), F.col("id").alias("derived"))
 
-def _documents(headers: DataFrame, consumed: DataFrame, shared: DataFrame, document_ids: int) -> DataFrame:
-    documents = headers.join(_per_claim(consumed), KEYS, "left")
-    if "subject" in shared.columns:
-        lists = shared.groupBy(*KEYS).agg(F.collect_list("evidence_id").alias("__shared"))
-        documents = documents.join(lists, KEYS, "left")
-    else:
-        # a policy whose sources hold more rows than a document may list has no claim here
-        sizes = shared.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("n"))
-        listed = shared.join(sizes.where(F.col("n") <= document_ids), ["policy_id", "policy_version"], "left_semi")
-        common = listed.groupBy("policy_id", "policy_version").agg(F.collect_list("evidence_id").alias("__shared"))
-        documents = documents.join(common, ["policy_id", "policy_version"], "left")
-    none = F.array().cast("array<string>")
-    both = F.array_sort(F.array_union(F.coalesce("__own", none), F.coalesce("__shared", none)))
-    documents = documents.withColumn("normalizer_versions", _versions(F.col("__versions"))).withColumn(
-        "raw_evidence_ids_consumed", F.when(F.size(both) > 0, both)
-    )
-    return documents.withColumn("id", claim_id()).select(*COLUMNS)
 
+def from_documents(documents: DataFrame) -> Claims:
+    """Claims of documents that list their ids (``schemas.CLAIM``)."""
+    def long(name, one):
+        return documents.select(F.col("id").alias("claim_id"), F.explode(name).alias(one)).distinct()
 
-def _streamed(headers: DataFrame, consumed: DataFrame, shared: DataFrame) -> DataFrame:
-    by = [k for k in KEYS if k in shared.columns]
-    names = snapshot.normalizer_versions(consumed).groupBy(*KEYS).agg(F.collect_list(F.struct("name", "version")).alias("__versions"))
-    headers = headers.join(names, KEYS, "left").withColumn("normalizer_versions", _versions(F.col("__versions")))
-    evidence = snapshot.consumed_evidence(consumed).unionByName(
-        shared.join(headers.select(*KEYS), by).select(*KEYS, "evidence_id")
-    ).distinct()
-    hashed = streamed_ids(headers, consumed.select(*KEYS, "identity_id"), evidence)
-    null_list = F.lit(None).cast("array<string>")
-    rows = headers.join(hashed, KEYS).withColumn("identity_ids_consumed", null_list)
-    return rows.withColumn("raw_evidence_ids_consumed", null_list).select(*COLUMNS)
+    rows = documents.drop("identity_ids_consumed", "raw_evidence_ids_consumed")
+    return Claims(rows, long("identity_ids_consumed", "identity_id"), long("raw_evidence_ids_consumed", "evidence_id"))
+
+
+def documents(claims: Claims, subjects: DataFrame) -> DataFrame:
+    """Claims of the named subjects with their ids listed in the row. A list is as long as its claim."""
+    rows = claims.rows.join(subjects.select("subject").distinct(), "subject", "left_semi")
+    wanted = rows.select(F.col("id").alias("claim_id"))
+
+    def listed(table, one, name):
+        return table.join(wanted, "claim_id", "left_semi").groupBy(F.col("claim_id").alias("id")).agg(F.array_sort(F.collect_set(one)).alias(name))
+
+    return rows.join(listed(claims.facts, "identity_id", "identity_ids_consumed"), "id", "left").join(
+        listed(claims.evidence, "evidence_id", "raw_evidence_ids_consumed"), "id", "left")
 
 
-def with_citations(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
+def with_citations(claims: Claims, occurrences: DataFrame) -> DataFrame:
     """(claim_id, identity_id, occurrence_id, ingested_at): the events behind a claim's facts. They are
-    not part of the claim's id and stay in long form."""
-    facts = claims.select(F.col("id").alias("claim_id"), F.explode("identity_ids_consumed").alias("identity_id"))
-    return facts.join(snapshot.occurrences_by_identity(occurrences), "identity_id")
+    not part of the claim's id."""
+    return claims.facts.join(snapshot.occurrences_by_identity(occurrences), "identity_id")

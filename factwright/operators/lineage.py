@@ -4,21 +4,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from factwright import schemas
 from factwright.functions import text as X
+from factwright.operators.claims import Claims
 from factwright.session import cut
 
 VERIFIED = "cryptographically_verified_signature_by"
 FAILED = "cryptographic_verification_failed"
 
 
-def claim_lineage(claims: DataFrame, identities: DataFrame, raw: DataFrame, occurrences: DataFrame) -> DataFrame:
+def claim_lineage(claims: Claims, identities: DataFrame, raw: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(claim_id, kind, id, found, detail, occurrences): every fact and evidence id a claim consumed,
     with what it is or that it is missing. The events of each fact are counted here and listed by
     :func:`cited_occurrences`; spelling them out per claim would multiply the two."""
-    ids = claims.select(F.col("id").alias("claim_id"), F.inline(F.array(
-        F.struct(F.lit("fact").alias("kind"), F.col("identity_ids_consumed").alias("ids")),
-        F.struct(F.lit("evidence").alias("kind"), F.col("raw_evidence_ids_consumed").alias("ids")),
-    ))).select("claim_id", "kind", F.explode("ids").alias("id"))
-    return lineage_of(ids, identities, raw, occurrences)
+    facts = claims.facts.select("claim_id", F.lit("fact").alias("kind"), F.col("identity_id").alias("id"))
+    evidence = claims.evidence.select("claim_id", F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"))
+    return lineage_of(facts.unionByName(evidence), identities, raw, occurrences)
 
 
 def lineage_of(ids: DataFrame, identities: DataFrame, raw: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -80,8 +79,8 @@ def subject_facts(identities: DataFrame, subjects: DataFrame) -> DataFrame:
     )
 
 
-def subject_claims(claims: DataFrame, subjects: DataFrame) -> DataFrame:
-    return claims.join(subjects.select("subject").distinct(), "subject", "left_semi")
+def subject_claims(claims: Claims, subjects: DataFrame) -> DataFrame:
+    return claims.rows.join(subjects.select("subject").distinct(), "subject", "left_semi")
 
 
 def evidence_list(raw: DataFrame) -> DataFrame:

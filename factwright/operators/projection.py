@@ -172,20 +172,20 @@ def _row_hashes(p: Projection, local: bool) -> DataFrame:
     return union_all(tables)
 
 
-def fact_digests(p: Projection, rows: int | None = None) -> DataFrame:
+def fact_digests(p: Projection) -> DataFrame:
     """Digest of each of the 15 fact tables. Events and local columns of the evidence stay out, so
     two nodes that saw the same evidence agree."""
-    return digest.tables_digest(_row_hashes(p, local=False), rows)
+    return digest.tables_digest(_row_hashes(p, local=False))
 
 
-def projection_digests(p: Projection, rows: int | None = None) -> DataFrame:
+def projection_digests(p: Projection) -> DataFrame:
     """Digest of each of the 16 tables with every column."""
-    return digest.tables_digest(_row_hashes(p, local=True), rows)
+    return digest.tables_digest(_row_hashes(p, local=True))
 
 
-def fact_hash(p: Projection, rows: int | None = None) -> DataFrame:
-    return digest.combined_digest(fact_digests(p, rows))
+def fact_hash(p: Projection) -> DataFrame:
+    return digest.combined_digest(fact_digests(p))
 
 
-def projection_hash(p: Projection, rows: int | None = None) -> DataFrame:
-    return digest.combined_digest(projection_digests(p, rows))
+def projection_hash(p: Projection) -> DataFrame:
+    return digest.combined_digest(projection_digests(p))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from factwright.functions.checks import disallowed_verdict
+from factwright.functions.envelopes import parse_vn
 
 
 def undeclared_predicate(identities: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def manifest_mismatch(policies: DataFrame) -> DataFrame:
 def vocabulary_not_superset(vocabulary: DataFrame) -> DataFrame:
     """(version, predicate, reason): predicates of version N that N+1 lacks or changes."""
     fields = ["subject_kind", "object_kind", "object_datatype"]
-    n = F.substring("version", 2, 9).cast("int")
-    rows = vocabulary.select(n.alias("n"), "predicate", F.struct(*fields).alias("d"), F.col("verification_class").alias("cls"))
+    n = parse_vn("version")
+    rows = vocabulary.where(n.isNotNull()).select(n.alias("n"), "predicate", F.struct(*fields).alias("d"), F.col("verification_class").alias("cls"))
     after = rows.select((F.col("n") - 1).alias("n"), "predicate", F.col("d").alias("d2"), F.col("cls").alias("cls2"))
     last = rows.agg(F.max("n").alias("last"))
     both = rows.join(after, ["n", "predicate"], "left").where(F.col("n") < last.scalar())

@@ -5,6 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factwright.functions import envelopes as E
 from factwright.operators import append, audit as A, claims as C, federation as FED, lineage as L, normalize as N
 from factwright.operators import policy as G, projection as P
 from factwright.session import union_all
@@ -59,7 +60,10 @@ def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local
     spark = facts.sparkSession
     store = open_store(spark, root, local_log_id)
     local = store.chain.where(F.col("is_local") & F.col("malformed").isNull())
-    events, rejects = N.emit(facts, attestor, local_log_id, now, append.heads(local))
+    facts = facts.withColumn("id", E.identity_id())
+    # an event records a fact that is stored already or about to be, never one that is rejected
+    accepted = sinks.new_identities(facts, store.identities)[0].select("id").unionByName(store.identities.select("id"))
+    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, append.heads(local))
     staged = f"{root}/staged/{now.replace(':', '')}"
     events.write.mode("overwrite").parquet(staged)  # the fold runs once; both writes below read its result
     rejected = sinks.append_identities(facts, store.identities, f"{root}/assertions/identities", day)
@@ -80,13 +84,13 @@ def with_hashes(policies, folder: DataFrame) -> list:
     return [replace(p, policy_hash=found.get((p.id, p.version), p.policy_hash)) for p in policies]
 
 
-def evaluate(p: P.Projection, policies=G.BUILT_IN, subjects: DataFrame | None = None, **claim) -> DataFrame:
+def evaluate(p: P.Projection, policies=G.BUILT_IN, subjects: DataFrame | None = None, **claim) -> C.Claims:
     return C.claims(p.facts, p.raw_evidence, policies, subjects, **claim)
 
 
-def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame | None = None, claims: DataFrame | None = None,
+def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame | None = None, claims: C.Claims | None = None,
           projection: P.Projection | None = None, recorded: DataFrame | None = None, policies=G.BUILT_IN,
-          evaluator: str = C.EVALUATOR, results: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+          evaluator: str = C.EVALUATOR, results: DataFrame | None = None, outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(violations, summary) of every check its inputs allow. Checks whose input is not given do not
     run and do not appear in the summary as passed."""
     local = F.col("is_local")
@@ -107,10 +111,12 @@ def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame |
         16: A.anchor_equivocation(store.identities, bodies),
         17: A.role_class(store.occurrences, store.identities),
     }
+    if outcomes is None:
+        outcomes = local_events.sparkSession.createDataFrame([], "id string, valid boolean")
     if keys is not None:
-        found[2] = A.occurrence_ids(local_events).unionByName(A.occurrence_signatures(local_events, keys))
+        found[2] = A.occurrence_ids(local_events).unionByName(A.occurrence_signatures(local_events, keys, outcomes))
     if peer_keys is not None:
-        found[11] = A.foreign_signatures(foreign_events, peer_keys)
+        found[11] = A.foreign_signatures(foreign_events, peer_keys, outcomes)
     if claims is not None:
         found[7] = A.claim_envelopes(claims)
         if projection is not None:
@@ -132,16 +138,20 @@ class Import(NamedTuple):
     summary: DataFrame
 
 
-def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, now: str, fetcher: str) -> Import:
+def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, now: str, fetcher: str,
+                peer_keys: DataFrame, outcomes: DataFrame) -> Import:
     """What importing a peer's store would add: its observations and events, our reports of its
-    verifications with the events that record them, and its records as evidence. Write the parts only if
-    ``rejects`` is empty; check signatures with :func:`factwright.operators.audit.foreign_signatures`."""
+    verifications with the events that record them, and its records as evidence. ``peer_keys`` (log_id, public_key) and
+    ``outcomes`` (id, valid), a verifier's findings, decide on signatures: what does not verify, or was not tried, is
+    in ``rejects``. Write the parts only if that is empty."""
     new = FED.drop_known(peer.occurrences.where("is_local"), home.occurrences)
     known_heads = append.heads(home.chain.where(F.col("malformed").isNull()))
     rejects = FED.validate_foreign(peer.identities.drop("ordinal"), new, peer_log_id, local_log_id).unionByName(
         FED.foreign_continuity(new, known_heads.where(F.col("log_id") == peer_log_id))
         .select(F.lit("event").alias("kind"), F.col("id").alias("key"), "reason")
     )
+    signatures = A.foreign_signatures(new, peer_keys, outcomes)
+    rejects = rejects.unionByName(signatures.select(F.lit("event").alias("kind"), "key", "reason"))
     routed = FED.route_by_class(new, peer.identities)
     unrouted = routed.where("route = 'reject'").select(F.lit("event").alias("kind"), F.col("id").alias("key"), F.lit("unknown class").alias("reason"))
     kept = routed.where("route = 'store'").select("identity_id").distinct()
@@ -166,7 +176,7 @@ def record_anchors(store: Store, anchors: DataFrame) -> tuple[DataFrame, DataFra
     return N.anchor_facts(anchors, store.raw)
 
 
-def lineage(store: Store, claims: DataFrame) -> DataFrame:
+def lineage(store: Store, claims: C.Claims) -> DataFrame:
     return L.claim_lineage(claims, store.identities, store.raw, store.occurrences)
 
 

@@ -5,6 +5,8 @@ Queries then get column pruning, partition pruning
 on ``predicate`` and pushed-down filters instead of recomputing ids, and a lost executor costs a scan.
 """
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factwright.operators import projection
@@ -25,11 +27,15 @@ def write_table(df: DataFrame, path: str, partition_by=(), cluster_by=()) -> Non
     writer.parquet(path)
 
 
+def _named(sf: str) -> str:
+    return hashlib.sha256(sf.encode()).hexdigest()[:16]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table of the evidence drawn from the given tables, written on first use."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
-        path = f"{shared_folder(spark)}/{abs(hash(sf)):x}/{name}"
+        path = f"{shared_folder(spark)}/{_named(sf)}/{name}"
         build, partition_by, cluster_by = _BUILD[name]
         write_table(build(spark, sf), path, partition_by, cluster_by)
         _written[key] = path
@@ -40,7 +46,7 @@ def derived(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """A table computed from others, written on first use like the ones above."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
-        path = f"{shared_folder(spark)}/{abs(hash(sf)):x}/{name}"
+        path = f"{shared_folder(spark)}/{_named(sf)}/{name}"
         write_table(build(), path)
         _written[key] = path
     return spark.read.parquet(_written[key])

@@ -1,5 +1,6 @@
 """Session settings and the two helpers that need the session."""
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -31,12 +32,14 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for this application under the one the cluster names in ``spark.checkpoint.dir``. Only
-    where none is named, as in tests, is it made in a local one."""
+    """A new folder for this application under the one the cluster names in ``spark.checkpoint.dir``. A local
+    one is made only where none is named and driver and executors are one process, as in tests."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _folders:
         named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = named or tempfile.mkdtemp(prefix="spark-")
         _folders[app] = f"{base}/factwright-{app}-{uuid.uuid4().hex[:8]}"
     return _folders[app]

@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factwright import schemas
 from factwright.constants import (
     ACTIVE_VOCAB, NORMALIZER_GITHUB, NORMALIZER_NPM, NORMALIZER_OSV, NORMALIZER_REKOR,
-    URN_IDENTITY, URN_IRI, URN_META, URN_METADATA, URN_PREDICATE, URN_RAW, URN_SUBJECT, VOCABULARY_V6,
+    NAMESPACE, VOCABULARY_V6,
 )
 from factwright.functions import checks, envelopes as E, text as X
-from factwright.operators import projection
+from factwright.operators import digest, projection
+from factwright.operators.claims import Claims, documents
+from factwright.session import cut
 
 FACT_ENVELOPE = [n for n in schemas.IDENTITY.names if n != "id"]
 
@@ -113,14 +115,16 @@ def write_manifest(p: projection.Projection, path: str, counts: dict, built_at:
     """Manifest row: versions, schema hash, counts, the digest of the facts and of the whole projection,
     and each table's digest for the audit."""
     spark = p.facts.sparkSession
-    tables = {r.table: r.digest for r in projection.projection_digests(p).collect()}  # 16 rows
+    # at most 16 rows each, worked out once
+    all_tables, fact_tables = cut(projection.projection_digests(p)), cut(projection.fact_digests(p))
+    tables = {r.table: r.digest for r in all_tables.collect()}
     manifest = {
         "projector_version": "factwright@0.1.0/projector",
         "vocab_version": ACTIVE_VOCAB,
         "schema_hash": schema_hash(),
         **{k: int(v) for k, v in counts.items()},
-        "projection_hash": projection.projection_hash(p).first().digest,
-        "identities_hash": projection.fact_hash(p).first().digest,
+        "projection_hash": digest.combined_digest(all_tables).first().digest,
+        "identities_hash": digest.combined_digest(fact_tables).first().digest,
         "tables": tables,
         "built_at": built_at,
     }
@@ -128,55 +132,65 @@ def write_manifest(p: projection.Projection, path: str, counts: dict, built_at:
     return manifest
 
 
-def write_claims(claims: DataFrame, stored: DataFrame | None, path: str) -> None:
-    """Appends claims that are not stored yet, partitioned by policy. A claim evaluated again keeps its
-    id and its first record."""
-    fresh = claims.dropDuplicates(["id"])
+def write_claims(claims: Claims, stored: Claims | None, path: str) -> None:
+    """Appends claims that are not stored yet: rows by policy, and the ids of their facts and evidence. A claim evaluated
+    again keeps its id and its first record."""
+    fresh = claims.rows.dropDuplicates(["id"])
     if stored is not None:
-        fresh = fresh.join(stored.select("id"), "id", "left_anti")
-    fresh.write.mode("append").partitionBy("policy_id", "policy_version").parquet(path)
+        fresh = fresh.join(stored.rows.select("id"), "id", "left_anti")
+    fresh = cut(fresh)  # what is read below must not change with what is written
+    new = fresh.select(F.col("id").alias("claim_id"))
+    for name in ("facts", "evidence"):
+        getattr(claims, name).distinct().join(new, "claim_id", "left_semi").write.mode("append").parquet(f"{path}/{name}")
+    fresh.write.mode("append").partitionBy("policy_id", "policy_version").parquet(f"{path}/rows")
 
 
-def claim_documents(claims: DataFrame) -> DataFrame:
-    """(id, document): the JSON text of each claim."""
-    columns = [c for c in schemas.CLAIM.names if c in claims.columns]
-    return claims.select("id", F.to_json(F.struct(*columns)).alias("document"))
+def read_stored_claims(spark, path: str) -> Claims:
+    return Claims(*(spark.read.parquet(f"{path}/{name}") for name in Claims._fields))
 
 
-def nquads(identities: DataFrame, fmt: str = "nq") -> DataFrame:
-    """(id, line_no, line): five N-Quads lines per fact, the quad and four about its origin."""
+def claim_documents(claims: Claims, subjects: DataFrame) -> DataFrame:
+    """(id, document): the JSON text of the claims about named subjects."""
+    listed = documents(claims, subjects)
+    columns = [c for c in schemas.CLAIM.names if c in listed.columns]
+    return listed.select("id", F.to_json(F.struct(*columns)).alias("document"))
+
+
+def nquads(identities: DataFrame, fmt: str = "nq", namespace: str = NAMESPACE) -> DataFrame:
+    """(id, line_no, line): five N-Quads lines per fact, the quad and four on where it comes from. Names begin with ``urn:`` and
+    ``namespace``."""
     if fmt != "nq":
         raise ValueError("only the nq format is supported")
 
     def urn(base, c: Column) -> Column:
-        return F.concat(F.lit("<" + base), c, F.lit(">"))
+        return F.concat(F.lit(f"<urn:{namespace}:{base}:"), c, F.lit(">"))
 
     o = F.col("object")
-    graph = urn(URN_IDENTITY, F.col("id"))
+    graph = urn("identity", F.col("id"))
     obj = (
-        F.when(o["kind"] == "iri", urn(URN_IRI, X.iri_escape(o["iri"])))
+        F.when(o["kind"] == "iri", urn("iri", X.iri_escape(o["iri"])))
         .when(o["kind"] == "literal", F.concat(F.lit('"'), X.nquads_escape(o["literal"]), F.lit('"^^<'), o["datatype"], F.lit(">")))
-        .when(o["kind"] == "ref", urn(URN_IDENTITY, o["ref"]))
+        .when(o["kind"] == "ref", urn("identity", o["ref"]))
         .otherwise(F.lit(""))
     )
-    meta = F.lit(f" <{URN_METADATA}> .")
+    meta = F.lit(f" <urn:{namespace}:metadata> .")
 
     def about(name, gap, value):
-        return F.concat(graph, F.lit(f" <{URN_META}{name}>{gap}"), value, meta)
+        return F.concat(graph, F.lit(f" <urn:{namespace}:meta:{name}>{gap}"), value, meta)
 
-    quad = F.concat_ws(" ", urn(URN_SUBJECT, X.iri_escape("subject")), urn(URN_PREDICATE, F.col("predicate")), obj, graph, F.lit("."))
+    quad = F.concat_ws(" ", urn("purl", X.iri_escape("subject")), urn("pred", F.col("predicate")), obj, graph, F.lit("."))
     lines = F.array(
         quad,
         about("observed_at", " ", F.concat(F.lit('"'), F.col("observed_at"), F.lit('"^^<xsd:dateTime>'))),
-        about("evidence", "    ", urn(URN_RAW, F.col("evidence_id"))),
+        about("evidence", "    ", urn("raw", F.col("evidence_id"))),
         about("normalizer", " ", F.concat(F.lit('"'), X.nquads_escape("normalizer"), F.lit('"'))),
         about("vocab", "      ", F.concat(F.lit('"'), X.nquads_escape("vocab"), F.lit('"'))),
     )
     return identities.select("id", F.posexplode(lines).alias("line_no", "line"))
 
 
-def export_nquads(identities: DataFrame, path: str, fmt: str = "nq") -> None:
-    nquads(identities, fmt).select("line").write.mode("error").text(path)
+def export_nquads(identities: DataFrame, path: str, fmt: str = "nq", namespace: str = NAMESPACE) -> None:
+    nquads(identities, fmt, namespace).select("line").write.mode("error").text(path)
 
 
 def normalizer_manifest() -> dict:

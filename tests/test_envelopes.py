@@ -92,14 +92,15 @@ def test_event_record_escapes_markup(spark):
 
 
 def test_names_and_splits(spark):
-    df = spark.createDataFrame([("ed25519:ab:c:d", "n@v@1", "v12"), ("x", "n", "vx"), ("a:b:", "@", "v")],
+    long = "v" + "1" * 20
+    df = spark.createDataFrame([("ed25519:ab:c:d", "n@v@1", "v12"), ("x", "n", "vx"), ("a:b:", "@", long)],
                                "s string, n string, v string")
     got = df.select(E.split_signature("s").alias("s"), E.split_normalizer("n").alias("n"), E.parse_vn("v").alias("v")).collect()
     assert tuple(got[0].s) == ("ed25519", "ab", "c:d")
     assert tuple(got[1].s) == (None, None, None)
     assert tuple(got[2].s) == ("a", "b", "")
     assert [tuple(r.n) for r in got] == [("n", "v@1"), ("n", ""), ("", "")]
-    assert [r.v for r in got] == [12, None, None]
+    assert [r.v for r in got] == [12, None, int("1" * 20)]
     one = spark.range(1).select(
         E.principal_iri(F.lit("i"), F.lit("s")).alias("p"), E.key_fingerprint(F.lit("k")).alias("k"),
         E.attestor(F.lit("t"), F.lit("f")).alias("a"), E.default_log_id(F.lit("f")).alias("l"),
