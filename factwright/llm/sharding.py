@@ -91,5 +91,6 @@ def place(rows: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> Data
 
 
 def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256) -> DataFrame:
-    """Adds shard and slot to documents."""
-    return place(keyed(docs), shards, ranges_per_shard).select("row.*", "shard", "slot")
+    """Adds shard and slot to documents, in place of columns of these names."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return place(keyed(docs), shards, ranges_per_shard).select(*own, "shard", "slot")
