@@ -231,18 +231,17 @@ def reverification(identities: DataFrame, payloads: DataFrame, results: DataFram
     subject); a fact without one is reported as ``not_run``. ``payloads``: (id, body)."""
     wanted = identities.where(F.col("predicate") == "cryptographically_verified_signature_by").select("id", "evidence_id")
     ids = wanted.select("evidence_id").distinct()
-    bodies = payloads.dropDuplicates(["id"])
-    direct = bodies.join(ids.withColumnRenamed("evidence_id", "id"), "id", "left_semi").select(
-        F.col("id").alias("evidence_id"), X.bundle_pointer("body").alias("pointer"), F.col("body").alias("own")
-    )
-    pointed = bodies.select(F.col("id").alias("pointer"), F.col("body").alias("other"))
+    # a body is reduced to what is asked of it in the scan; no shuffle carries the bytes
+    narrow = payloads.select(
+        "id", X.bundle_pointer("body").alias("pointer"), F.col("body").isNotNull().alias("there"), X.bundle_digests("body")["error"].alias("error")
+    ).dropDuplicates(["id"])
+    direct = narrow.join(ids.withColumnRenamed("evidence_id", "id"), "id", "left_semi").select(F.col("id").alias("evidence_id"), "pointer", "there", "error")
+    pointed = narrow.select(F.col("id").alias("pointer"), F.col("there").alias("other_there"), F.col("error").alias("other_error"))
+    own = F.col("pointer").isNull()
     bundles = direct.join(pointed, "pointer", "left").select(
-        "evidence_id",
-        F.coalesce("pointer", "evidence_id").alias("bundle_id"),
-        F.when(F.col("pointer").isNull(), F.col("own")).otherwise(F.col("other")).alias("bundle"),
-    )
-    bundles = bundles.select(
-        "evidence_id", "bundle_id", F.col("bundle").isNotNull().alias("resolved"), X.bundle_digests("bundle")["error"].alias("digest_error")
+        "evidence_id", F.coalesce("pointer", "evidence_id").alias("bundle_id"),
+        F.when(own, F.col("there")).otherwise(F.coalesce("other_there", F.lit(False))).alias("resolved"),
+        F.when(own, F.col("error")).otherwise(F.col("other_error")).alias("digest_error"),
     )
     rows = wanted.join(bundles, "evidence_id", "left")
     if results is None:
@@ -275,17 +274,15 @@ def anchored_checkpoints(identities: DataFrame, payloads: DataFrame) -> DataFram
         "checkpoint_id", F.when(F.col("subject").startswith("checkpoint:"), F.substr("subject", F.lit(12)))
     )
     ids = anchors.select(F.col("checkpoint_id").alias("id")).distinct()
-    bodies = payloads.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    parsed = bodies.select(
-        F.col("id").alias("checkpoint_id"), F.lit(True).alias("found"),
-        F.from_json("body", schemas.SIGNED_CHECKPOINT)["checkpoint"].alias("cp"),
-    )
+    parsed = payloads.select("id", F.from_json("body", schemas.SIGNED_CHECKPOINT)["checkpoint"].alias("cp"))
+    parsed = parsed.join(ids, "id", "left_semi").dropDuplicates(["id"]).withColumn("found", F.lit(True)).withColumnRenamed("id", "checkpoint_id")
     return anchors.join(parsed, "checkpoint_id", "left")
 
 
 def anchor_outcomes(identities: DataFrame, payloads: DataFrame, chain: DataFrame) -> DataFrame:
     """(id, subject, log_id, seq, outcome) of every anchor, ``ok`` included."""
     rows = anchored_checkpoints(identities, payloads).withColumn("log_id", F.col("cp.log_id")).withColumn("seq", F.col("cp.seq"))
+    chain = chain.join(rows.select("log_id").distinct(), "log_id", "left_semi")  # only logs that an anchor names
     at = chain.groupBy("log_id", "seq").agg(F.max("chain_hash").alias("there"))
     logs = chain.groupBy("log_id").agg(F.lit(True).alias("has_log"))
     broken = chain_integrity(chain).groupBy("log_id").agg(F.lit(True).alias("broken"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from factwright import schemas
 from factwright.functions import text as X
 from factwright.operators.claims import Claims
-from factwright.session import cut
+from factwright.session import cut, union_all
 
 VERIFIED = "cryptographically_verified_signature_by"
 FAILED = "cryptographic_verification_failed"
@@ -176,6 +176,12 @@ def revision_chains(revisions: DataFrame) -> DataFrame:
     nodes = revisions.select("id", F.when(F.coalesce("revises", F.lit("")) != "", F.col("revises")).alias("up"))
     nodes = nodes.groupBy("id").agg(F.max("up").alias("up"))
     # a target that was never written ends the chain at the fact that names it
+    named = nodes.where(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("named")).distinct()
+    nodes = cut(nodes.join(named, "id", "left"))
+    # most facts revise nothing and are not revised: they are chains of their own and stay out of the rounds
+    lone = F.col("up").isNull() & F.col("named").isNull()
+    alone = nodes.where(lone).select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("head"), F.lit(0).cast("long").alias("length"), F.lit(False).alias("cyclic"))
+    nodes = nodes.where(~lone).select("id", "up")
     known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("exists"))
     state = nodes.join(known, "up", "left").select(
         "id", F.when(F.col("exists"), F.col("up")).alias("up"), F.when(F.col("exists"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth")
@@ -205,7 +211,7 @@ def revision_chains(revisions: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("head"), F.lit(None).cast("long").alias("length"), F.lit(True).alias("cyclic"),
     )
     rows = sound.join(ends, "anc").select("id", F.col("anc").alias("root"), "depth", "head", "length", F.lit(False).alias("cyclic"))
-    return rows.unionByName(cyclic)
+    return union_all([alone, rows, cyclic])
 
 
 def conflicting_observations(facts: DataFrame, occurrences: DataFrame, predicates=("published_at", "published_by")) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from factwright.functions.envelopes import split_normalizer
 from factwright.operators.policy import dependency_edges
+from factwright.session import cut
 
 
 def neighbourhood(facts: DataFrame, subjects: DataFrame, depth: int = 1) -> DataFrame:
     """(subject, member, hops): the subject itself and, for depth >= 1, its current dependencies.
-    Evaluation uses one hop; a larger ``depth`` follows further hops, each member with its fewest."""
+    Evaluation uses one hop; a larger ``depth`` follows further hops, each member with its fewest. Every hop is written
+    to the shared folder, so that the plan does not grow with their number."""
     start = subjects.select("subject").distinct()
     found = start.select("subject", F.col("subject").alias("member"), F.lit(0).alias("hops"))
     if depth < 1:
@@ -22,6 +24,8 @@ def neighbourhood(facts: DataFrame, subjects: DataFrame, depth: int = 1) -> Data
     for hop in range(1, depth + 1):
         reached = frontier.join(edges, "member").select("subject", F.col("next").alias("member")).distinct()
         frontier = reached.join(found, ["subject", "member"], "left_anti").withColumn("hops", F.lit(hop))
+        if depth > 1:
+            frontier = cut(frontier)
         found = found.unionByName(frontier)
     return found
 

@@ -21,6 +21,7 @@ class Store(NamedTuple):
     chain: DataFrame
     raw: DataFrame
     payloads: DataFrame
+    root: str | None = None
 
 
 def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
@@ -33,6 +34,7 @@ def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
         logs.read_chain(spark, root, local_log_id),
         evidence.read_raw_metadata(spark, root),
         evidence.read_payloads(spark, root, content=True),
+        root,
     )
 
 
@@ -45,7 +47,10 @@ def ingest_landed(store: Store, coordinates: DataFrame, results: DataFrame | Non
     """Facts of all landed responses: package versions of ``coordinates`` (name, version), advisories,
     and the outcomes of a verifier (``results``)."""
     def landed(source):
-        return evidence.landed(store.raw, store.payloads, source)
+        payloads = store.payloads
+        if store.root:
+            payloads = evidence.read_payloads(payloads.sparkSession, store.root, content=True, source=source)
+        return evidence.landed(store.raw, payloads, source)
 
     documents = N.version_documents(evidence.npm_packages(landed("npm.registry")), coordinates)
     facts = [N.normalize_npm(documents), N.normalize_osv(evidence.osv_responses(landed("osv.dev")))]
@@ -84,13 +89,19 @@ def with_hashes(policies, folder: DataFrame) -> list:
     return [replace(p, policy_hash=found.get((p.id, p.version), p.policy_hash)) for p in policies]
 
 
-def evaluate(p: P.Projection, policies=G.BUILT_IN, subjects: DataFrame | None = None, **claim) -> C.Claims:
+def evaluate(p: P.Projection, policies=G.BUILT_IN, subjects: DataFrame | None = None, raw: DataFrame | None = None, **claim) -> C.Claims:
+    """Claims about the named subjects, each on all evidence of its policies' sources, or, without ``subjects``, about every
+    subject. That needs ``raw`` evidence that names its subject (as a store's does), and keeps each claim to its own."""
+    if subjects is None:
+        if raw is None or "subject" not in raw.columns:
+            raise ValueError("claims about all subjects need raw evidence with a subject column")
+        return C.claims(p.facts, raw, policies, None, subject_scoped=True, **claim)
     return C.claims(p.facts, p.raw_evidence, policies, subjects, **claim)
 
 
 def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame | None = None, claims: C.Claims | None = None,
           projection: P.Projection | None = None, recorded: DataFrame | None = None, policies=G.BUILT_IN,
-          evaluator: str = C.EVALUATOR, results: DataFrame | None = None, outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+          evaluator: str = C.EVALUATOR, results: DataFrame | None = None, outcomes: DataFrame | None = None, subject_scoped: bool = False) -> tuple[DataFrame, DataFrame]:
     """(violations, summary) of every check its inputs allow. Checks whose input is not given do not
     run and do not appear in the summary as passed."""
     local = F.col("is_local")
@@ -120,7 +131,8 @@ def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame |
     if claims is not None:
         found[7] = A.claim_envelopes(claims)
         if projection is not None:
-            found[9] = A.claim_rederivation(claims, projection.facts, projection.raw_evidence, policies, evaluator)
+            raw = store.raw if subject_scoped else projection.raw_evidence
+            found[9] = A.claim_rederivation(claims, projection.facts, raw, policies, evaluator, subject_scoped)
     if recorded is not None:
         rebuilt = P.projection_digests(P.project(store.identities, store.occurrences, store.raw))
         found[6] = A.projection_determinism(recorded, rebuilt)

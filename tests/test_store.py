@@ -113,7 +113,13 @@ def test_project_evaluate_audit(spark, root, tmp_path):
     assert manifest["identities_count"] == 6 and manifest["occurrences_count"] == 6
     p = sinks.read_projection(spark, path)
     assert p.facts.where("superseded_by IS NOT NULL").count() == 1
-    claims = jobs.evaluate(p, evaluated_at="2026-02-01T00:00:00Z")
+    with pytest.raises(ValueError):
+        jobs.evaluate(p)
+    scoped = jobs.evaluate(p, raw=s.raw)
+    named = scoped._replace(rows=scoped.rows.withColumn("file_id", F.col("id")))
+    again, _ = jobs.audit(s, claims=named, projection=p, subject_scoped=True)
+    assert scoped.rows.count() > 0 and again.where("check_no in (7, 9)").count() == 0
+    claims = jobs.evaluate(p, subjects=p.facts.select("subject"), evaluated_at="2026-02-01T00:00:00Z")
     claims = claims._replace(rows=claims.rows.withColumn("file_id", F.col("id")))
     recorded = spark.createDataFrame(list(manifest["tables"].items()), "table string, digest string")
     violations, summary = jobs.audit(s, claims=claims, projection=p, recorded=recorded)
