@@ -5,9 +5,9 @@ of its pre-tokens: spaces with the word behind them, or a line end with the word
 pre-token is split into pieces once.
 
 Frequent pre-tokens, found in a sample of bounded size, are counted first and handed to all tasks. A scan then sums these
-within documents and gives the other pre-tokens as rows with their places (block, document, frequency), once for each
-block of texts. Those rows meet by pre-token, are split into pieces once, and their counts are joined to the frequencies
-and summed back by document. Which pre-tokens are thought frequent changes the cost, never a count. No ids are kept.
+within documents and gives the other pre-tokens as rows with the documents and frequencies of a block of texts. Those rows
+meet by pre-token in one shuffle, each is split into pieces once, and the counts, times the frequencies, are summed back by
+document. Which pre-tokens are thought frequent changes the cost, never a count. No ids are kept.
 
 Defined cases: null and empty texts have no tokens; a lone space or line end has tokens as the library gives them; repeated rows are
 counted each for themselves."""
@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from factwright.llm import words as W
-from factwright.llm.common import in_arrow
+from factwright.llm.common import in_arrow, row_key
 from factwright.session import cut
 
-SAMPLE = 4_000  # documents, in expectation, in which frequent pre-tokens are looked for
-SHARE = 2e-6  # of the sample's pre-tokens that a frequent one has at least: there are at most 1 / SHARE
+SAMPLE = 20_000  # documents, in expectation, in which frequent pre-tokens are looked for
+SHARE = 4e-7  # of the sample's pre-tokens that a frequent one has at least: there are at most 1 / SHARE
 FLUSH = 32 << 20  # bytes of text after which a task writes what it has gathered
 
 
@@ -97,94 +97,97 @@ def frequent(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], kept["pieces"].to_numpy(dtype=np.int64)[order]
 
 
-_PLACES = "kind int, doc_id {kind}, n_bytes long, block long, doc int, n long, h long, pre string, docs array<int>, ns array<int>"
+_NAMES = ["h", "key", "doc_id", "n_bytes", "n", "pre", "docs", "ns"]
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 
 def _scan(docs: DataFrame, head: np.ndarray, pieces: np.ndarray) -> DataFrame:
-    """Kind 0: a row per document with its frequent pre-tokens' pieces, n, and its place (block, doc). Kind 1: a row per other
-    pre-token and block, with its documents and frequencies."""
+    """A row per document: key, doc_id, n_bytes, n, the pieces of its frequent pre-tokens, and h, its key again, which deals it out.
+    A row per other pre-token and block of texts: its hash h, itself, the keys of its documents and its frequencies there."""
     shared = docs.sparkSession.sparkContext.broadcast((head, pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def run(batches):
-        from pyspark import TaskContext
-
         head, pieces = shared.value
-        block = TaskContext.get().partitionId() << 32
-        doc, size, held = 0, 0, []
+        size, held, id_type = 0, [], None
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            n_bytes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums = np.zeros(len(ids), np.int64)
+            ids, texts, keys = batch.column("doc_id"), batch.column("text"), batch.column("key").to_numpy()
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            sums, id_type, m = np.zeros(len(ids), np.int64), ids.type, len(ids)
             for first, n, buf, start, end, h, of in _pre_tokens(texts):
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 known = head[at] == h if len(head) else np.zeros(len(h), bool)
-                sums[first : first + n] += np.bincount(of[known], weights=pieces[at[known]], minlength=n).astype(np.int64) if len(head) else 0
+                if len(head):
+                    sums[first : first + n] += np.bincount(of[known], weights=pieces[at[known]], minlength=n).astype(np.int64)
                 rest = np.flatnonzero(~known)
                 if len(rest):
                     u, i, back = np.unique(h[rest], return_index=True, return_inverse=True)
-                    held.append((u, _strings(buf, start[rest][i], end[rest][i]), back, of[rest] + first + doc))
+                    held.append((u, _strings(buf, start[rest][i], end[rest][i]), back, keys[of[rest] + first]))
                 size += len(buf)
-            yield _rows(0, id_type, ids, n_bytes, np.full(len(ids), block), np.arange(doc, doc + len(ids)), sums)
-            doc += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(keys), ids, n_bytes, pa.array(sums), pa.nulls(m, pa.string()), pa.nulls(m, _LONGS), pa.nulls(m, _INTS)], names=_NAMES)
             if size >= FLUSH:
-                yield from places(held, block)
-                block, doc, size, held = block + 1, 0, 0, []
-        yield from places(held, block)
+                yield from places(held, id_type)
+                size, held = 0, []
+        yield from places(held, id_type)
 
-    def places(held, block):
+    def places(held, id_type):
         if not held:
             return
         h = np.concatenate([u[back] for u, _, back, _ in held])
-        docs_of = np.concatenate([d for _, _, _, d in held])
+        keys = np.concatenate([k for _, _, _, k in held])
         text = dict(zip(np.concatenate([u for u, _, _, _ in held]).tolist(), (s for _, t, _, _ in held for s in t)))
-        order = np.lexsort((docs_of, h))
-        h, docs_of = h[order], docs_of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (docs_of[1:] != docs_of[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(h)))
-        h, docs_of = h[at], docs_of[at]
+        order = np.lexsort((keys, h))
+        h, keys = h[order], keys[order]
+        at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (keys[1:] != keys[:-1])))
+        n = np.diff(np.append(at, len(h))).astype(np.int32)
+        h, keys = h[at], keys[at]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         ends = np.append(first, len(h)).astype(np.int32)
         for k in range(0, len(first), 10_000):
-            part = slice(k, min(k + 10_000, len(first)))
-            lo, hi = ends[part.start], ends[part.stop]
-            offs = pa.array(ends[part.start : part.stop + 1] - lo, pa.int32())
-            own = h[first[part]]
-            m = len(own)
+            to = min(k + 10_000, len(first))
+            lo, hi, m, own = ends[k], ends[to], to - k, h[first[k:to]]
+            offs = pa.array(ends[k : to + 1] - lo, pa.int32())
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(m, np.int32)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
-                W.signed(own), pa.array([text[x] for x in own.tolist()], pa.string()),
-                pa.ListArray.from_arrays(offs, pa.array(docs_of[lo:hi].astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(n[lo:hi].astype(np.int32)))], names=_NAMES)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _PLACES.format(kind=kind))
-
-
-_NAMES = ["kind", "doc_id", "n_bytes", "block", "doc", "n", "h", "pre", "docs", "ns"]
+                W.signed(own), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([text[x] for x in own.tolist()], pa.string()),
+                pa.ListArray.from_arrays(offs, pa.array(keys[lo:hi])), pa.ListArray.from_arrays(offs, pa.array(n[lo:hi]))], names=_NAMES)
 
-
-def _rows(kind, id_type, ids, n_bytes, block, doc, sums):
-    m = len(ids)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(m, kind, np.int32)), ids.cast(id_type), pa.array(n_bytes), pa.array(block), pa.array(doc.astype(np.int32)), pa.array(sums),
-        pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.int32()))], names=_NAMES)
+    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
+    return keyed.mapInArrow(run, f"h long, key long, doc_id {kind}, n_bytes long, n long, pre string, docs array<bigint>, ns array<int>")
 
 
 def counts(docs: DataFrame, path: str) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_bytes, n_tokens under the sentencepiece model at ``path``."""
-    scanned = cut(_scan(docs, *frequent(docs, path)))
+    dealt = _scan(docs, *frequent(docs, path)).repartition("h").sortWithinPartitions("h")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def split(batch):
-        pre = batch.column("pre").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(count_pieces(path, pre) if pre else np.zeros(0, np.int64))], names=["h", "pieces"])
-
-    places = scanned.where("kind = 1").select("h", "pre", "block", "docs", "ns")
-    distinct = places.groupBy("h").agg(F.min("pre").alias("pre"))
-    pieces = in_arrow(distinct, "h long, pieces long", split)
-    joined = places.select("h", "block", "docs", "ns").join(pieces, "h")
-    each = joined.select("block", "pieces", F.explode(F.arrays_zip("docs", "ns")).alias("p"))
-    sums = each.groupBy("block", F.col("p.docs").alias("doc")).agg(F.sum(F.col("p.ns") * F.col("pieces")).alias("more"))
-    rows = scanned.where("kind = 0").select("doc_id", "n_bytes", "block", "doc", "n")
-    return rows.join(sums, ["block", "doc"], "left").select("doc_id", "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0).cast("long"))).alias("n_tokens"))
+    def split(batches):
+        last = {}  # the pre-token that a batch may share with the one before
+        for batch in batches:
+            own = pc.is_valid(batch.column("key"))
+            rows = batch.filter(own)
+            m = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("key"), rows.column("doc_id"), rows.column("n_bytes"), rows.column("n"), pa.array(np.zeros(m, np.int64)), pa.array(np.ones(m, np.int64))], names=names)
+            rest = batch.filter(pc.invert(own))
+            if not len(rest):
+                continue
+            h, first, back = np.unique(rest.column("h").to_numpy(), return_index=True, return_inverse=True)
+            pre = rest.column("pre").take(pa.array(first)).to_pylist()
+            new = [i for i, x in enumerate(h.tolist()) if x not in last]
+            pieces = np.array([last.get(x, 0) for x in h.tolist()], np.int64)
+            if new:
+                pieces[new] = count_pieces(path, [pre[i] for i in new])
+            last = {int(h[-1]): int(pieces[-1])}
+            size = pc.list_value_length(rest.column("docs")).to_numpy()
+            keys, back_of = np.unique(rest.column("docs").flatten().to_numpy(), return_inverse=True)
+            more = np.bincount(back_of, weights=np.repeat(pieces[back], size) * rest.column("ns").flatten().to_numpy(), minlength=len(keys)).astype(np.int64)
+            m, zero = len(keys), pa.array(np.zeros(len(keys), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(m, rest.column("doc_id").type), zero, zero, pa.array(more), zero], names=names)
+
+    names = ["key", "doc_id", "n_bytes", "n", "more", "rows"]
+    parts = dealt.mapInArrow(split, f"key long, doc_id {kind}, n_bytes long, n long, more long, rows long")
+    sums = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n").alias("n"), F.sum("more").alias("more"), F.sum("rows").alias("rows"))
+    # equal rows share a key: each brought the same, and each is given back
+    each = sums.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return each.select("doc_id", "n_bytes", (F.col("n") + (F.col("more") / F.col("rows")).cast("long")).alias("n_tokens"))
