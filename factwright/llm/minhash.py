@@ -7,7 +7,7 @@ an estimate of their similarity, corrected for bits that agree by chance, which
 threshold. What is left is confirmed on the full sets.
 
 No bucket is expanded into its pairs. Its members are first compared with one hub, the class that shares most
-buckets (the original of edited copies, as a rule). Only members which that leaves in different components are compared
+buckets (the text that edited copies come from, as a rule). Only members which that leaves in different components are compared
 further, in blocks of bounded size: the packed bits first, then the full sets. A pair is looked at in the first bucket
 that it shares, and only links that join two components become rows.
 
