@@ -24,7 +24,7 @@ from factwright.llm.common import in_arrow, row_key
 from factwright.session import cut
 
 SAMPLE = 20_000  # documents, in expectation, in which frequent pre-tokens are looked for
-SHARE = 4e-7  # of the sample's pre-tokens that a frequent one has at least: there are at most 1 / SHARE
+SHARE = 2e-7  # of the sample's pre-tokens that a frequent one has at least: there are at most 1 / SHARE
 FLUSH = 32 << 20  # bytes of text after which a task writes what it has gathered
 
 
@@ -97,13 +97,13 @@ def frequent(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], kept["pieces"].to_numpy(dtype=np.int64)[order]
 
 
-_NAMES = ["h", "key", "doc_id", "n_bytes", "n", "pre", "docs", "ns"]
+_NAMES = ["key", "doc_id", "n_bytes", "n", "pre", "docs", "ns"]
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 
 def _scan(docs: DataFrame, head: np.ndarray, pieces: np.ndarray) -> DataFrame:
-    """A row per document: key, doc_id, n_bytes, n, the pieces of its frequent pre-tokens, and h, its key again, which deals it out.
-    A row per other pre-token and block of texts: its hash h, itself, the keys of its documents and its frequencies there."""
+    """A row per document: key, doc_id, n_bytes and n, the pieces of its frequent pre-tokens. A row per other pre-token and
+    block of texts: pre, the keys of its documents and its frequencies there."""
     shared = docs.sparkSession.sparkContext.broadcast((head, pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -125,7 +125,7 @@ def _scan(docs: DataFrame, head: np.ndarray, pieces: np.ndarray) -> DataFrame:
                     held.append((u, _strings(buf, start[rest][i], end[rest][i]), back, keys[of[rest] + first]))
                 size += len(buf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(keys), ids, n_bytes, pa.array(sums), pa.nulls(m, pa.string()), pa.nulls(m, _LONGS), pa.nulls(m, _INTS)], names=_NAMES)
+                [pa.array(keys), ids, n_bytes, pa.array(sums), pa.nulls(m, pa.string()), pa.nulls(m, _LONGS), pa.nulls(m, _INTS)], names=_NAMES)
             if size >= FLUSH:
                 yield from places(held, id_type)
                 size, held = 0, []
@@ -149,16 +149,17 @@ def _scan(docs: DataFrame, head: np.ndarray, pieces: np.ndarray) -> DataFrame:
             lo, hi, m, own = ends[k], ends[to], to - k, h[first[k:to]]
             offs = pa.array(ends[k : to + 1] - lo, pa.int32())
             yield pa.RecordBatch.from_arrays([
-                W.signed(own), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([text[x] for x in own.tolist()], pa.string()),
+                pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([text[x] for x in own.tolist()], pa.string()),
                 pa.ListArray.from_arrays(offs, pa.array(keys[lo:hi])), pa.ListArray.from_arrays(offs, pa.array(n[lo:hi]))], names=_NAMES)
 
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
-    return keyed.mapInArrow(run, f"h long, key long, doc_id {kind}, n_bytes long, n long, pre string, docs array<bigint>, ns array<int>")
+    return keyed.mapInArrow(run, f"key long, doc_id {kind}, n_bytes long, n long, pre string, docs array<bigint>, ns array<int>")
 
 
 def counts(docs: DataFrame, path: str) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_bytes, n_tokens under the sentencepiece model at ``path``."""
-    dealt = _scan(docs, *frequent(docs, path)).repartition("h").sortWithinPartitions("h")
+    found = _scan(docs, *frequent(docs, path))
+    dealt = found.repartition(F.coalesce("pre", F.col("key").cast("string"))).sortWithinPartitions("pre")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def split(batches):
@@ -172,13 +173,13 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
             rest = batch.filter(pc.invert(own))
             if not len(rest):
                 continue
-            h, first, back = np.unique(rest.column("h").to_numpy(), return_index=True, return_inverse=True)
-            pre = rest.column("pre").take(pa.array(first)).to_pylist()
-            new = [i for i, x in enumerate(h.tolist()) if x not in last]
-            pieces = np.array([last.get(x, 0) for x in h.tolist()], np.int64)
+            coded = rest.column("pre").dictionary_encode()
+            pre, back = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            new = [i for i, x in enumerate(pre) if x not in last]
+            pieces = np.array([last.get(x, 0) for x in pre], np.int64)
             if new:
                 pieces[new] = count_pieces(path, [pre[i] for i in new])
-            last = {int(h[-1]): int(pieces[-1])}
+            last = {pre[-1]: int(pieces[-1])}
             size = pc.list_value_length(rest.column("docs")).to_numpy()
             keys, back_of = np.unique(rest.column("docs").flatten().to_numpy(), return_inverse=True)
             more = np.bincount(back_of, weights=np.repeat(pieces[back], size) * rest.column("ns").flatten().to_numpy(), minlength=len(keys)).astype(np.int64)
