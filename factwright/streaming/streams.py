@@ -34,21 +34,46 @@ def stream_identities(stream: DataFrame, store: str, checkpoint: str):
 
 
 class ChainAudit(StatefulProcessor):
-    """Per log: the next position and the head so far, and lines that came before their turn."""
+    """Per log: the next position and the head so far, lines that came before their turn, and the gaps that were given
+    up. With ``patience`` milliseconds, a line that has waited so long for the one before it ends the wait."""
+
+    def __init__(self, patience: int | None = None):
+        self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.gaps = handle.getMapState("gaps", "first bigint", "last bigint")
         self.head = handle.getValueState("head", "seq bigint, hash string")
         self.waiting = handle.getMapState("waiting", "seq bigint", "prev string, occurrence string, hash string")
 
     def handleInputRows(self, key, rows, timerValues):
         seq, head = self.head.get() if self.head.exists() else (0, GENESIS)
         found = []
+        given_up = [(first[0], last[0]) for first, last in self.gaps.iterator()]
         for frame in rows:
             for r in frame.sort_values("seq").itertuples(index=False):
-                if r.seq <= seq or self.waiting.containsKey((r.seq,)):
+                if any(first <= r.seq <= last for first, last in given_up):
+                    found.append((r.seq, "arrived after its gap was reported"))
+                elif r.seq <= seq or self.waiting.containsKey((r.seq,)):
                     found.append((r.seq, "seq repeated"))
                 else:
                     self.waiting.updateValue((r.seq,), (r.prev_chain_hash, r.occurrence_id, r.chain_hash))
+        yield self._drain(key, seq, head, found, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seq, head = self.head.get() if self.head.exists() else (0, GENESIS)
+        found = []
+        following = min((k[0] for k in self.waiting.keys()), default=None)
+        if following is not None:
+            self.gaps.updateValue((seq + 1,), (following - 1,))
+            _, _, head = self.waiting.getValue((following,))
+            self.waiting.removeKey((following,))
+            found.append((following, "seq gap"))
+            seq = following
+        yield self._drain(key, seq, head, found, timerValues, expired=True)
+
+    def _drain(self, key, seq, head, found, timerValues, expired=False):
+        """Checks the lines whose turn it is; what still waits gets a timer."""
         while self.waiting.containsKey((seq + 1,)):
             prev, occurrence, got = self.waiting.getValue((seq + 1,))
             self.waiting.removeKey((seq + 1,))
@@ -59,7 +84,10 @@ class ChainAudit(StatefulProcessor):
                 found.append((seq, "chain_hash mismatch"))
             head = got
         self.head.update((seq, head))
-        yield pd.DataFrame({
+        waits = self.patience is not None and any(True for _ in self.waiting.keys())
+        if waits and (expired or not any(True for _ in self.handle.listTimers())):  # the expired one is still listed
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        return pd.DataFrame({
             "log_id": pd.Series([key[0]] * len(found), dtype="object"),
             "seq": pd.Series([f[0] for f in found], dtype="int64"),
             "reason": pd.Series([f[1] for f in found], dtype="object"),
@@ -79,13 +107,15 @@ def link(prev: str, occurrence: str) -> str:
     return hashlib.sha256(raw).hexdigest() if len(raw) == 64 else ""
 
 
-def stream_chain_audit(chain: DataFrame) -> DataFrame:
+def stream_chain_audit(chain: DataFrame, patience: int | None = None) -> DataFrame:
     """Violations of streamed chain lines (log_id, seq, prev_chain_hash, occurrence_id, chain_hash). Lines
-    may come late or out of order; a line waits in the state until the lines before it are there. A
-    position that never arrives holds back the rest of its log: that is a gap, and
-    :func:`factwright.operators.audit.chain_integrity` names it in batch."""
+    may come late or out of order; a line waits in the state until the lines before it are there, or until it has
+    waited ``patience`` milliseconds of processing time. Then the line behind the gap is reported, as
+    :func:`factwright.operators.audit.chain_integrity` does, and the audit goes on from it, so that the state holds no more
+    than what comes in in that time. Without ``patience`` a gap holds back the rest of its log."""
     return chain.groupBy("log_id").transformWithStateInPandas(
-        ChainAudit(), outputStructType="log_id string, seq bigint, reason string", outputMode="Append", timeMode="None"
+        ChainAudit(patience), outputStructType="log_id string, seq bigint, reason string", outputMode="Append",
+        timeMode="None" if patience is None else "ProcessingTime",
     )
 
 
