@@ -8,7 +8,7 @@ the rows on disk if need be, and the fold below keeps the current head and nothi
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factwright.constants import GENESIS
 from factwright.functions.envelopes import occurrence_json_head
@@ -63,6 +63,19 @@ def append_occurrences(new: DataFrame, heads: DataFrame | None = None, order=("i
     )
 
 
+def shard_of(log_id: str, key: str, shards: int) -> Column:
+    """The log of an event: the named one, or one of ``shards`` logs ``<log_id>-<n>`` by a key. A chain is built in
+    order by one task, so a large recorder wants as many logs as it has tasks."""
+    if shards == 1:
+        return F.lit(log_id)
+    return F.concat(F.lit(f"{log_id}-"), F.pmod(F.crc32(F.col(key)), F.lit(shards)).cast("string"))
+
+
+def is_shard(log: Column, log_id: str) -> Column:
+    """Whether a log is the named one or one of its shards."""
+    return (log == log_id) | (log.startswith(f"{log_id}-") & F.substr(log, F.lit(len(log_id) + 2)).rlike("^[0-9]+$"))
+
+
 def heads(chain: DataFrame) -> DataFrame:
     """Newest position and chain hash of each log."""
     return chain.groupBy("log_id").agg(

@@ -60,15 +60,15 @@ def ingest_landed(store: Store, coordinates: DataFrame, results: DataFrame | Non
     return Ingested(union_all(facts), rejects)
 
 
-def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local_log_id: str) -> DataFrame:
-    """Stores facts and the events that record them; gives back rejected facts."""
+def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local_log_id: str, shards: int = 1) -> DataFrame:
+    """Stores facts and the events that record them, in one log or in ``shards`` of it; gives back rejected facts."""
     spark = facts.sparkSession
     store = open_store(spark, root, local_log_id)
     local = store.chain.where(F.col("is_local") & F.col("malformed").isNull())
     facts = facts.withColumn("id", E.identity_id())
     # an event records a fact that is stored already or about to be, never one that is rejected
     accepted = sinks.new_identities(facts, store.identities)[0].select("id").unionByName(store.identities.select("id"))
-    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, append.heads(local))
+    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, append.heads(local), shards)
     staged = f"{root}/staged/{now.replace(':', '')}"
     events.write.mode("overwrite").parquet(staged)  # the fold runs once; both writes below read its result
     rejected = sinks.append_identities(facts, store.identities, f"{root}/assertions/identities", day)
@@ -151,7 +151,7 @@ class Import(NamedTuple):
 
 
 def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, now: str, fetcher: str,
-                peer_keys: DataFrame, outcomes: DataFrame) -> Import:
+                peer_keys: DataFrame, outcomes: DataFrame, shards: int = 1) -> Import:
     """What importing a peer's store would add: its observations and events, our reports of its
     verifications with the events that record them, and its records as evidence. ``peer_keys`` (log_id, public_key) and
     ``outcomes`` (id, valid), a verifier's findings, decide on signatures: what does not verify, or was not tried, is
@@ -169,9 +169,9 @@ def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, n
     kept = routed.where("route = 'store'").select("identity_id").distinct()
     identities = peer.identities.join(kept, peer.identities["id"] == kept["identity_id"], "left_semi").drop("ordinal")
     reports = FED.rewrite_peer_reports(routed)
-    local_heads = known_heads.where(F.col("log_id") == local_log_id)
+    local_heads = known_heads.where(append.is_shard(F.col("log_id"), local_log_id))
     return Import(
-        identities, new, reports, FED.importer_occurrences(reports, local_log_id, now, local_heads),
+        identities, new, reports, FED.importer_occurrences(reports, local_log_id, now, local_heads, shards),
         FED.foreign_as_evidence(new, fetcher, now), rejects.unionByName(unrouted), FED.import_summary(routed, peer.identities),
     )
 

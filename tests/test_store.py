@@ -171,6 +171,18 @@ def test_append_and_read_back(spark, root):
     assert A.chain_integrity(again.chain).count() == 0
 
 
+def test_a_sharded_recorder_chains_each_shard(spark, root):
+    s = jobs.open_store(spark, root, LOG)
+    for i, day in enumerate(("2026-03-01", "2026-03-02")):
+        extra = s.identities.drop("ordinal").withColumn("subject", F.concat("subject", F.lit(f"-{i}"))).withColumn("id", E.identity_id())
+        assert jobs.record(extra, root, day, f"{day}T00:00:00Z", "ingestor:t:f", LOG, shards=3).count() == 0
+    again = jobs.open_store(spark, root, LOG)
+    made = again.chain.where("is_local").groupBy("log_id").count().collect()
+    assert len(made) > 2 and sum(r["count"] for r in made) == 18 and LOG in {r.log_id for r in made}
+    assert A.chain_integrity(again.chain).count() == 0
+    assert again.occurrences.count() == 18 and again.missing_records.count() == 0
+
+
 def test_federation(spark, tmp_path):
     peer, home = str(tmp_path / "peer"), str(tmp_path / "home")
     facts, events = write_folder(spark, peer, log="log:peer")
