@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash.
 
 One pass over the texts gives each document the number of its distinct shingles, a 128-bit hash of the set, minima
-of ``BANDS * ROWS`` permutations folded into a hash per band, and the two low bits of ``SLOTS`` minima, packed. Documents of
+of ``ROWS`` permutations a band folded into a hash per band, and the two low bits of ``SLOTS`` minima, packed. Documents of
 equal sets form a class, and only classes are compared. Classes that share a band are candidates; the packed bits give
 an estimate of their similarity, corrected for bits that agree by chance, which discards those far below the
 threshold. What is left is confirmed on the full sets.
@@ -15,8 +15,11 @@ Defined cases: a null, empty or wordless text has no shingles and no links; a te
 one shingle, the whole sequence; documents without id get the least id of their group, or null, and are never kept;
 repeated rows share their group and their verdict.
 
-A pair at similarity 0.85 shares no band with probability under 2e-6, at 0.8 under 4e-5, less above; a component with more
-than one link to a document makes a miss rarer still. The estimate's margin is over five standard deviations."""
+The number of bands follows the threshold: a pair right at it shares no band with probability ``MISS`` at most (2e-6 at 0.85 with
+28 bands, 3e-5 at 0.8 with 34), less above; a component with more than one link to a document makes a miss rarer still. No pair that
+shares a band is lost. The estimate's margin is over five standard deviations."""
+
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +29,42 @@ from factwright.llm import words as W
 from factwright.llm.common import carry, components, in_arrow, row_key, without
 from factwright.session import cut
 
-BANDS, ROWS = 28, 6
+BANDS, ROWS = 28, 6  # bands at least
+MISS = 4e-5
 SLOTS = 160  # minima whose two low bits are kept, 32 to a long
 LONGS = SLOTS // 32
 MARGIN = 0.2
 BLOCK = 1024  # members of a bucket that one group compares with as many others
 BLOCK_SHINGLES = 1 << 20  # and their shingles
 
-_PERMUTATIONS = (np.random.default_rng(20240607).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_BAND = [f"b{i}" for i in range(BANDS)]
 _LOW = [f"s{i}" for i in range(LONGS)]
 
 
-def _minima(u: np.ndarray) -> np.ndarray:
+def band_count(percent: int) -> int:
+    """Bands with which a pair at the threshold shares none with probability MISS at most."""
+    return BANDS if percent >= 100 else max(BANDS, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))))
+
+
+def _permutations(bands: int) -> np.ndarray:
+    return (np.random.default_rng(20240607).integers(0, 1 << 31, bands * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+
+
+def _band(bands: int) -> list[str]:
+    return [f"b{i}" for i in range(bands)]
+
+
+def _minima(u: np.ndarray, permutations: np.ndarray) -> np.ndarray:
     x = (u >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(_PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+    out = np.full(len(permutations), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
-        np.minimum(out, (x[None, i : i + 1024] * _PERMUTATIONS[:, None]).min(axis=1), out=out)
+        np.minimum(out, (x[None, i : i + 1024] * permutations[:, None]).min(axis=1), out=out)
     return out
 
 
 def _bands(minima: np.ndarray) -> np.ndarray:
     """A hash per document and band. minima: documents by permutations."""
-    m = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(m), 1))
+    m = minima.reshape(len(minima), minima.shape[1] // ROWS, ROWS).astype(np.uint64)
+    out = np.tile(np.arange(1, m.shape[1] + 1, dtype=np.uint64), (len(m), 1))
     for i in range(ROWS):
         out = W.mix(out * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
     return out
@@ -61,9 +76,10 @@ def _packed(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, bands: int = BANDS) -> DataFrame:
     """Per row of (doc_id, text): key, n_shingles, the hash of the set (h1, h2), band hashes and packed bits."""
-    schema = "doc_id long, key long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _BAND + _LOW)
+    names, permutations = _band(bands) + _LOW, _permutations(bands)
+    schema = "doc_id long, key long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in names)
 
     def each(batch):
         ids, keys = batch.column("doc_id"), batch.column("key")
@@ -71,17 +87,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             w = W.split(offsets, raw)
             n = len(offsets) - 1
             count, h1, h2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            minima = np.full((n, len(_PERMUTATIONS)), 0xFFFFFFFF, np.uint32)
+            minima = np.full((n, len(permutations)), 0xFFFFFFFF, np.uint32)
             for i in range(n):
                 u = W.shingles(w.hash[w.bound[i] : w.bound[i + 1]], size)
                 if len(u):
                     count[i], h1[i], h2[i] = len(u), u.sum(dtype=np.uint64), W.mix(u).sum(dtype=np.uint64)
-                    minima[i] = _minima(u)
+                    minima[i] = _minima(u, permutations)
             cols = [ids.slice(first, n), keys.slice(first, n), pa.array(count), W.signed(h1), W.signed(h2)]
-            bands, packed = _bands(minima), _packed(minima)
-            cols += [W.signed(np.ascontiguousarray(bands[:, i])) for i in range(BANDS)]
+            banded, packed = _bands(minima), _packed(minima)
+            cols += [W.signed(np.ascontiguousarray(banded[:, i])) for i in range(bands)]
             cols += [W.signed(np.ascontiguousarray(packed[:, i])) for i in range(LONGS)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shingles", "h1", "h2", *_BAND, *_LOW])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shingles", "h1", "h2", *names])
 
     return in_arrow(docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")), schema, each)
 
@@ -150,12 +166,12 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int32) / SLOTS - 0.25) / 0.75
 
 
-def _links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+def _links(rows: pa.Table, percent: int, band: list[str]) -> list[tuple[int, int]]:
     """Links between the components of one group's members, enough to join all that are linked. A pair is looked at in
     the first bucket that it shares. Members of one block are compared among themselves, of two with the other's."""
     block, node, comp, n = (rows.column(c).to_numpy() for c in ("block", "node", "component", "n_shingles"))
     bits = np.stack([rows.column(c).to_numpy() for c in _LOW], axis=1).view(np.uint64)
-    bands = np.stack([rows.column(c).to_numpy() for c in _BAND], axis=1)
+    bands = np.stack([rows.column(c).to_numpy() for c in band], axis=1)
     here = int(np.argmax(bands[0] == rows.column("bucket")[0].as_py()))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -202,14 +218,15 @@ def _links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
 def _blockwise(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact links between components that share a bucket. A bucket is dealt to groups of at most two blocks of
     about BLOCK members and BLOCK_SHINGLES shingles, so that each pair of blocks meets once; only links become rows."""
-    own = apart.join(classes.select("node", "n_shingles", *_LOW, *_BAND), "node").join(sets, "node")
+    band = _band(band_count(percent))
+    own = apart.join(classes.select("node", "n_shingles", *_LOW, *band), "node").join(sets, "node")
     many = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
     sizes = apart.join(classes.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.ceil(many).alias("blocks"))
     dealt = own.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     keys = ["bucket", "i", "j"]
-    dealt = dealt.select(*keys, "block", "node", "component", "n_shingles", *_LOW, *_BAND, "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "block", "node", "component", "n_shingles", *_LOW, *band, "shingles").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         held, last = [], None
@@ -230,7 +247,7 @@ def _blockwise(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
             yield from emit(held)
 
     def emit(held):
-        out = _links(pa.concat_tables(held).combine_chunks(), percent)
+        out = _links(pa.concat_tables(held).combine_chunks(), percent, band)
         if out:
             a, b = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -240,15 +257,16 @@ def _blockwise(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of (doc_id, text): doc_id, key (see ``row_key``), n_shingles, component_id, the least doc_id reachable."""
-    rows = cut(signatures(docs, size))
+    bands = band_count(percent)
+    rows = cut(signatures(docs, size, bands))
     some = rows.where("n_shingles > 0")
     node = F.xxhash64("n_shingles", "h1", "h2").alias("node")
     classes = cut(
         some.groupBy("n_shingles", "h1", "h2")
-        .agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in _BAND + _LOW])
+        .agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in _band(bands) + _LOW])
         .withColumn("node", node)
     )
-    members = classes.select("node", F.explode(F.array(*_BAND)).alias("bucket"))
+    members = classes.select("node", F.explode(F.array(*_band(bands))).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("shared")).where("shared > 1")
     members = cut(members.join(shared, "bucket"))
 
