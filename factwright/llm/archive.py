@@ -3,7 +3,8 @@
 Payloads are stored once under their SHA-256, written from bytes whose digest is worked out anew when they are read; record
 headers are stored apart, byte for byte, under the record's id and the digest of its payload. A record is rebuilt by joining
 both. The record with the largest id of those with equal payloads is the response, which other records of the same payload
-revisit. ``export`` writes the rebuilt records as plain WARC files, ``parse`` reads records back.
+revisit. ``export`` writes the rebuilt records as plain WARC files, which
+nothing here reads back: ``read`` and ``parse`` take records from the two tables.
 
 Defined cases: a null payload is an empty one; null urls have an empty target; records without id are kept, and are the response
 only where no record of their payload has an id; repeated rows are kept, all as responses if they have the largest id; payloads
