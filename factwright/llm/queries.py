@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factwright.llm import archive, language, minhash, mixing, quality, resample, sharding, suffixtree, tokens, winnow
+from factwright.llm import archive, language, minhash, mixing, negatives, packed, quality, repair, resample, sharding, suffixtree, tokens, winnow
 from factwright.llm.common import ORACLES, QUERIES, new_folder, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,5 +132,80 @@ def op10(spark, sf):
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op11_patched_frames")
+def op11(spark, sf):
+    import public_tokenizers
+
+    path = new_folder(spark, "ids")
+    packed.write(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
+    return packed.read(spark, path)
+
+
+def _edit(k: str, cost: str, edit: str) -> str:
+    """SQL for a weight, its cost as nine digits and then its audit, after one more edit."""
+    return f"lpad((substr({k}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({k}, 10) || '{edit}'"
+
+
+def _step(k0: str, k1: str, k2: str, k3: str) -> str:
+    """SQL for the weights of the states after row r, insertions aside."""
+    before_user = f"least({k0}, {k1}, {k3})"
+    one = lambda initial, k: f"CASE WHEN NOT dead AND initial = '{initial}' THEN {_edit(k, 'more', 'K')} END"
+    new = lambda k: f"CASE WHEN NOT dead THEN {_edit(k, '3 + more', 'R')} END"
+    gone = lambda k: _edit(k, "4", "D")
+    return (f"{gone(k0)} AS a0, least({gone(k1)}, {one('s', k0)}) AS a1, least({gone(k2)}, {one('u', before_user)}, {new(before_user)}) AS a2, "
+            f"least({gone(k3)}, {one('a', k2)}, {new(k2)}) AS a3")
+
+
+@query("op12_lightest_repairs", rf"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM (SELECT unnest(range(256)) AS i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
+o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, *, substr(role, 1, 1) AS initial,
+    NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM d),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS dup, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM o),
+g AS (SELECT *, blank OR dup AS dead, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM f),
+s AS (SELECT c, 0::BIGINT AS i, '000000000' AS k0, NULL::VARCHAR AS k1, '000000003I' AS k2, '000000006II' AS k3 FROM (SELECT DISTINCT c FROM g)
+    UNION ALL
+    SELECT c, i, a0, a1, b2, least(a3, {_edit('b2', '3', 'I')}) FROM (SELECT *, least(a2, {_edit('a0', '3', 'I')}, {_edit('a1', '3', 'I')}, {_edit('a3', '3', 'I')}) AS b2
+        FROM (SELECT g.c, g.i, {_step('k0', 'k1', 'k2', 'k3')} FROM s JOIN g ON g.c = s.c AND g.i = s.i + 1))),
+w AS (SELECT c, arg_max(least(k0, k3), i) AS w FROM s GROUP BY c),
+e AS (SELECT c, unnest(range(1, len(w) - 8)) AS p, substr(w, 9 + p, 1) AS e FROM w WHERE len(w) > 9),
+n AS (SELECT *, sum((e <> 'I')::INTEGER) OVER one AS i, sum((e <> 'D')::INTEGER) OVER one AS n FROM e WINDOW one AS (PARTITION BY c ORDER BY p)),
+x AS (SELECT n.c, n.p, n.e, n.n, g.role, CASE WHEN n.e <> 'I' THEN g.text ELSE '' END AS text, max((n.n = 1 AND n.e = 'K' AND g.initial = 's')::INTEGER) OVER (PARTITION BY n.c) AS off
+    FROM n LEFT JOIN g ON g.c = n.c AND g.i = n.i),
+y AS (SELECT c, string_agg(CASE WHEN e = 'K' THEN role WHEN (n - off) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS lines FROM x WHERE e <> 'D' GROUP BY c),
+z AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (cut AND NOT dead) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY c)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(substr(w, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(w, 10), '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN z ON q.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN w USING (c) LEFT JOIN y USING (c)
+""")
+def op12(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), rows).drop("n_repaired")
+
+
+@query("op13_cluster_lists", """
+WITH e AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.r, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, b.v) END::BIGINT AS score
+    FROM e a JOIN e b ON a.r <> b.r AND a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5),
+n AS (SELECT p.anchor, p.r, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, s.r AS nr
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score),
+x AS (SELECT *, row_number() OVER (PARTITION BY anchor, r ORDER BY negative_score DESC, negative_id NULLS LAST, nr) AS rank FROM n)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM x WHERE rank <= 5
+""")
+def op13(spark, sf):
+    rows = negatives.usable(table(spark, sf, "embeddings")).withColumn("label", negatives.label_noise(F.col("label"), F.col("id")))
+    rows = negatives.keyed(negatives.scaled(rows))
+    return negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
 def load():
     return QUERIES, ORACLES
