@@ -11,14 +11,17 @@ index: where each block starts in the packed data (uint64), its first exception
 is filled up with its minimum. ``part`` and number order the files, so that the position of a document among all is the sum of what
 earlier files hold and its place in its own.
 
-Words between ASCII white space are encoded once per task while they are remembered, and put together: exact for every
-model whose pre-tokens never cross white space. The first texts of every task are encoded whole as well; a difference is an error.
+Words between ASCII white space are encoded once while they are remembered, their runs of Latin letters apart from the marks around
+them, and put together: exact for a model that lowers case and whose pre-tokens are runs of letters or of marks and never cross white
+space, as this vocabulary's are. The first texts of every task are encoded whole as well; a difference is an error.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id comes first; rows of one doc_id are ordered by a hash of
 their text, and equal rows all stay; no documents give no files and no rows; a text is one row and is held whole, as Spark holds it."""
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -33,7 +36,8 @@ from factwright.session import cut
 BLOCK = 128
 PERCENTILE = 98
 FILE_IDS = 1 << 22  # ids after which a file is closed: 16 MB before, about 8 MB after packing
-KNOWN_BYTES = 64 << 20  # of words and their ids that a task remembers
+KNOWN_BYTES = 128 << 20  # of words and their ids that a Python process remembers
+TRIED = 8  # texts of a task that are encoded whole as well
 HEADER = struct.Struct("<8sIIQQQQQ")
 MAGIC = b"PFORIDS1"
 CHUNK = 4096  # blocks that are packed at once
@@ -47,33 +51,90 @@ def _model(path: str):
     return Tokenizer.from_file(path)
 
 
-def _encode(path: str, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in _model(path).encode_batch_fast(texts, add_special_tokens=False)]
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _encode(path: str, text: str) -> bytes:
+    return _packed(_model(path).encode(text, add_special_tokens=False).ids)
+
+
+#: ASCII marks that never join the letters beside them: no apostrophe, digit or sign of a special token.
+_MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # less I with a dot, which is two characters in lower case
+#: Bytes as byte-level models spell them: printable Latin-1 characters are themselves, the others follow from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_SPELLED = {b: 256 + _OTHERS.index(b) for b in _OTHERS}
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian 32-bit integers."""
+    """Ids of texts as bytes of little-endian 32-bit integers. Words are remembered, and so are the parts that new ones are taken into."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.size, self.tried = path, {}, 0, 0
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
+        self.path, self.known, self.parts, self.size, self.tried = path, {}, {}, 0, 0
+
+    def __call__(self, text: bytes) -> bytes:
+        words = text.split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.known.get(words[i]) or self.word(words[i])
+        ids = b"".join(found)
+        if self.tried < TRIED and 0 < len(text) < 1 << 16:
+            self.tried += 1
+            if _encode(self.path, text.decode("utf-8", "replace")) != ids:
+                raise ValueError(f"pre-tokens of {self.path} aren't runs of letters, or cross white space")
         if self.size > KNOWN_BYTES:
             self.known, self.size = {}, 0
-            new = list(set().union(*words))
-        for w, ids in zip(new, _encode(self.path, [w.decode("utf-8", "replace") for w in new])):
-            self.known[w] = ids
-            self.size += len(w) + len(ids) + 100
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        if self.tried < 4:
-            for t, ids in zip(texts, out):
-                if self.tried < 4 and 0 < len(t) < 1 << 16:
-                    self.tried += 1
-                    if _encode(self.path, [t.decode("utf-8", "replace")])[0] != ids:
-                        raise ValueError(f"pre-tokens of {self.path} cross white space")
-        return out
+            if len(self.parts) > KNOWN_BYTES >> 8:
+                self.parts = {}
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        core = word.strip(_MARKS)
+        if core.isalpha() or _LATIN.fullmatch(core.decode("utf-8", "replace")):
+            at = word.index(core)
+            ids = self.letters(core)
+            if len(core) < len(word):
+                ids = b"".join([self.marks(word[:at]), ids, self.marks(word[at + len(core) :])])
+        else:
+            ids = _encode(self.path, word.decode("utf-8", "replace"))
+        self.known[word] = ids
+        self.size += len(word) + len(ids) + 160
+        return ids
+
+    def letters(self, core: bytes) -> bytes:
+        """A run of letters, as the model has its pre-tokens: composed, in lower case, each byte as a character."""
+        ids = self.parts.get(core)
+        if ids is None:
+            if core.isascii():
+                spelled = core.decode().lower()
+            else:
+                spelled = unicodedata.normalize("NFC", core.decode()).lower().encode().decode("latin-1").translate(_SPELLED)
+            ids = self.parts[core] = _packed([t.id for t in _model(self.path).model.tokenize(spelled)])
+        return ids
+
+    def marks(self, marks: bytes) -> bytes:
+        if not marks:
+            return b""
+        ids = self.parts.get(marks)
+        if ids is None:
+            ids = self.parts[marks] = _encode(self.path, marks.decode())
+        return ids
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process, which remembers words from task to task; every task tries its first texts anew."""
+    found = _encoder(path)
+    found.tried = 0
+    return found
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -198,21 +259,20 @@ def write(docs: DataFrame, model: str, path: str, end_id: int = 1, file_ids: int
     def run(batches):
         from pyspark import TaskContext
 
-        part, number, size, ids, parts, encode = TaskContext.get().partitionId(), 0, 0, [], [], Encoder(model)
+        part, number, size, ids, parts, encode = TaskContext.get().partitionId(), 0, 0, [], [], encoder(model)
 
         def close():
             return pa.RecordBatch.from_arrays([pa.array([build(part, number, ids, parts)], pa.binary())], names=["file"])
 
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-            for k in range(0, len(texts), 256):
-                for d, packed in zip(batch.column("doc_id")[k : k + 256].to_pylist(), encode(texts[k : k + 256])):
-                    ids.append(d)
-                    parts.append(packed + end)
-                    size += len(parts[-1]) // 4
-                    if size >= file_ids:
-                        yield close()
-                        number, size, ids, parts = number + 1, 0, [], []
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
+            for d, text in zip(batch.column("doc_id").to_pylist(), texts):
+                ids.append(d)
+                parts.append(encode(text.as_py()) + end)
+                size += len(parts[-1]) // 4
+                if size >= file_ids:
+                    yield close()
+                    number, size, ids, parts = number + 1, 0, [], []
         if parts:
             yield close()
 
