@@ -11,7 +11,7 @@ candidates in blocks of ``LIST`` components, so that no candidate is shuffled; o
 two aggregations.
 
 Scores are exact: 64-bit floats hold integer products up to 2^53, and rows that could pass this take the same walk in Python
-integers; a score beyond the range of a long is given as the nearest long.
+integers; a score beyond the range of a long counts as the nearest long.
 
 Defined cases: rows with a null label, a null vector or a component that is null, NaN or infinite take no part; a shorter vector
 counts as filled up with zeros, an empty one scores 0; a null id is no anchor, is not divisible by 7 and comes after all others in ties;
@@ -32,7 +32,7 @@ LIST = 1 << 22  # components of candidates in one task's list (32 MB)
 FAN = 256  # groups in which the rows that tasks keep for an anchor are merged first
 CHUNK = 1_024  # candidates that members step over at once
 EXACT = 2.0**52
-LAST = np.iinfo(np.int64).max
+LAST = 2**63 - 1
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def products(a: Vectors, rows: np.ndarray, x: Vectors, columns: np.ndarray) -> n
     if not (a.large[rows].any() or x.large[columns].any()):
         return (a.m[rows] @ x.m[columns].T).astype(np.int64)
     whole = lambda m: np.array([[int(y) for y in r] for r in m], object).reshape(m.shape)
-    return whole(a.m[rows]) @ whole(x.m[columns]).T
+    return np.minimum(np.maximum(whole(a.m[rows]) @ whole(x.m[columns]).T, -LAST - 1), LAST)
 
 
 def _no(kind):
@@ -213,10 +213,6 @@ def walk(anchors: Vectors, clusters: Clusters, x: Vectors, same_label: bool, kep
     return steps
 
 
-def _long(x: int) -> int:
-    return max(min(x, LAST), -LAST - 1)
-
-
 def _walks(candidates: DataFrame, shared, same_label: bool, k: int) -> DataFrame:
     """(part, anchor, slot, id, key, score) of what each task keeps."""
 
@@ -239,7 +235,7 @@ def _walks(candidates: DataFrame, shared, same_label: bool, k: int) -> DataFrame
                 held, n = [], 0
         if held:
             flush()
-        out = [(part, a, j, None if i == LAST else i, key, _long(-score)) for (a, j), rows in kept.rows.items() for score, i, key in rows]
+        out = [(part, a, j, None if i == LAST else i, key, -score) for (a, j), rows in kept.rows.items() for score, i, key in rows]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for at in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), kinds)], names=["part", "anchor", "slot", "id", "key", "score"])

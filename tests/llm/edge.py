@@ -23,7 +23,22 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PLAIN = [r for i, r in enumerate(ODD) if r[0] is not None and r[0] not in [x[0] for x in ODD[:i]]]
 
 
-def write(spark, path, docs=ODD, labels=(), benchmark=(), pages=()):
+#: Turns that are null, repeated, missing and far apart, roles and texts that are null or odd, and a conversation longer than several leaves.
+TURNS = [
+    *[(c, t, ("system", "user", "assistant")[(t > 0) + (t > 0 and t % 2 == 0)], f"Line {t} of {c}" + ("." if t % 3 else " …")) for c in range(40) for t in range(c % 7)],
+    (100, None, "user", "When?"), (100, None, None, None), (100, 1, "assistant", ""), (100, 5, "tool", "x."), (100, 5, "user", "x."), (100, 9, "assistant", "é!\u00a0 "),
+    (101, None, None, None), (102, 3, "USER", "Hi."), (102, 4, "umpire", "Out!"), (102, 5, "assistant", "Ok. \n\t"), (-3, -7, "user", "a."), (-3, -5, "assistant", "b?"),
+    (None, 0, "user", "no id."), (None, 1, "assistant", "none."), (None, 1, "assistant", "none."), (103, 1, "user", "y" * 200_000),
+    *[(104, t, ("user", "assistant")[t * t % 5 % 2], f"{t % 17}" + ".,"[t % 4 == 0]) for t in range(400)], *[(105, 1, "user", "same.")] * 300,
+]
+VECTORS = [
+    *[(i, [math.sin(i * k) / (1 + k % 3) for k in range(1, 9)], i % 3) for i in range(260)], *[(1000 + i, [0.25] * 8, i % 2) for i in range(120)],
+    (2000, None, 1), (2100, [0.5] * 8, None), (2200, [None] + [0.5] * 7, 1), (2300, [math.nan] * 8, 1), (2400, [math.inf] + [0.5] * 7, 1), (None, [0.25] * 8, 1), (None, [0.3] * 8, 0),
+    (2500, [0.0] * 8, 2), (2600, [-0.1] * 8, 0), (2600, [-0.1] * 8, 0), (200, [0.25] * 8, 1), (2700, [-1e-20] * 8, 1), (2800, [900.0] * 8, 5), (-700, [0.2, -0.2] * 4, -3),
+]
+
+
+def write(spark, path, docs=ODD, labels=(), benchmark=(), pages=(), conversations=(), embeddings=()):
     """A folder of tables, with columns that clash with names inside the operators."""
     extra = ", row string, key long, size long, shard int, copy int, `_size` int"
     more = ("r", 7, 8, 9, 10, 11)
@@ -31,6 +46,9 @@ def write(spark, path, docs=ODD, labels=(), benchmark=(), pages=()):
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    more = ", `role2` string, kind int, digest string, copy int, spans string, key long, v string, score long"
+    spark.createDataFrame([(*r, "u", 1, "d", 2, "s") for r in conversations], "conv_id long, turn long, role string, text string" + more[: more.index(", key")]).repartition(3).write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(*r, 4, "v", 6) for r in embeddings], "vec_id long, embedding array<float>, label int" + more[more.index(", key") :]).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 

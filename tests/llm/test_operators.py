@@ -21,14 +21,14 @@ PAGES = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c\r\nX:
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     labels = [(1, 1, 0), (2, 1, 0), (6, 0, 0), (8, 0, 1), (9, None, 0), (None, 1, 0), (99, 1, 0), (1, 0, None)]
-    return edge.write(spark, str(tmp_path_factory.mktemp("odd") / "t"), edge.ODD, labels, ITEMS, PAGES)
+    return edge.write(spark, str(tmp_path_factory.mktemp("odd") / "t"), edge.ODD, labels, ITEMS, PAGES, edge.TURNS, edge.VECTORS)
 
 
 @pytest.fixture(scope="module")
 def plain(spark, tmp_path_factory):
     labels = [(r[0], int(r[0] % 3 > 0), 0) for r in edge.PLAIN]
     docs = [(r[0], r[1] and r[1][:20_000], *r[2:]) for r in edge.PLAIN]  # SQL over windows needs much memory for longer ones
-    return edge.write(spark, str(tmp_path_factory.mktemp("plain") / "t"), docs, labels, ITEMS[:5], PAGES[:5] + PAGES[6:])
+    return edge.write(spark, str(tmp_path_factory.mktemp("plain") / "t"), docs, labels, ITEMS[:5], PAGES[:5] + PAGES[6:], edge.TURNS, edge.VECTORS)
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_empty_tables_give_no_rows(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_odd_rows_agree_with_sql(spark, plain, name):
     con = duckdb.connect(config={"threads": 2, "memory_limit": "4GB"})
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{plain}/{t}.parquet/*.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, plain).select(*want.columns)
