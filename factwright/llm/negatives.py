@@ -158,7 +158,7 @@ class Kept:
     def __init__(self, bands: list, k: int):
         n, slots = len(bands), max(map(len, bands), default=0)
         ends = [e for b in bands for pair in b for e in pair if e is not None]
-        kind, far = (np.int64, 2**62) if all(abs(e) < EXACT for e in ends) else (object, 10**400)
+        kind, far = (np.int64, LAST) if all(abs(e) < EXACT for e in ends) else (object, LAST + 1)
         self.k, self.rows = k, {}
         self.least, self.most = np.full((n, slots), far, kind), np.full((n, slots), -far, kind)
         self.last = np.full((n, slots), np.inf)
@@ -178,7 +178,8 @@ class Kept:
             if len(own) >= self.k:
                 own.sort()
                 del own[self.k :]
-                self.last[a, slot] = float(-own[-1][0])
+                last = -own[-1][0]  # as a float, rounded down
+                self.last[a, slot] = last if abs(last) <= 2**53 else np.nextafter(float(last), -np.inf)
 
 
 def walk(anchors: Vectors, clusters: Clusters, x: Vectors, same_label: bool, kept: Kept) -> int:
