@@ -171,8 +171,8 @@ def _escaped(c):
     return f"replace(replace(replace({c},'\\','\\\\'),chr(9),'\\t'),chr(10),'\\n')"
 
 
-def _row(columns):
-    return "sha256(" + "||chr(9)||".join(_escaped(c) for c in columns) + ")"
+def _row(table, columns):
+    return f"sha256({table}||chr(10)||" + "||chr(9)||".join(_escaped(c) for c in columns) + ")"
 
 
 def _digest_sql(with_local):
@@ -180,20 +180,17 @@ def _digest_sql(with_local):
     raw_cols = ["id", "source", "endpoint", "200", "coalesce(result_count,-1)"]
     if with_local:
         raw_cols = ["id", "source", "endpoint", "fetched_at", "'ingestor:tables@v1:0000000000000000'", "200", "payload_path", "coalesce(result_count,-1)"]
-    h = f"""SELECT 'raw_evidence' AS tbl, {_row(raw_cols)} AS h FROM raw
-        UNION ALL SELECT DISTINCT 'identities', {_row(["id", "predicate", "subject"])} FROM lines
-        UNION ALL SELECT 'identity_history', {_row(["subject", "predicate", "object_key", "id", "revises"])} FROM
+    h = f"""SELECT 'raw_evidence' AS tbl, {_row("'raw_evidence'", raw_cols)} AS h FROM raw
+        UNION ALL SELECT DISTINCT 'identities', {_row("'identities'", ["id", "predicate", "subject"])} FROM lines
+        UNION ALL SELECT 'identity_history', {_row("'identity_history'", ["subject", "predicate", "object_key", "id", "revises"])} FROM
         (SELECT DISTINCT subject, predicate, CASE kind WHEN 'literal' THEN 'lit:'||datatype||':'||object ELSE 'iri:'||object END AS object_key, id, revises FROM lines)
-        UNION ALL SELECT predicate, {_row(fact_cols)} FROM facts"""
+        UNION ALL SELECT predicate, {_row("predicate", fact_cols)} FROM facts"""
     if with_local:
         cols = ["id", "identity_id", "attestor", "attestor_role", "ingested_at", "log_id", "prev_chain_hash", "chain_hash", "NULL"]
-        h += f" UNION ALL SELECT 'occurrences', {_row(cols)} FROM occ"
+        h += f" UNION ALL SELECT 'occurrences', {_row("'occurrences'", cols)} FROM occ"
     needs = ["raw", "lines", "facts"] + (["occ"] if with_local else [])
-    return sql(
-        "SELECT tbl AS \"table\", CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(g,'' ORDER BY g)) AS digest FROM one GROUP BY 1",
-        *needs, h=h, two="SELECT tbl, substr(h,1,6)||sha256(string_agg(h,'' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY tbl, substr(h,1,6)",
-        one="SELECT tbl, substr(h,1,3)||sha256(string_agg(h,'' ORDER BY h)) AS g, sum(n) AS n FROM two GROUP BY tbl, substr(h,1,3)",
-    )
+    limbs = "||':'||".join(f"(sum(('0x'||substr(h,{1 + 8 * i},8))::BIGINT)%4294967296)::BIGINT" for i in range(8))
+    return sql(f"SELECT tbl AS \"table\", count(*) AS rows, sha256(count(*)||':'||{limbs}) AS digest FROM h GROUP BY 1", *needs, h=h)
 
 
 def _projection(spark, sf):

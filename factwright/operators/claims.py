@@ -1,7 +1,8 @@
 """Evaluation records: a verdict with the ids of everything it was derived from.
 
 A claim is a row beside two long tables, the ids of its facts and of its evidence, at every size. Its content id hashes
-the text of the document that would list them, as a stream over the sorted long rows with constant memory. Lists are
+the text of the document that would list them, as a stream over the sorted long rows with constant memory: marks between pieces are put
+in by column, a batch's pieces lie in one buffer, and each run of a claim goes into its hash at once. Lists are
 built only in :func:`documents`, an export for named subjects.
 """
 
@@ -9,7 +10,9 @@ from typing import NamedTuple
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factwright.functions.envelopes import _json, claim_json_parts
@@ -31,7 +34,7 @@ def _headers(verdicts: DataFrame, evaluator: str, evaluated_at: str, identities_
             "rules_fired", "missing_predicates", "input_counts",
             F.lit(None).cast("map<string,array<string>>").alias("occurrences_cited"),
         ))
-        .withColumn("__key", F.concat_ws("\x1f", *KEYS))
+        .withColumn("__key", F.monotonically_increasing_id())
     )
 
 
@@ -41,62 +44,67 @@ def _versions(entries) -> Column:
     return F.coalesce(F.map_from_entries(entries), empty).alias("normalizer_versions")
 
 
-def _hash_stream(batches):
-    key, digest, first, done = None, None, True, []
+_MARKS = pa.array(["", ",", "[", "]", "null"], pa.string())
+
+
+def _hash_runs(batches):
+    """Sections 0, 2 and 4 are the document around its lists, 1 and 3 their elements, of which copies lie side by side."""
+    key, digest, last = None, None, (-1, None)
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("__key", "__section", "__text")]
-        for k, section, text in zip(*columns):
-            if k != key:
-                if key is not None:
-                    done.append((key, digest.hexdigest()))
-                key, digest = k, hashlib.sha256()
-            if section % 2 == 0:
-                first = True
-            elif not first:
-                digest.update(b",")
-            digest.update(text.encode())
-            first = first and section % 2 == 0
-        if len(done) > 4096:
-            yield _keyed(done)
-            done = []
-    if key is not None:
-        done.append((key, digest.hexdigest()))
-    yield _keyed(done)
-
-
-def _keyed(rows):
-    columns = list(zip(*rows)) or [[], []]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["__key", "id"])
+        if not len(batch):
+            continue
+        keys, sections, texts = (batch.column(n) for n in ("__key", "__section", "__text"))
+        # each row beside the one before, the first one beside the last of the batch before
+        before = pa.concat_arrays([pa.array([last[1]], texts.type), texts.slice(0, len(texts) - 1)])
+        section = sections.to_numpy()
+        prior = np.append(last[0], section[:-1])
+        new = np.append(key is None or keys[0].as_py() != key, pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)).astype(bool)
+        prior = np.where(new, 0, prior)
+        listed = section % 2 == 1
+        copy = listed & ~new & (prior == section) & pc.fill_null(pc.equal(texts, before), False).to_numpy(zero_copy_only=False)
+        mark = np.where(listed, np.where(prior == section, 1, 2), np.where(section == 0, 0, np.where(prior % 2 == 1, 3, 4)))
+        pieces = pc.binary_join_element_wise(_MARKS.take(pa.array(np.where(copy, 0, mark))), pc.if_else(pa.array(copy), "", texts), "")
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset).tolist()
+        raw = memoryview(pieces.buffers()[2])
+        starts = np.flatnonzero(new).tolist()
+        done = []
+        if digest is not None:
+            digest.update(raw[offsets[0] : offsets[starts[0] if starts else -1]])
+            if starts:
+                done.append((key, digest.hexdigest()))
+        names = keys.take(pa.array(starts, pa.int64())).to_pylist()
+        for k, (i, j) in zip(names, zip(starts, [*starts[1:], len(keys)])):
+            if i != starts[0]:
+                done.append((key, digest.hexdigest()))
+            key, digest = k, hashlib.sha256(raw[offsets[i] : offsets[j]])
+        last = (int(section[-1]), texts[-1].as_py())
+        if done:
+            yield _keyed(done, keys.type)
+    if digest is not None:
+        yield _keyed([(key, digest.hexdigest())], keys.type)
+
+
+def _keyed(rows, kind):
+    keys, ids = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(ids, pa.string())], names=["__key", "id"])
 
 
 def streamed_ids(headers: DataFrame, ids: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(__key, id) from headers with a ``__key`` and distinct long rows of fact ids (``identity_id``) and evidence ids
-    (``evidence_id``) under it. The text is hashed piece by piece in the order of (section, value); Spark sorts on disk."""
+    """(__key, id) from headers with a ``__key`` and long rows of fact ids (``identity_id``) and evidence ids
+    (``evidence_id``) under it; copies count once. The text is hashed in the order of (section, value); Spark sorts on disk."""
     head, middle, tail = claim_json_parts()
 
-    def piece(section, value, text):
-        return F.struct(F.lit(section).alias("__section"), value.alias("__value"), text.alias("__text"))
-
-    def listed(rows, section, name):
-        c = F.col(name)
-        return rows.select("__key", F.inline(F.array(piece(section, c, _json([c], lambda s, t: s(c))))))
-
-    rows = listed(ids, 1, "identity_id").unionByName(listed(evidence, 3, "evidence_id"))
-    sizes = rows.groupBy("__key").agg(
-        F.count_if(F.col("__section") == 1).alias("__n1"), F.count_if(F.col("__section") == 3).alias("__n3")
-    )
-
-    def around(name, some, none):
-        return F.when(F.coalesce(F.col(name), F.lit(0)) > 0, F.lit(some)).otherwise(F.lit(none))
+    def piece(section, value):
+        return F.struct(F.lit(section).alias("__section"), value.alias("__value"))
 
-    none = F.lit("")
-    fixed = headers.join(sizes, "__key", "left").select("__key", F.inline(F.array(
-        piece(0, none, F.concat(head, around("__n1", "[", "null"))),
-        piece(2, none, F.concat(around("__n1", "]", ""), middle, around("__n3", "[", "null"))),
-        piece(4, none, F.concat(around("__n3", "]", ""), tail)),
-    )))
+    fixed = headers.select("__key", F.inline(F.array(piece(0, head), piece(2, middle), piece(4, tail))))
+    rows = ids.select("__key", F.lit(1).alias("__section"), F.col("identity_id").alias("__value"))
+    rows = rows.unionByName(evidence.select("__key", F.lit(3).alias("__section"), F.col("evidence_id").alias("__value")))
     stream = fixed.unionByName(rows).repartition("__key").sortWithinPartitions("__key", "__section", "__value")
-    return stream.mapInArrow(_hash_stream, "__key string, id string")
+    value = F.col("__value")
+    text = F.when(F.col("__section") % 2 == 1, _json([value], lambda s, t: s(value))).otherwise(value)
+    kind = headers.schema["__key"].dataType.simpleString()
+    return stream.select("__key", "__section", text.alias("__text")).mapInArrow(_hash_runs, f"__key {kind}, id string")
 
 
 COLUMNS = [
@@ -121,31 +129,28 @@ def claims(facts: DataFrame, raw: DataFrame, policies, subjects: DataFrame | Non
     and grows with the evidence alone; use it to evaluate everything."""
     policies = list(policies)
     verdicts = policies_.evaluate(facts, raw, policies, subjects, subject_scoped)
-    consumed = snapshot.consumed_facts(facts, policies, subjects)
-    if subject_scoped:
-        shared = snapshot.subject_raw_evidence(raw, policies)
-    else:
-        shared = snapshot.policy_raw_evidence(raw, policies)
-    names = snapshot.normalizer_versions(consumed).groupBy(*KEYS).agg(F.collect_list(F.struct("name", "version")).alias("__versions"))
-    headers = _headers(verdicts, evaluator, evaluated_at, identities_hash, manifest_hash).join(names, KEYS, "left")
-    headers = cut(headers.withColumn("normalizer_versions", _versions(F.col("__versions"))).drop("__versions"))
+    headers = cut(_headers(verdicts, evaluator, evaluated_at, identities_hash, manifest_hash))  # which fixes their numbers
     keys = headers.select(*KEYS, "__key")
-    ids = consumed.join(keys, KEYS).select("__key", "identity_id").distinct()
-    own = consumed.where(F.coalesce("evidence_id", F.lit("")) != "").join(keys, KEYS).select("__key", "evidence_id")
-    by = [k for k in KEYS if k in shared.columns]
-    evidence = own.unionByName(shared.join(keys, by).select("__key", "evidence_id")).distinct()
+    # the one join by the names of a claim; from here on its number stands for it
+    consumed = cut(snapshot.consumed_facts(facts, policies, subjects).join(keys, KEYS).select("__key", "identity_id", "evidence_id", "position", "normalizer"))
+    names = snapshot.normalizer_versions(consumed, ["__key"]).groupBy("__key").agg(F.collect_list(F.struct("name", "version")).alias("__versions"))
+    headers = headers.join(names, "__key", "left").withColumn("normalizer_versions", _versions(F.col("__versions"))).drop("__versions")
+    ids = consumed.select("__key", "identity_id")
+    own = consumed.where(F.coalesce("evidence_id", F.lit("")) != "").select("__key", "evidence_id")
+    shared = snapshot.subject_raw_evidence(raw, policies) if subject_scoped else snapshot.policy_raw_evidence(raw, policies)
+    evidence = own.unionByName(shared.join(keys, [k for k in KEYS if k in shared.columns]).select("__key", "evidence_id"))
     hashed = cut(streamed_ids(headers, ids, evidence))
 
-    def named(rows):
-        return rows.join(hashed.withColumnRenamed("id", "claim_id"), "__key").drop("__key")
+    def named(rows, one):
+        return rows.join(hashed.withColumnRenamed("id", "claim_id"), "__key").select("claim_id", one).distinct()
 
-    return Claims(headers.join(hashed, "__key").select(*COLUMNS), named(ids).select("claim_id", "identity_id"), named(evidence).select("claim_id", "evidence_id"))
+    return Claims(headers.join(hashed, "__key").select(*COLUMNS), named(ids, "identity_id"), named(evidence, "evidence_id"))
 
 
 def derived_ids(claims: Claims, key: str = "id") -> DataFrame:
     """(``key``, derived): the id that each stored claim's row and long tables give."""
     def under(rows):
-        return rows.distinct().withColumnRenamed("claim_id", "__key")
+        return rows.withColumnRenamed("claim_id", "__key")
 
     again = streamed_ids(claims.rows.withColumn("__key", F.col("id")).dropDuplicates(["__key"]), under(claims.facts), under(claims.evidence))
     return again.select(F.col("__key").alias(key), F.col("id").alias("derived"))

@@ -1,6 +1,9 @@
 """Lineage and inspection queries over the projected tables."""
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factwright import schemas
 from factwright.functions import text as X
@@ -169,49 +172,85 @@ def as_of(lines: DataFrame, occurrences: DataFrame, moment: str) -> DataFrame:
     return lines.join(seen, "id", "left_semi")
 
 
-def revision_chains(revisions: DataFrame) -> DataFrame:
-    """(id, root, depth, head, length, cyclic) from (id, revises). Each step doubles how far a fact has
-    looked back, so a chain of n revisions takes log2(n) joins, however long a single chain is. A fact
-    that has not reached a root after looking back further than there are facts is in a cycle."""
+REST = 1 << 18  # open facts that one task ranks at once
+STEPS = 3  # rounds of contraction per written table
+
+
+def _coin(c: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2)) == 1
+
+
+def _contract(rows: DataFrame, step: int, salt: int) -> DataFrame:
+    """One round on (id, up, w, end, gone): a fact whose coin is 1 goes if it stands over a root or over a fact whose coin is 0; what
+    looked at it looks past it. No two neighbours go."""
+    goes = (F.col("gone") == 0) & (F.col("up") != F.col("id")) & _coin("id", salt) & (F.col("end") | ~_coin("up", salt))
+    rows = rows.withColumn("gone", F.when(goes, F.lit(step)).otherwise(F.col("gone")))
+    hop = rows.where(F.col("gone") == step).select(F.col("id").alias("up"), F.col("up").alias("past"), F.col("w").alias("more"), F.col("end").alias("ended"))
+    near = rows.where("gone = 0").join(hop, "up", "left").select(
+        "id", F.coalesce("past", "up").alias("up"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.coalesce("ended", "end").alias("end"), "gone")
+    return near.unionByName(rows.where("gone > 0"))
+
+
+def _rank(batches):
+    """(id, root, depth) of all open facts that are left: each looks back twice as far per step. Both are null on a cycle, and behind one."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches).combine_chunks()
+    n = len(t)
+    to = pc.fill_null(pc.index_in(t["up"], value_set=t["id"]), n).to_numpy().astype(np.int64)
+    # place n stands for every root, place n + 1 for what has been found to be cyclic
+    to = np.append(np.where(t["end"].to_numpy(), n, np.where(to == n, n + 1, to)), [n, n + 1])
+    depth, last = np.append(t["w"].to_numpy(), [0, 0]), np.arange(n + 2)
+    for _ in range(n.bit_length() + 1):
+        last = np.where(to < n, last[np.minimum(to, n - 1)] if n else last, last)
+        depth, to = depth + np.where(to < n, depth[to], 0), to[to]
+    sound = to[:n] == n
+    yield pa.RecordBatch.from_arrays([
+        t["id"].combine_chunks(), pc.if_else(pa.array(sound), t["up"].take(pa.array(last[:n])), pa.scalar(None, pa.string())).combine_chunks(),
+        pa.array(depth[:n], pa.int64(), mask=~sound)], names=["id", "root", "depth"])
+
+
+def revision_chains(revisions: DataFrame, rest: int = REST) -> DataFrame:
+    """(id, root, depth, head, length, cyclic) from (id, revises), by contraction.
+
+    Per round a quarter of the facts that revise another one leaves in expectation, and keeps its place at the fact that it looks at.
+    When no more than ``rest`` are left, one task ranks them; those that left are then placed over the facts they stayed at, last
+    first. The work is linear in all, however long a single chain is. A cycle shrinks to one fact that looks at itself."""
     nodes = revisions.select("id", F.when(F.coalesce("revises", F.lit("")) != "", F.col("revises")).alias("up"))
-    nodes = nodes.groupBy("id").agg(F.max("up").alias("up"))
+    nodes = cut(nodes.groupBy("id").agg(F.max("up").alias("up")))
     # a target that was never written ends the chain at the fact that names it
-    named = nodes.where(F.col("up").isNotNull()).select(F.col("up").alias("id"), F.lit(True).alias("named")).distinct()
-    nodes = cut(nodes.join(named, "id", "left"))
-    # most facts revise nothing and are not revised: they are chains of their own and stay out of the rounds
-    lone = F.col("up").isNull() & F.col("named").isNull()
-    alone = nodes.where(lone).select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("head"), F.lit(0).cast("long").alias("length"), F.lit(False).alias("cyclic"))
-    nodes = nodes.where(~lone).select("id", "up")
-    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("exists"))
-    state = nodes.join(known, "up", "left").select(
-        "id", F.when(F.col("exists"), F.col("up")).alias("up"), F.when(F.col("exists"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth")
-    )
-    state = cut(state.withColumn("anc", F.coalesce("up", "id")).withColumn("done", F.col("up").isNull()).drop("up"))
-    total = state.count()
-    reach = 1
-    while True:
-        open_ = state.where(~F.col("done")).limit(1).count()
-        if not open_ or reach > total:
-            break
-        jump = state.select(
-            F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end")
-        )
-        joined = state.join(jump, "anc", "left")
-        state = cut(joined.select(
-            "id",
-            F.when(F.col("done"), F.col("anc")).otherwise(F.col("next")).alias("anc"),
-            (F.col("depth") + F.when(F.col("done"), F.lit(0)).otherwise(F.col("more"))).alias("depth"),
-            (F.col("done") | F.col("end")).alias("done"),
-        ))
-        reach *= 2
-    sound = state.where(F.col("done"))
-    ends = sound.groupBy("anc").agg(F.max_by("id", F.struct("depth", "id")).alias("head"), F.max("depth").alias("length"))
-    cyclic = state.where(~F.col("done")).select(
-        "id", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"),
-        F.lit(None).cast("string").alias("head"), F.lit(None).cast("long").alias("length"), F.lit(True).alias("cyclic"),
-    )
-    rows = sound.join(ends, "anc").select("id", F.col("anc").alias("root"), "depth", "head", "length", F.lit(False).alias("cyclic"))
-    return union_all([alone, rows, cyclic])
+    written = nodes.select(F.col("id").alias("up"))
+    open_ = cut(nodes.where(F.col("up").isNotNull()).join(written, "up", "left_semi").select("id", "up"))
+    inner = open_.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
+    state = open_.join(inner, "up", "left").select("id", "up", F.lit(1).cast("long").alias("w"), F.col("inner").isNull().alias("end"))
+    left, parts, n, salt = [], [], open_.count(), 0
+    while n > rest:
+        rows = state.withColumn("gone", F.lit(0))
+        for step in range(1, STEPS + 1):
+            rows = _contract(rows, step, salt + step)
+        rows, salt = cut(rows), salt + STEPS
+        left.append(rows)
+        stays, cyclic = rows.where("gone = 0").drop("gone"), (F.col("up") == F.col("id"))
+        parts.append(stays.where(cyclic).select("id", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth")))
+        state = stays.where(~cyclic)
+        n = state.count()
+    parts.append(cut(state.coalesce(1).mapInArrow(_rank, "id string, root string, depth long")))
+    for rows in reversed(left):
+        known, mine = union_all(parts), []
+        for step in range(STEPS, 0, -1):
+            over = union_all([known, *mine]).select(F.col("id").alias("up"), "root", F.col("depth").alias("more"))
+            mine.append(rows.where(F.col("gone") == step).join(over, "up", "left").select(
+                "id", F.when(F.col("end"), F.col("up")).otherwise(F.col("root")).alias("root"),
+                F.when(F.col("end"), F.col("w")).otherwise(F.col("w") + F.col("more")).alias("depth")))
+        parts.append(cut(union_all(mine)))
+    ranked = union_all(parts)
+    ends = cut(ranked.where(F.col("root").isNotNull()).groupBy("root").agg(F.max_by("id", F.struct("depth", "id")).alias("head"), F.max("depth").alias("length")))
+    cyclic = F.col("root").isNull()
+    rows = ranked.join(ends, "root", "left").select("id", "root", "depth", "head", "length", cyclic.alias("cyclic"))
+    roots = nodes.join(open_.select("id"), "id", "left_anti").join(ends, F.col("id") == F.col("root"), "left").select(
+        "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.coalesce("head", "id").alias("head"), F.coalesce("length", F.lit(0)).alias("length"), F.lit(False).alias("cyclic"))
+    return rows.unionByName(roots)
 
 
 def conflicting_observations(facts: DataFrame, occurrences: DataFrame, predicates=("published_at", "published_by")) -> DataFrame:

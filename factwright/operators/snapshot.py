@@ -96,11 +96,11 @@ def consumed_evidence(consumed: DataFrame) -> DataFrame:
     return rows.select("subject", "policy_id", "policy_version", "evidence_id").distinct()
 
 
-def normalizer_versions(consumed: DataFrame) -> DataFrame:
-    """(subject, policy, name, version): the version of the last row in (predicate position, fact id)
+def normalizer_versions(consumed: DataFrame, keys=("subject", "policy_id", "policy_version")) -> DataFrame:
+    """(subject, policy, name, version), or so by other ``keys`` of a claim: the version of the last row in (predicate position, fact id)
     order."""
     named = consumed.withColumn("n", split_normalizer("normalizer")).where(F.col("n.name") != "")
-    return named.groupBy("subject", "policy_id", "policy_version", F.col("n.name").alias("name")).agg(
+    return named.groupBy(*keys, F.col("n.name").alias("name")).agg(
         F.max_by("n.version", F.struct("position", "identity_id")).alias("version")
     )
 

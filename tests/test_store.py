@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from factwright import schemas
 from factwright.functions import envelopes as E
 from factwright.operators import append, audit as A, claims as C, federation as FED, lineage as L, normalize as N, policy as G, projection as P
 from factwright.plans import jobs
+from factwright.session import cut
 from factwright.sources import config, evidence, logs, sinks
 from tests import fixtures as X
 
@@ -329,6 +331,51 @@ def test_revision_chain_cycles_and_length(spark):
     assert all(got[i].cyclic for i in "xyzw") and not got["lost"].cyclic and got["lost"].root == "lost"
 
 
+def _chains(rows):
+    """(id, root, depth, head, length, cyclic) of every fact, one step at a time."""
+    up = {}
+    for i, r in rows:
+        up[i] = max(up.get(i, ""), r or "")
+    out, ends = {}, {}
+    for i in up:
+        at, depth = i, 0
+        while up[at] in up and depth <= len(up):
+            at, depth = up[at], depth + 1
+        out[i] = (None, None) if depth > len(up) else (at, depth)
+        if depth <= len(up):
+            ends[at] = max(ends.get(at, (-1, "")), (depth, i))
+    return {(i, root, depth, *((None, None, True) if root is None else (ends[root][1], ends[root][0], False))) for i, (root, depth) in out.items()}
+
+
+@pytest.mark.parametrize("rest", [60, 10**6])
+def test_revision_chains_by_contraction(spark, rest):
+    """Long chains, wide trees, cycles with tails, repeated and conflicting rows and absent targets, at every share of rows left to one task."""
+    rng = random.Random(rest)
+    rows = [(f"c{k:04}", f"c{k - 1:04}" if k else None) for k in range(400)]
+    rows += [(f"t{k}", f"t{rng.randrange(k)}" if k else "") for k in range(300)] + [(f"star{k}", "c0003") for k in range(60)]
+    rows += [(f"o{k}", f"o{(k + 1) % 31}") for k in range(31)] + [("self", "self"), ("pa", "pb"), ("pb", "pa"), ("tail1", "o3"), ("tail2", "tail1"), ("hang", "self")]
+    rows += [("lost", "gone"), ("behind", "lost"), ("solo", None), ("c0010", "c0009"), ("two", "c0001"), ("two", "t5")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, revises string")
+    assert {tuple(r) for r in L.revision_chains(df, rest).collect()} == _chains(rows)
+
+
+def test_contraction_writes_few_rows(spark, monkeypatch):
+    n, written = 20_000, []
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    df = spark.range(n).select(F.format_string("n%08d", "id").alias("id"), F.when(F.col("id") > 0, F.format_string("n%08d", F.col("id") - 1)).alias("revises"))
+    got = L.revision_chains(df, 2000)
+    assert got.agg(F.max("depth"), F.min("length"), F.count("*")).first() == (n - 1, n - 1, n)
+    # nodes and open facts are written once each before the rounds, heads once after them
+    assert sum(written[2:-1]) <= 3 * n
+
+
 def test_emit_roles(spark):
     f = spark.createDataFrame([("1" * 64, "depends_on"), ("2" * 64, "cryptographic_verification_failed"), ("3" * 64, "made_up")], "id string, predicate string")
     events, rejects = N.emit(f, "a", LOG, "2026-01-01T00:00:00Z")
