@@ -1,14 +1,15 @@
-"""The jobs a user runs, put together from sources, operators and sinks."""
+"""The jobs a user runs, put together from sources, operators and sinks. What a job adds to a store, it adds in one commit."""
 
 from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factwright import schemas
 from factwright.functions import envelopes as E
 from factwright.operators import append, audit as A, claims as C, federation as FED, lineage as L, normalize as N
 from factwright.operators import policy as G, projection as P
-from factwright.session import union_all
+from factwright.session import cut, union_all
 from factwright.sources import config, evidence, logs, sinks
 
 
@@ -27,7 +28,7 @@ class Store(NamedTuple):
 def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
     occurrences, missing = logs.read_occurrences(spark, root, local_log_id)
     return Store(
-        logs.read_identities(spark, f"{root}/assertions/identities"),
+        logs.read_identities(spark, f"{root}/assertions/identities", root),
         occurrences,
         missing,
         logs.read_occurrences_file_order(spark, root, local_log_id),
@@ -40,40 +41,109 @@ def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
 
 class Ingested(NamedTuple):
     facts: DataFrame
-    rejects: DataFrame
-
-
-def ingest_landed(store: Store, coordinates: DataFrame, results: DataFrame | None = None) -> Ingested:
-    """Facts of all landed responses: package versions of ``coordinates`` (name, version), advisories,
-    and the outcomes of a verifier (``results``)."""
-    def landed(source):
-        payloads = store.payloads
-        if store.root:
-            payloads = evidence.read_payloads(payloads.sparkSession, store.root, content=True, source=source)
-        return evidence.landed(store.raw, payloads, source)
-
-    documents = N.version_documents(evidence.npm_packages(landed("npm.registry")), coordinates)
-    facts = [N.normalize_npm(documents), N.normalize_osv(evidence.osv_responses(landed("osv.dev")))]
-    if results is not None:
-        facts += [N.verified_facts(results), N.refutation_facts(results)]
-    rejects = documents.where(F.col("error").isNotNull()).select("name", "version", "error")
-    return Ingested(union_all(facts), rejects)
-
-
-def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local_log_id: str, shards: int = 1) -> DataFrame:
-    """Stores facts and the events that record them, in one log or in ``shards`` of it; gives back rejected facts."""
+    rejects: DataFrame  # (name, version, error)
+    evidence: DataFrame | None  # bundles and failure records that facts rest on, for :func:`record`
+    bundles: DataFrame  # what a verifier is asked about, ``bundle_id`` and the repository it should name included
+
+
+def _landed(store: Store, source: str) -> DataFrame:
+    """Landed responses of one source. Of a folder only that source's files are opened."""
+    if not store.root:
+        return evidence.landed(store.raw, store.payloads, source)
+    spark = store.payloads.sparkSession
+    return evidence.landed(
+        evidence.read_raw_metadata(spark, store.root, source), evidence.read_payloads(spark, store.root, content=True, source=source), source)
+
+
+def landed_coordinates(store: Store) -> tuple[DataFrame, DataFrame]:
+    """((name, version), rejects) of landed package.json files."""
+    files = _landed(store, "github.api").where(F.col("request_params")["path"] == "package.json")
+    found = evidence.repository_packages(files)
+    good = F.col("error").isNull()
+    return found.where(good).select("name", "version").distinct(), found.where(~good).select("name", "version", "error")
+
+
+def landed_bundles(store: Store) -> tuple[DataFrame, DataFrame]:
+    """(bundles, rejects): the provenance bundle of each landed attestation response with the repository that its package names. A bundle of
+    a package without one can't be held against it."""
+    answers = evidence.attestation_responses(_landed(store, "npm.attestations"))
+    packages = evidence.npm_packages(_landed(store, "npm.registry")).select(
+        F.col("name").alias("package"), F.col("repository").alias("expected_repository"), "fetched_at", "evidence_id")
+    newest = packages.groupBy("package").agg(F.max_by("expected_repository", F.struct("fetched_at", "evidence_id")).alias("expected_repository"))
+    rows = N.provenance(answers).withColumn("bundle_id", F.sha2("bundle", 256)).join(newest, "package", "left")
+    named = F.coalesce("expected_repository", F.lit("")) != ""
+    rejects = rows.where(~named).select(F.col("package").alias("name"), "version", F.lit("package has no repository").alias("error"))
+    return rows.where(named), rejects
+
+
+def ingest_landed(store: Store, coordinates: DataFrame | None = None, results: DataFrame | None = None, outcomes: DataFrame | None = None) -> Ingested:
+    """Facts of all landed responses: package versions of ``coordinates`` (name, version), or of the package.json files that landed where
+    none are given, and advisories. ``outcomes`` (bundle_id, verified, reason, oidc_issuer, oidc_subject, cert_fingerprint) are what a
+    verifier found of ``bundles``; bundles without one give no fact yet. ``results`` are whole results (``schemas.VERIFICATION_RESULT``)
+    of another source."""
+    rejects = []
+    if coordinates is None:
+        coordinates, refused = landed_coordinates(store)
+        rejects.append(refused)
+    documents = N.version_documents(evidence.npm_packages(_landed(store, "npm.registry")), coordinates)
+    rejects.append(documents.where(F.col("error").isNotNull()).select("name", "version", "error"))
+    facts = [N.normalize_npm(documents), N.normalize_osv(evidence.osv_responses(_landed(store, "osv.dev")))]
+    bundles, refused = landed_bundles(store)
+    rejects.append(refused)
+    tried = [] if results is None else [results.select(*schemas.VERIFICATION_RESULT.names)]
+    if outcomes is not None:
+        found = outcomes.dropDuplicates(["bundle_id"]).select("bundle_id", "verified", "reason", "oidc_issuer", "oidc_subject", "cert_fingerprint")
+        tried.append(bundles.join(found, "bundle_id").select(*schemas.VERIFICATION_RESULT.names))
+    if tried:
+        tried = union_all(tried)
+        facts += [N.verified_facts(tried), N.refutation_facts(tried)]
+    return Ingested(union_all(facts), union_all(rejects), N.verification_evidence(tried) if isinstance(tried, DataFrame) else None, bundles)
+
+
+def _new_evidence(rows: DataFrame | None, raw: DataFrame, fetcher: str) -> tuple[DataFrame, DataFrame] | None:
+    if rows is None:
+        return None
+    return sinks.put_raw(rows if "fetcher" in rows.columns else rows.withColumn("fetcher", F.lit(fetcher)), raw)
+
+
+def _heads(store: Store, local_log_id: str) -> DataFrame:
+    chain = store.chain.where(F.col("is_local") & F.col("malformed").isNull())
+    return append.heads(chain.where(append.is_shard(F.col("log_id"), local_log_id)))
+
+
+def _moved(spark: SparkSession, root: str, local_log_id: str, heads: DataFrame):
+    """Asks whether another writer has extended the local log since ``heads`` were read."""
+    def ask():
+        now = _heads(open_store(spark, root, local_log_id), local_log_id)
+        same = now.select("log_id", "seq", "chain_hash").exceptAll(heads.select("log_id", "seq", "chain_hash")).isEmpty()
+        return None if same else "the local log has been extended meanwhile"
+
+    return ask
+
+
+def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local_log_id: str, shards: int = 1,
+           evidence: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Commits facts, the events that record them, in one log or in ``shards`` of it, and the ``evidence`` they rest on; gives back rejected
+    facts. ``name`` names the commit; one that is there already is an error."""
     spark = facts.sparkSession
     store = open_store(spark, root, local_log_id)
-    local = store.chain.where(F.col("is_local") & F.col("malformed").isNull())
-    facts = facts.withColumn("id", E.identity_id())
+    heads = cut(_heads(store, local_log_id))
+    facts = cut(facts.withColumn("id", E.identity_id()))
+    fresh, rejected = sinks.new_identities(facts, store.identities)
+    fresh = cut(fresh)
     # an event records a fact that is stored already or about to be, never one that is rejected
-    accepted = sinks.new_identities(facts, store.identities)[0].select("id").unionByName(store.identities.select("id"))
-    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, append.heads(local), shards)
-    staged = f"{root}/staged/{now.replace(':', '')}"
-    events.write.mode("overwrite").parquet(staged)  # the fold runs once; both writes below read its result
-    rejected = sinks.append_identities(facts, store.identities, f"{root}/assertions/identities", day)
-    sinks.append_occurrences(spark.read.parquet(staged), f"{root}/assertions/occurrences/local")
-    return rejects.unionByName(rejected.select(F.lit(None).cast("string").alias("id"), "reason"))
+    accepted = fresh.select("id").unionByName(store.identities.select("id"))
+    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, heads, shards)
+    sinks.commit(spark, root, name or f"{now.replace(':', '')}-{day}-record", identities=fresh, local=events,
+                 evidence=_new_evidence(evidence, store.raw, attestor), unless=_moved(spark, root, local_log_id, heads))
+    return cut(rejects.unionByName(rejected.select(F.lit(None).cast("string").alias("id"), "reason")))
+
+
+def ingest(store: Store, now: str, attestor: str, local_log_id: str, outcomes: DataFrame | None = None, coordinates: DataFrame | None = None, shards: int = 1) -> DataFrame:
+    """Lands in the store what :func:`ingest_landed` finds in it: facts, bundles and failure records, and events, in one commit. Gives back all rejects as (key, reason)."""
+    found = ingest_landed(store, coordinates, outcomes=outcomes)
+    refused = record(found.facts, store.root, now[:10], now, attestor, local_log_id, shards, found.evidence)
+    return found.rejects.select(F.concat_ws("@", "name", "version").alias("key"), F.col("error").alias("reason")).unionByName(refused.select(F.col("id").alias("key"), "reason"))
 
 
 def project(store: Store, path: str, built_at: str) -> dict:
@@ -176,16 +246,53 @@ def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, n
     )
 
 
+def commit_import(spark: SparkSession, peer_root: str, home_root: str, peer_log_id: str, local_log_id: str, now: str, fetcher: str,
+                  new_keys: DataFrame, outcomes: DataFrame, revocations: DataFrame | None = None, shards: int = 1) -> tuple[DataFrame, DataFrame, dict | None]:
+    """(rejects, summary, manifest) of importing a peer's store into ours as one. ``new_keys`` (log_id, public_key) are registered first
+    and take part in the checks; ``revocations`` (log_id, revoked_at) refuse what was recorded after them. Any reject, and the import
+    leaves nothing, keys included; what is there already adds nothing. The manifest is None where nothing was committed."""
+    home, peer = open_store(spark, home_root, local_log_id), open_store(spark, peer_root, peer_log_id)
+    registered = config.read_peer_keys(spark, home_root).where("error IS NULL").select("log_id", "public_key")
+    keys = cut(FED.register_peers(registered, new_keys))
+    fresh = keys.where("outcome = 'registered'").select("log_id", "public_key")
+    heads = cut(_heads(home, local_log_id))
+    found = import_peer(peer, home, peer_log_id, local_log_id, now, fetcher, registered.unionByName(fresh), outcomes, shards)
+    refused = [found.rejects, keys.where("outcome NOT IN ('registered', 'known')").select(F.lit("key").alias("kind"), F.col("log_id").alias("key"), F.col("outcome").alias("reason"))]
+    if revocations is not None:
+        late = FED.revoked_peer_occurrences(found.foreign_occurrences, revocations)
+        refused.append(late.select(F.lit("event").alias("kind"), F.col("id").alias("key"), F.lit("recorded after its peer was revoked").alias("reason")))
+    rejects, summary = cut(union_all(refused)), cut(found.summary)
+    if not rejects.isEmpty():
+        return rejects, summary, None
+    facts = found.identities.select(*schemas.IDENTITY.names).unionByName(found.reports.select(*schemas.IDENTITY.names))
+    facts = facts.dropDuplicates(["id"]).join(home.identities.select("id"), "id", "left_anti")
+    manifest = sinks.commit(
+        spark, home_root, f"{now.replace(':', '')}-import-{peer_log_id.replace(':', '_')}", identities=facts, local=found.local_occurrences, foreign=found.foreign_occurrences,
+        evidence=_new_evidence(found.evidence, home.raw, fetcher), keys=fresh.withColumn("error", F.lit(None).cast("string")), unless=_moved(spark, home_root, local_log_id, heads))
+    return rejects, summary, manifest if manifest["parts"] else None
+
+
 def export(store: Store, path: str) -> None:
     sinks.export_nquads(store.identities, path)
 
 
-def checkpoint(store: Store, signed_at: str, signatures: DataFrame | None = None) -> DataFrame:
-    return N.checkpoints(store.chain.where(F.col("malformed").isNull()), signed_at, signatures)
+def checkpoint(store: Store, signed_at: str, signatures: DataFrame | None = None, fetcher: str | None = None) -> DataFrame:
+    """Checkpoints of all logs at their heads. Signed ones (``signatures``: log_id, signature) are committed as raw evidence of a stored
+    folder if ``fetcher`` says who does it, under the very text that their address hashes."""
+    made = N.checkpoints(store.chain.where(F.col("malformed").isNull()), signed_at, signatures)
+    if fetcher is not None:
+        made = cut(made)
+        sinks.commit(made.sparkSession, store.root, f"{signed_at.replace(':', '')}-checkpoint", evidence=sinks.put_raw(N.checkpoint_evidence(made, fetcher), store.raw))
+    return made
 
 
-def record_anchors(store: Store, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return N.anchor_facts(anchors, store.raw)
+def record_anchors(store: Store, anchors: DataFrame, now: str, attestor: str, local_log_id: str, shards: int = 1) -> DataFrame:
+    """Commits operator-supplied anchors (checkpoint_iri, provider_iri, response, recorded_at): facts, their events and the providers' responses.
+    Gives back what was refused: (key, reason)."""
+    facts, rejects = N.anchor_facts(anchors, store.raw)
+    kept = anchors.join(rejects.select("checkpoint_iri", "provider_iri").distinct(), ["checkpoint_iri", "provider_iri"], "left_anti")
+    refused = record(facts, store.root, now[:10], now, attestor, local_log_id, shards, N.anchor_evidence(kept, attestor), f"{now.replace(':', '')}-anchors")
+    return rejects.select(F.col("checkpoint_iri").alias("key"), "reason").unionByName(refused.select(F.col("id").alias("key"), "reason"))
 
 
 def lineage(store: Store, claims: C.Claims) -> DataFrame:

@@ -1,6 +1,8 @@
 """Sinks. Stores are content-addressed and append-only: what is already there is left alone."""
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -84,6 +86,36 @@ def write_raw(meta: DataFrame, payloads: DataFrame, path: str) -> None:
     payloads.write.mode("append").partitionBy("source", "day").parquet(f"{path}/payloads")
 
 
+def commit(spark, root: str, name: str, *, identities: DataFrame | None = None, local: DataFrame | None = None, foreign: DataFrame | None = None,
+           evidence: tuple[DataFrame, DataFrame] | None = None, keys: DataFrame | None = None, unless: Callable[[], str | None] = lambda: None) -> dict:
+    """Adds facts, chained events, (sidecars, payloads) and peer keys to a store as one (see :mod:`factwright.sources.commits`) and
+    gives back the manifest. Empty parts are left out, and nothing at all is no commit. ``unless`` is asked last: a reason ends it."""
+    attempt = uuid.uuid4().hex
+    path = f"{root}/commits/{name}/{attempt}"
+    events = {"local": local, "foreign": foreign}
+    parts = {"identities": identities, **events, "evidence": evidence and evidence[0], "keys": keys}
+    parts = {k: cut(v) for k, v in parts.items() if v is not None}  # what is read below must not change with what is written
+    counts = {k: v.count() for k, v in parts.items()}
+    counts = {k: n for k, n in counts.items() if n}
+    if "identities" in counts:
+        parts["identities"].select(*schemas.IDENTITY.names).write.json(f"{path}/identities")
+    for part in events:
+        if part in counts:
+            append_occurrences(parts[part], f"{path}/occurrences/{part}")
+    if "evidence" in counts:
+        write_raw(parts["evidence"], evidence[1], f"{path}/evidence")
+    if "keys" in counts:
+        parts["keys"].write.parquet(f"{path}/keys")
+    manifest = {"name": name, "attempt": attempt, "parts": counts}
+    if counts:
+        reason = unless()
+        if reason:
+            raise ValueError(reason)
+        # a second manifest of the same name is an error
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(f"{root}/commits/{name}/MANIFEST")
+    return manifest
+
+
 def schema_hash() -> str:
     import hashlib
 
