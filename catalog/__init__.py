@@ -15,6 +15,6 @@ def query(name, sql=None):
 
 
 def load():
-    from catalog import audits, evaluation, federation, functions, lineage, normalising, projection, stores  # noqa: F401
+    from catalog import audits, evaluation, federation, functions, jobs, lineage, normalising, projection, stores  # noqa: F401
 
     return QUERIES, ORACLES

@@ -11,6 +11,7 @@ from factwright.operators import append, audit as A, claims as C, federation as
 from factwright.operators import policy as G, projection as P
 from factwright.session import cut, union_all
 from factwright.sources import config, evidence, logs, sinks
+from factwright.sources.commits import committed
 
 
 class Store(NamedTuple):
@@ -23,19 +24,22 @@ class Store(NamedTuple):
     raw: DataFrame
     payloads: DataFrame
     root: str | None = None
+    commits: list = []
 
 
 def open_store(spark: SparkSession, root: str, local_log_id: str) -> Store:
-    occurrences, missing = logs.read_occurrences(spark, root, local_log_id)
+    commits = committed(spark, root)
+    occurrences, missing = logs.read_occurrences(spark, root, local_log_id, commits)
     return Store(
-        logs.read_identities(spark, f"{root}/assertions/identities", root),
+        logs.read_identities(spark, f"{root}/assertions/identities", commits),
         occurrences,
         missing,
-        logs.read_occurrences_file_order(spark, root, local_log_id),
-        logs.read_chain(spark, root, local_log_id),
-        evidence.read_raw_metadata(spark, root),
-        evidence.read_payloads(spark, root, content=True),
+        logs.read_occurrences_file_order(spark, root, local_log_id, commits),
+        logs.read_chain(spark, root, local_log_id, commits),
+        evidence.read_raw_metadata(spark, root, commits=commits),
+        evidence.read_payloads(spark, root, content=True, commits=commits),
         root,
+        commits,
     )
 
 
@@ -52,7 +56,8 @@ def _landed(store: Store, source: str) -> DataFrame:
         return evidence.landed(store.raw, store.payloads, source)
     spark = store.payloads.sparkSession
     return evidence.landed(
-        evidence.read_raw_metadata(spark, store.root, source), evidence.read_payloads(spark, store.root, content=True, source=source), source)
+        evidence.read_raw_metadata(spark, store.root, source, commits=store.commits),
+        evidence.read_payloads(spark, store.root, content=True, source=source, commits=store.commits), source)
 
 
 def landed_coordinates(store: Store) -> tuple[DataFrame, DataFrame]:
@@ -103,39 +108,42 @@ def ingest_landed(store: Store, coordinates: DataFrame | None = None, results: D
 def _new_evidence(rows: DataFrame | None, raw: DataFrame, fetcher: str) -> tuple[DataFrame, DataFrame] | None:
     if rows is None:
         return None
-    return sinks.put_raw(rows if "fetcher" in rows.columns else rows.withColumn("fetcher", F.lit(fetcher)), raw)
+    rows = cut(rows if "fetcher" in rows.columns else rows.withColumn("fetcher", F.lit(fetcher)))
+    sidecars, payloads = sinks.put_raw(rows, raw)
+    return cut(sidecars), payloads
 
 
-def _heads(store: Store, local_log_id: str) -> DataFrame:
-    chain = store.chain.where(F.col("is_local") & F.col("malformed").isNull())
-    return append.heads(chain.where(append.is_shard(F.col("log_id"), local_log_id)))
+def _heads(chain: DataFrame, local_log_id: str) -> DataFrame:
+    own = chain.where(F.col("is_local") & F.col("malformed").isNull())
+    return append.heads(own.where(append.is_shard(F.col("log_id"), local_log_id)))
 
 
 def _moved(spark: SparkSession, root: str, local_log_id: str, heads: DataFrame):
     """Asks whether another writer has extended the local log since ``heads`` were read."""
     def ask():
-        now = _heads(open_store(spark, root, local_log_id), local_log_id)
-        same = now.select("log_id", "seq", "chain_hash").exceptAll(heads.select("log_id", "seq", "chain_hash")).isEmpty()
-        return None if same else "the local log has been extended meanwhile"
+        now = _heads(logs.read_chain(spark, root, local_log_id), local_log_id).select("log_id", "seq", "chain_hash")
+        return None if now.exceptAll(heads.select("log_id", "seq", "chain_hash")).isEmpty() else "the local log has been extended meanwhile"
 
     return ask
 
 
 def record(facts: DataFrame, root: str, day: str, now: str, attestor: str, local_log_id: str, shards: int = 1,
-           evidence: DataFrame | None = None, name: str | None = None) -> DataFrame:
-    """Commits facts, the events that record them, in one log or in ``shards`` of it, and the ``evidence`` they rest on; gives back rejected
-    facts. ``name`` names the commit; one that is there already is an error."""
+           evidence_of: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Commits facts, the events that record them, in one log or in ``shards`` of it, and the evidence that they rest on (``evidence_of``, as
+    :func:`factwright.sources.sinks.put_raw` takes it); gives back rejected facts. ``name`` names the commit; one that is there already
+    is an error."""
     spark = facts.sparkSession
-    store = open_store(spark, root, local_log_id)
-    heads = cut(_heads(store, local_log_id))
+    commits = committed(spark, root)
+    stored = logs.read_identities(spark, f"{root}/assertions/identities", commits).select("id")
+    heads = cut(_heads(logs.read_chain(spark, root, local_log_id, commits), local_log_id))
     facts = cut(facts.withColumn("id", E.identity_id()))
-    fresh, rejected = sinks.new_identities(facts, store.identities)
+    fresh, rejected = sinks.new_identities(facts, stored)
     fresh = cut(fresh)
     # an event records a fact that is stored already or about to be, never one that is rejected
-    accepted = fresh.select("id").unionByName(store.identities.select("id"))
-    events, rejects = N.emit(facts.join(accepted.distinct(), "id", "left_semi"), attestor, local_log_id, now, heads, shards)
-    sinks.commit(spark, root, name or f"{now.replace(':', '')}-{day}-record", identities=fresh, local=events,
-                 evidence=_new_evidence(evidence, store.raw, attestor), unless=_moved(spark, root, local_log_id, heads))
+    events, rejects = N.emit(facts.join(fresh.select("id").unionByName(stored).distinct(), "id", "left_semi"), attestor, local_log_id, now, heads, shards)
+    raw = None if evidence_of is None else evidence.read_raw_metadata(spark, root, commits=commits)
+    sinks.commit(spark, root, name or f"{now.replace(':', '')}-{day}-record", identities=fresh, local=cut(events),
+                 evidence=_new_evidence(evidence_of, raw, attestor), unless=_moved(spark, root, local_log_id, heads))
     return cut(rejects.unionByName(rejected.select(F.lit(None).cast("string").alias("id"), "reason")))
 
 
@@ -252,10 +260,10 @@ def commit_import(spark: SparkSession, peer_root: str, home_root: str, peer_log_
     and take part in the checks; ``revocations`` (log_id, revoked_at) refuse what was recorded after them. Any reject, and the import
     leaves nothing, keys included; what is there already adds nothing. The manifest is None where nothing was committed."""
     home, peer = open_store(spark, home_root, local_log_id), open_store(spark, peer_root, peer_log_id)
-    registered = config.read_peer_keys(spark, home_root).where("error IS NULL").select("log_id", "public_key")
+    registered = config.read_peer_keys(spark, home_root, home.commits).where("error IS NULL").select("log_id", "public_key")
     keys = cut(FED.register_peers(registered, new_keys))
     fresh = keys.where("outcome = 'registered'").select("log_id", "public_key")
-    heads = cut(_heads(home, local_log_id))
+    heads = cut(_heads(home.chain, local_log_id))
     found = import_peer(peer, home, peer_log_id, local_log_id, now, fetcher, registered.unionByName(fresh), outcomes, shards)
     refused = [found.rejects, keys.where("outcome NOT IN ('registered', 'known')").select(F.lit("key").alias("kind"), F.col("log_id").alias("key"), F.col("outcome").alias("reason"))]
     if revocations is not None:
@@ -265,9 +273,9 @@ def commit_import(spark: SparkSession, peer_root: str, home_root: str, peer_log_
     if not rejects.isEmpty():
         return rejects, summary, None
     facts = found.identities.select(*schemas.IDENTITY.names).unionByName(found.reports.select(*schemas.IDENTITY.names))
-    facts = facts.dropDuplicates(["id"]).join(home.identities.select("id"), "id", "left_anti")
+    facts = cut(facts.dropDuplicates(["id"]).join(home.identities.select("id"), "id", "left_anti"))
     manifest = sinks.commit(
-        spark, home_root, f"{now.replace(':', '')}-import-{peer_log_id.replace(':', '_')}", identities=facts, local=found.local_occurrences, foreign=found.foreign_occurrences,
+        spark, home_root, f"{now.replace(':', '')}-import-{peer_log_id.replace(':', '_')}", identities=facts, local=cut(found.local_occurrences), foreign=cut(found.foreign_occurrences),
         evidence=_new_evidence(found.evidence, home.raw, fetcher), keys=fresh.withColumn("error", F.lit(None).cast("string")), unless=_moved(spark, home_root, local_log_id, heads))
     return rejects, summary, manifest if manifest["parts"] else None
 
@@ -282,7 +290,7 @@ def checkpoint(store: Store, signed_at: str, signatures: DataFrame | None = None
     made = N.checkpoints(store.chain.where(F.col("malformed").isNull()), signed_at, signatures)
     if fetcher is not None:
         made = cut(made)
-        sinks.commit(made.sparkSession, store.root, f"{signed_at.replace(':', '')}-checkpoint", evidence=sinks.put_raw(N.checkpoint_evidence(made, fetcher), store.raw))
+        sinks.commit(made.sparkSession, store.root, f"{signed_at.replace(':', '')}-checkpoint", evidence=_new_evidence(N.checkpoint_evidence(made, fetcher), store.raw, fetcher))
     return made
 
 

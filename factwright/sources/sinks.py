@@ -89,13 +89,13 @@ def write_raw(meta: DataFrame, payloads: DataFrame, path: str) -> None:
 def commit(spark, root: str, name: str, *, identities: DataFrame | None = None, local: DataFrame | None = None, foreign: DataFrame | None = None,
            evidence: tuple[DataFrame, DataFrame] | None = None, keys: DataFrame | None = None, unless: Callable[[], str | None] = lambda: None) -> dict:
     """Adds facts, chained events, (sidecars, payloads) and peer keys to a store as one (see :mod:`factwright.sources.commits`) and
-    gives back the manifest. Empty parts are left out, and nothing at all is no commit. ``unless`` is asked last: a reason ends it."""
+    gives back the manifest. Empty parts are left out, and nothing at all is no commit. Parts are read more than once and must not change
+    with what is written: cut them first. ``unless`` is asked last: a reason ends the commit."""
     attempt = uuid.uuid4().hex
     path = f"{root}/commits/{name}/{attempt}"
     events = {"local": local, "foreign": foreign}
     parts = {"identities": identities, **events, "evidence": evidence and evidence[0], "keys": keys}
-    parts = {k: cut(v) for k, v in parts.items() if v is not None}  # what is read below must not change with what is written
-    counts = {k: v.count() for k, v in parts.items()}
+    counts = {k: v.count() for k, v in parts.items() if v is not None}
     counts = {k: n for k, n in counts.items() if n}
     if "identities" in counts:
         parts["identities"].select(*schemas.IDENTITY.names).write.json(f"{path}/identities")
