@@ -156,8 +156,7 @@ def audit_rederive(spark, sf):
 def audit_laundering(spark, sf):
     """Purchases recorded as if they had been imported."""
     role = F.when(F.col("attestor_role") == "verifier", F.lit("federated_importer")).otherwise(F.col("attestor_role"))
-    facts = lines(spark, sf).dropDuplicates(["id"])
-    return rows(A.no_laundering(occurrences(spark, sf).withColumn("attestor_role", role), facts))
+    return rows(A.no_laundering(occurrences(spark, sf).withColumn("attestor_role", role), lines(spark, sf)))
 
 
 @query("audit_roles", sql("""SELECT 17 AS check_no, log_id, id AS key, 'verification fact under another role' AS reason FROM occ WHERE event_id%4=0 AND attestor_role='verifier'
@@ -263,3 +262,50 @@ def audit_summary(spark, sf):
         A.chain_integrity(tables.chain(store.table(spark, sf, "chained")), 10),
     ])
     return A.summary(found, (4, 10, 17)).select("check_no", "check", "violations")
+
+
+# What a sidecar's signature covers, and signatures of every kind: by a known key or not, of another algorithm, not base64, absent.
+_SIDECAR = """'{"endpoint":"'||endpoint||'","fetched_at":"'||fetched_at||'","fetcher":"ingestor:tables@v1:0000000000000000","id":"'||id||'","payload_hash":"'||id||'","payload_path":"'||payload_path
+    ||'","request_params":{"name":"order-'||k||'","version":"1"},"response_status":200'||coalesce(',"result_count":'||result_count, '')||',"source":"'||source||'"}'"""
+_SIGNED = f"SELECT id AS key, sha256({_SIDECAR}) AS digest, k%7 AS s FROM (SELECT *, doc_id AS k FROM rawl)"
+_KINDS = ["", "none", "rsa:a:AAAA", "ed25519:other:AAAA", "ed25519:mine:%", "ed25519:mine:AAAA", "ed25519:mine:AAAA"]
+
+
+def _signature(k):
+    out = F.lit(_KINDS[-1])
+    for i, text in enumerate(_KINDS[:-1]):
+        out = F.when(k % 7 == i, F.lit(text)).otherwise(out)
+    return out
+
+
+def _keys(spark):
+    return spark.createDataFrame([("mine", bytearray(32))], "fingerprint string, public_key binary")
+
+
+@query("evidence_digests", sql("SELECT DISTINCT key, digest FROM x", "rawl", x=_SIGNED))
+def evidence_digests(spark, sf):
+    return A.evidence_digests(store.table(spark, sf, "raw_lines")).select("key", "digest")
+
+
+_REASON = "CASE s WHEN 0 THEN 'unsigned' WHEN 1 THEN 'malformed signature' WHEN 2 THEN 'unsupported signature algorithm' WHEN 3 THEN 'unknown key' WHEN 4 THEN 'signature is not base64'"
+
+
+@query("audit_evidence_signatures", sql(f"""SELECT 14 AS check_no, key, {_REASON} ELSE CASE substr(digest,1,1) WHEN '0' THEN 'not_run' WHEN '1' THEN 'signature does not verify' END END AS reason FROM x
+    WHERE s<5 OR substr(digest,1,1) IN ('0','1')""", "rawl", x=_SIGNED))
+def audit_evidence_signatures(spark, sf):
+    """A verifier tried all sidecars but those whose digest begins with 0, and refused those that begin with 1."""
+    k = F.substr("endpoint", F.lit(5)).cast("long")
+    signed = A.evidence_digests(store.table(spark, sf, "raw_lines").withColumn("signature", _signature(k)))
+    first = F.substring("digest", 1, 1)
+    outcomes = signed.where(first != "0").select("digest", (first != "1").alias("valid"))
+    return A.document_signatures(signed, _keys(spark), outcomes).select("check_no", "key", "reason")
+
+
+@query("audit_claim_signatures", sql(f"""SELECT 14 AS check_no, id AS key, {_REASON} ELSE CASE WHEN id<'2' THEN 'not_run' WHEN id<'4' THEN 'signature does not verify' END END AS reason FROM (
+    SELECT id, ('0x'||substr(id,60,5))::BIGINT%7 AS s FROM cl) WHERE s<5 OR id<'4'""", *CLAIM_NEEDS, **CLAIM_CTES))
+def audit_claim_signatures(spark, sf):
+    claims = stored_claims(spark, sf)
+    k = F.conv(F.substring("id", 60, 5), 16, 10).cast("long")
+    signed = A.claim_digests(claims._replace(rows=claims.rows.withColumn("signature", _signature(k))))
+    outcomes = signed.where("digest >= '2'").select("digest", (F.col("digest") >= "4").alias("valid"))
+    return A.document_signatures(signed, _keys(spark), outcomes).select("check_no", "key", "reason")

@@ -49,11 +49,26 @@ def import_summary(spark, sf):
 NOW = "2025-01-01T00:00:00Z"
 
 
-@query("importer_occurrences", sql("SELECT count(*) AS events, 1 AS first, count(*) AS last, count(*) AS links FROM rep", "occ", "lines", r=_ROUTE, rep=_REPORTS))
+_SHARDS = 16
+# CRC-32 of a report's id deals it to a shard of the local log.
+_DEALT = f"""SELECT rep.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(rid,''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c>>8, t[(xor(c,b)&255)+1])), 4294967295)%{_SHARDS} AS shard FROM rep,
+    (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c>>1, (c&1)*3988292384)) AS v FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _chained(log, key):
+    """SQL for the events of reports chained in one log per ``key``."""
+    first, following = (occ_id("s.").replace("s.prev_chain_hash", p) for p in ("repeat('0',64)", "q.chain_hash"))
+    return f"""WITH RECURSIVE s AS (SELECT rid AS identity_id, 'peer:'||peer_log_id AS attestor, 'federated_importer' AS attestor_role, '{NOW}' AS ingested_at,
+    {log} AS log_id, row_number() OVER (PARTITION BY {key} ORDER BY rid, foreign_occurrence_id) AS seq FROM rep),
+    q AS (SELECT s.*, repeat('0',64) AS prev_chain_hash, {first} AS id, {link("repeat('0',64)", first)} AS chain_hash FROM s WHERE seq=1
+    UNION ALL SELECT s.*, q.chain_hash, {following}, {link("q.chain_hash", following)} FROM s JOIN q ON s.log_id=q.log_id AND s.seq=q.seq+1) SELECT * FROM q"""
+
+
+@query("importer_occurrences", sql(f"""SELECT log_id, seq, identity_id, attestor, attestor_role, id, chain_hash FROM ({_chained("'log:home-'||shard", "shard").replace("FROM rep)", f"FROM ({_DEALT}) rep)")})""", "occ", "lines", r=_ROUTE, rep=_REPORTS))
 def importer_occurrences(spark, sf):
-    """All reports appended to one local log; every line has its own previous hash."""
-    rows = FED.importer_occurrences(FED.rewrite_peer_reports(routed(spark, sf)), "log:home", NOW)
-    return rows.agg(F.count(F.lit(1)).alias("events"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_distinct("prev_chain_hash").alias("links"))
+    """All reports appended to the shards of the local log, with every hash."""
+    rows = FED.importer_occurrences(FED.rewrite_peer_reports(routed(spark, sf)), "log:home", NOW, shards=_SHARDS)
+    return rows.select("log_id", "seq", "identity_id", "attestor", "attestor_role", "id", "chain_hash")
 
 
 @query("importer_chain", sql(f"""SELECT seq, identity_id, prev_chain_hash, id, chain_hash FROM (WITH RECURSIVE s AS (SELECT rid AS identity_id, 'peer:'||peer_log_id AS attestor, 'federated_importer' AS attestor_role, '{NOW}' AS ingested_at,
@@ -79,7 +94,7 @@ def foreign_evidence(spark, sf):
 
 
 @query("import_validation", sql("""SELECT 'event' AS kind, id AS key, CASE WHEN user_id=4 THEN 'peer log is the local log' WHEN event_id%37=0 THEN 'log_id is not the declared peer' WHEN attestor_role='error' THEN 'unknown attestor_role' WHEN event_id%41=0 THEN 'id mismatch' END AS reason FROM occ
-    WHERE NOT is_local AND (user_id=4 OR event_id%37=0 OR attestor_role='error' OR event_id%41=0) UNION ALL SELECT 'event', id, 'names an unknown fact' FROM occ WHERE NOT is_local AND NOT EXISTS (SELECT 1 FROM lines WHERE lines.id=occ.identity_id)
+    WHERE NOT is_local AND (user_id=4 OR event_id%37=0 OR attestor_role='error' OR event_id%41=0) UNION ALL SELECT 'event', occ.id, 'names an unknown fact' FROM occ LEFT JOIN (SELECT DISTINCT id FROM lines) l ON l.id=occ.identity_id WHERE NOT is_local AND l.id IS NULL
     UNION ALL SELECT 'fact', id, 'id mismatch' FROM lines WHERE ordinal%83=0""", "occ", "lines"))
 def import_validation(spark, sf):
     k = F.col("event_id")

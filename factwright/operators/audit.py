@@ -10,7 +10,7 @@ from factwright.functions import envelopes as E, text as X
 from factwright.functions.checks import identity_violation, occurrence_violation
 from factwright.operators import claims as claims_
 from factwright.operators.ordering import previous
-from factwright.session import union_all
+from factwright.session import cut, union_all
 
 CHECKS = {
     1: "identity reproducibility",
@@ -54,27 +54,48 @@ def occurrence_ids(occurrences: DataFrame, no: int = 2) -> DataFrame:
     return violations(occurrences, no, "id", F.coalesce(occurrence_violation(), drift), "log_id")
 
 
-def occurrence_signatures(occurrences: DataFrame, keys: DataFrame, outcomes: DataFrame, no: int = 2) -> DataFrame:
-    """Signatures against known keys. ``keys`` holds (fingerprint, public_key) for local logs; for
-    foreign logs (``no=11``) it holds (log_id, public_key), and the peer's key counts whatever
-    fingerprint the header names. ``outcomes`` (id, valid) is what a verifier found for the records; a signature with a
-    usable header, key and encoding that it does not name is reported ``not_run``."""
-    by = "log_id" if no == 11 else "fingerprint"
-    sig = E.split_signature("signature")
-    parsed = occurrences.withColumn("__s", sig).withColumn("fingerprint", F.col("__s.fingerprint"))
+def _signature_reasons(rows: DataFrame, by: str, named: str, keys: DataFrame, outcomes: DataFrame, unknown: str) -> DataFrame:
+    """``rows`` with ``reason``, null where the signature is good. A signature with a usable header, key and encoding that ``outcomes``
+    (``named``, valid) do not name is ``not_run``."""
+    parsed = rows.withColumn("__s", E.split_signature("signature")).withColumn("fingerprint", F.col("__s.fingerprint"))
     known = parsed.join(keys.select(by, "public_key"), by, "left").withColumn(
         "__sig", F.try_to_binary(F.col("__s.signature"), F.lit("base64"))
     )
     header = F.coalesce(
         F.when(F.col("__s.algorithm").isNull(), F.lit("malformed signature")),
         F.when(F.col("__s.algorithm") != "ed25519", F.lit("unsupported signature algorithm")),
-        F.when(F.col("public_key").isNull(), F.lit("unknown key" if no == 2 else "peer not registered")),
+        F.when(F.col("public_key").isNull(), F.lit(unknown)),
         F.when(F.col("__sig").isNull(), F.lit("signature is not base64")),
     )
-    found = outcomes.groupBy("id").agg(F.min("valid").alias("__valid"))  # one bad outcome counts
-    rows = known.withColumn("__header", header).join(found, "id", "left")
+    found = outcomes.groupBy(named).agg(F.min("valid").alias("__valid"))  # one bad outcome counts
     verdict = F.when(F.col("__valid").isNull(), F.lit("not_run")).when(~F.col("__valid"), F.lit("signature does not verify"))
-    return violations(rows, no, "id", F.coalesce("__header", verdict), "log_id")
+    return known.withColumn("__header", header).join(found, named, "left").withColumn("reason", F.coalesce("__header", verdict))
+
+
+def occurrence_signatures(occurrences: DataFrame, keys: DataFrame, outcomes: DataFrame, no: int = 2) -> DataFrame:
+    """Signatures against known keys. ``keys`` holds (fingerprint, public_key) for local logs; for
+    foreign logs (``no=11``) it holds (log_id, public_key), and the peer's key counts whatever
+    fingerprint the header names. ``outcomes`` (id, valid) is what a verifier found for the records."""
+    by, unknown = ("log_id", "peer not registered") if no == 11 else ("fingerprint", "unknown key")
+    return violations(_signature_reasons(occurrences, by, "id", keys, outcomes, unknown), no, "id", F.col("reason"), "log_id")
+
+
+def evidence_digests(raw: DataFrame) -> DataFrame:
+    """(key, digest, signature) of sidecars: the digest is of the text that a sidecar's signature covers. Copies of a sidecar count once."""
+    return raw.select(F.col("id").alias("key"), F.sha2(E.raw_metadata_json(), 256).alias("digest"), "signature").distinct()
+
+
+def claim_digests(claims: claims_.Claims) -> DataFrame:
+    """The same of claims, whose signature covers the text that their id hashes."""
+    return claims.rows.select(F.col("id").alias("key"), F.col("id").alias("digest"), "signature").distinct()
+
+
+def document_signatures(documents: DataFrame, keys: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Signatures of evidence and claims: ``documents`` (key, digest, signature) against local keys (fingerprint, public_key) and what a
+    verifier found for digests (digest, valid)."""
+    rows = _signature_reasons(documents, "fingerprint", "digest", keys, outcomes, "unknown key")
+    unsigned = F.when(F.coalesce("signature", F.lit("")) == "", F.lit("unsigned")).otherwise(F.col("reason"))
+    return violations(rows, 14, "key", unsigned)
 
 
 def foreign_signatures(occurrences: DataFrame, peer_keys: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -155,7 +176,7 @@ def projection_determinism(recorded: DataFrame, rebuilt: DataFrame) -> DataFrame
 
 def no_laundering(occurrences: DataFrame, identities: DataFrame, cls: Column | None = None) -> DataFrame:
     imported = occurrences.where(F.col("attestor_role") == "federated_importer")
-    known = identities.select(F.col("id").alias("identity_id"), "predicate")
+    known = identities.select(F.col("id").alias("identity_id"), "predicate").dropDuplicates(["identity_id"])  # a fact may be stored twice
     rows = imported.select("id", "log_id", "identity_id").join(known, "identity_id", "left")
     cls = X.vocab_class("predicate") if cls is None else cls
     reason = F.when(F.col("predicate").isNull(), F.lit("names an unknown fact")).when(
@@ -229,7 +250,7 @@ def reverification(identities: DataFrame, payloads: DataFrame, results: DataFram
     """What can be checked of verified facts without a verifier: evidence, bundle and digests resolve.
     The verifier's own outcome comes from ``results`` (bundle_id, verified, reason, certificate
     subject); a fact without one is reported as ``not_run``. ``payloads``: (id, body)."""
-    wanted = identities.where(F.col("predicate") == "cryptographically_verified_signature_by").select("id", "evidence_id")
+    wanted = identities.where(F.col("predicate") == "cryptographically_verified_signature_by").select("id", "evidence_id").dropDuplicates(["id"])
     ids = wanted.select("evidence_id").distinct()
     # a body is reduced to what is asked of it in the scan; no shuffle carries the bytes
     narrow = payloads.select(
@@ -269,7 +290,7 @@ ANCHOR = "transparency_log_records_checkpoint"
 
 def anchored_checkpoints(identities: DataFrame, payloads: DataFrame) -> DataFrame:
     """Anchors with the checkpoint they name: (id, subject, body found, cp struct)."""
-    anchors = identities.where(F.col("predicate") == ANCHOR).select("id", "subject")
+    anchors = identities.where(F.col("predicate") == ANCHOR).select("id", "subject").dropDuplicates(["id"])
     anchors = anchors.withColumn(
         "checkpoint_id", F.when(F.col("subject").startswith("checkpoint:"), F.substr("subject", F.lit(12)))
     )
@@ -283,10 +304,14 @@ def anchor_outcomes(identities: DataFrame, payloads: DataFrame, chain: DataFrame
     """(id, subject, log_id, seq, outcome) of every anchor, ``ok`` included."""
     rows = anchored_checkpoints(identities, payloads).withColumn("log_id", F.col("cp.log_id")).withColumn("seq", F.col("cp.seq"))
     chain = chain.join(rows.select("log_id").distinct(), "log_id", "left_semi")  # only logs that an anchor names
-    at = chain.groupBy("log_id", "seq").agg(F.max("chain_hash").alias("there"))
-    logs = chain.groupBy("log_id").agg(F.lit(True).alias("has_log"))
-    broken = chain_integrity(chain).groupBy("log_id").agg(F.lit(True).alias("broken"))
-    rows = rows.join(logs, "log_id", "left").join(broken, "log_id", "left").join(at, ["log_id", "seq"], "left")
+    # one row per position, from which both what stands there and whether its log holds together follow
+    at = cut(chain.groupBy("log_id", "seq").agg(
+        F.max("chain_hash").alias("chain_hash"), F.max("prev_chain_hash").alias("prev_chain_hash"), F.max("occurrence_id").alias("occurrence_id"), F.count(F.lit(1)).alias("copies")))
+    before = at.select("log_id", (F.col("seq") + 1).alias("seq"), F.col("chain_hash").alias("before"))
+    judged = at.join(before, ["log_id", "seq"], "left").withColumn("reason", _chain_reason(F.col("before"), F.col("before").isNotNull(), F.col("copies")))
+    logs = judged.groupBy("log_id").agg(F.lit(True).alias("has_log"), F.max(F.when(F.col("reason").isNotNull(), True)).alias("broken"))
+    there = at.where(F.col("seq").isNotNull()).select("log_id", "seq", F.col("chain_hash").alias("there"))
+    rows = rows.join(logs, "log_id", "left").join(there, ["log_id", "seq"], "left")
     outcome = (
         F.when(F.col("checkpoint_id").isNull(), F.lit("malformed subject"))
         .when(F.col("found").isNull(), F.lit("checkpoint missing"))

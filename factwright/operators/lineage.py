@@ -54,8 +54,10 @@ def fact_dossier(identities: DataFrame, occurrences: DataFrame, raw: DataFrame)
     counts = occurrences.groupBy(F.col("identity_id").alias("id")).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min("ingested_at").alias("first_seen")
     )
-    evidence = raw.select(F.col("id").alias("evidence_id"), "source", "endpoint", "fetched_at", "fetcher", "payload_path")
-    rows = identities.join(counts, "id", "left").join(evidence, "evidence_id", "left")
+    # facts and sidecars may be stored more than once: the one with the least path counts, as in a projection
+    about = ("source", "endpoint", "fetched_at", "fetcher", "payload_path")
+    evidence = raw.groupBy(F.col("id").alias("evidence_id")).agg(F.min_by(F.struct(*about), F.struct("payload_path", "endpoint")).alias("e")).select("evidence_id", "e.*")
+    rows = identities.dropDuplicates(["id"]).join(counts, "id", "left").join(evidence, "evidence_id", "left")
     n = F.coalesce("occurrences", F.lit(0))
     return rows.select(
         "id", "subject", "predicate", X.render_object("object").alias("object"), "observed_at", "normalizer", "vocab",
@@ -68,7 +70,7 @@ def occurrence_dossier(occurrences: DataFrame, identities: DataFrame) -> DataFra
     facts = identities.select(
         F.col("id").alias("identity_id"), "subject", "predicate", X.render_object("object").alias("object"),
         "observed_at", "normalizer", "evidence_id",
-    )
+    ).dropDuplicates(["identity_id"])
     return occurrences.join(facts, "identity_id", "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factwright.functions.envelopes import split_normalizer
 from factwright.operators.policy import dependency_edges
+from factwright.operators.skew import spread_join
 from factwright.session import cut
 
 
@@ -22,7 +23,8 @@ def neighbourhood(facts: DataFrame, subjects: DataFrame, depth: int = 1) -> Data
     edges = dependency_edges(facts).select(F.col("subject").alias("member"), F.col("object").alias("next"))
     frontier = found
     for hop in range(1, depth + 1):
-        reached = frontier.join(edges, "member").select("subject", F.col("next").alias("member")).distinct()
+        # a popular dependency is the member of many subjects
+        reached = spread_join(frontier, edges, "member").select("subject", F.col("next").alias("member")).distinct()
         frontier = reached.join(found, ["subject", "member"], "left_anti").withColumn("hops", F.lit(hop))
         if depth > 1:
             frontier = cut(frontier)
@@ -67,7 +69,7 @@ def consumed_facts(facts: DataFrame, policies, subjects: DataFrame | None = None
     deep = _policy_names(policies, 1)
     if deep:
         edges = dependency_edges(own).select(F.col("subject").alias("root"), F.col("object").alias("subject"))
-        near = facts.join(spark.createDataFrame(deep, schema), "predicate").join(edges, "subject")
+        near = spread_join(edges, facts.join(spark.createDataFrame(deep, schema), "predicate"), "subject")
         out = out.unionByName(near.drop("subject").withColumnRenamed("root", "subject").select(*cols))
     return out
 

@@ -179,9 +179,10 @@ def evaluate(p: P.Projection, policies=G.BUILT_IN, subjects: DataFrame | None =
 
 def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame | None = None, claims: C.Claims | None = None,
           projection: P.Projection | None = None, recorded: DataFrame | None = None, policies=G.BUILT_IN,
-          evaluator: str = C.EVALUATOR, results: DataFrame | None = None, outcomes: DataFrame | None = None, subject_scoped: bool = False) -> tuple[DataFrame, DataFrame]:
+          evaluator: str = C.EVALUATOR, results: DataFrame | None = None, outcomes: DataFrame | None = None, subject_scoped: bool = False, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(violations, summary) of every check its inputs allow. Checks whose input is not given do not
-    run and do not appear in the summary as passed."""
+    run and do not appear in the summary as passed. ``outcomes`` (id, valid) are a verifier's findings on events, ``signed``
+    (digest, valid) those on sidecars and claims."""
     local = F.col("is_local")
     local_events, foreign_events = store.occurrences.where(local), store.occurrences.where(~local)
     resolved = evidence.resolved_evidence(store.raw, store.payloads)
@@ -204,6 +205,10 @@ def audit(store: Store, *, keys: DataFrame | None = None, peer_keys: DataFrame |
         outcomes = local_events.sparkSession.createDataFrame([], "id string, valid boolean")
     if keys is not None:
         found[2] = A.occurrence_ids(local_events).unionByName(A.occurrence_signatures(local_events, keys, outcomes))
+        if signed is not None:
+            documents = A.evidence_digests(store.raw)
+            documents = documents if claims is None else documents.unionByName(A.claim_digests(claims))
+            found[14] = found[14].unionByName(A.document_signatures(documents, keys, signed))
     if peer_keys is not None:
         found[11] = A.foreign_signatures(foreign_events, peer_keys, outcomes)
     if claims is not None:
@@ -234,7 +239,7 @@ def import_peer(peer: Store, home: Store, peer_log_id: str, local_log_id: str, n
     verifications with the events that record them, and its records as evidence. ``peer_keys`` (log_id, public_key) and
     ``outcomes`` (id, valid), a verifier's findings, decide on signatures: what does not verify, or was not tried, is
     in ``rejects``. Write the parts only if that is empty."""
-    new = FED.drop_known(peer.occurrences.where("is_local"), home.occurrences)
+    new = cut(FED.drop_known(peer.occurrences.where("is_local"), home.occurrences))
     known_heads = append.heads(home.chain.where(F.col("malformed").isNull()))
     rejects = FED.validate_foreign(peer.identities.drop("ordinal"), new, peer_log_id, local_log_id).unionByName(
         FED.foreign_continuity(new, known_heads.where(F.col("log_id") == peer_log_id))
@@ -269,15 +274,17 @@ def commit_import(spark: SparkSession, peer_root: str, home_root: str, peer_log_
     if revocations is not None:
         late = FED.revoked_peer_occurrences(found.foreign_occurrences, revocations)
         refused.append(late.select(F.lit("event").alias("kind"), F.col("id").alias("key"), F.lit("recorded after its peer was revoked").alias("reason")))
-    rejects, summary = cut(union_all(refused)), cut(found.summary)
-    if not rejects.isEmpty():
-        return rejects, summary, None
+    if found.foreign_occurrences.isEmpty() and fresh.isEmpty():
+        refused = refused[1:]  # nothing is new, so there is nothing of the peer's to judge
+    rejects = cut(union_all(refused))
+    if found.foreign_occurrences.isEmpty() and fresh.isEmpty() or not rejects.isEmpty():
+        return rejects, found.summary, None
     facts = found.identities.select(*schemas.IDENTITY.names).unionByName(found.reports.select(*schemas.IDENTITY.names))
     facts = cut(facts.dropDuplicates(["id"]).join(home.identities.select("id"), "id", "left_anti"))
     manifest = sinks.commit(
         spark, home_root, f"{now.replace(':', '')}-import-{peer_log_id.replace(':', '_')}", identities=facts, local=cut(found.local_occurrences), foreign=cut(found.foreign_occurrences),
         evidence=_new_evidence(found.evidence, home.raw, fetcher), keys=fresh.withColumn("error", F.lit(None).cast("string")), unless=_moved(spark, home_root, local_log_id, heads))
-    return rejects, summary, manifest if manifest["parts"] else None
+    return rejects, found.summary, manifest if manifest["parts"] else None
 
 
 def export(store: Store, path: str) -> None:

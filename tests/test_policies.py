@@ -144,3 +144,20 @@ def test_consumed_counts_superseded_rows(spark):
     _, _, facts, _ = store(spark)
     rows = Q.consumed_facts(facts, [G.RELEASE_SIGNING_V1]).where("subject = 'a'")
     assert rows.where(F.col("position") == 1).count() == 1
+
+
+def test_one_dependency_in_a_third_of_the_subjects(spark):
+    """A heavy key is dealt over tasks of near equal size, and no pair is lost or doubled."""
+    from factwright.operators import skew
+
+    many = spark.range(90_000).select(F.concat(F.lit("s"), "id").alias("subject"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000 + 1).alias("member"))
+    few = spark.range(5001).select(F.col("id").alias("member"), F.concat(F.lit("d"), "id").alias("next")).unionByName(
+        spark.range(3).select(F.lit(0).cast("long").alias("member"), F.concat(F.lit("more"), "id").alias("next")))
+    assert [r.member for r in skew.heavy_keys(many, "member").collect()] == [0]
+    got = skew.spread_join(many, few, "member", salts=64)
+    assert got.count() == 60_000 + 30_000 * 4 and got.distinct().count() == got.count()
+    assert got.columns == ["member", "subject", "next"]
+    heavy = F.broadcast(skew.heavy_keys(many, "member"))
+    dealt = many.join(heavy, "member", "left").withColumn("salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64("subject", "member"), F.lit(64))).otherwise(0))
+    sizes = sorted(r["count"] for r in dealt.repartition(16, "member", "salt").groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]

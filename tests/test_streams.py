@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def test_identities(spark, tmp_path):
     assert run() == sorted(r[0] for r in X.IDENTITIES)
 
 
+def test_a_batch_opens_only_the_folders_it_names(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ids = spark.range(600).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    ids.withColumn("prefix", F.substring("id", 1, streams.PREFIX)).coalesce(1).write.partitionBy("prefix").parquet(store)
+    files = lambda rows: rows.select(F.input_file_name()).distinct().count()
+    assert files(spark.read.parquet(store)) > 200
+    batch = ids.orderBy("id").limit(3)
+    found = streams.stored_ids(spark, store, batch)
+    assert files(found) <= 3 and found.join(batch, "id").count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "prefix" in plan
+
+
 def events(spark, n=40, logs=3):
     rows = [(E_ID % i, "a", "observer", f"2026-01-01T00:{i // 60:02}:{i % 60:02}Z", f"log:{i % logs}") for i in range(n)]
     return spark.createDataFrame(rows, "identity_id string, attestor string, attestor_role string, ingested_at string, log_id string")
@@ -74,7 +88,7 @@ def test_chain_audit(spark, tmp_path):
     found = str(tmp_path / "found")
     for late in (True, False):
         rows.where((F.col("seq") > 5) == F.lit(late)).coalesce(1).write.mode("append").parquet(source)
-        audit = streams.stream_chain_audit(spark.readStream.schema(rows.schema).parquet(source))
+        audit = streams.stream_chain_audit(spark.readStream.schema(rows.schema).parquet(source), patience=None)
         q = audit.writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "cp")).start()
         q.processAllAvailable()
         q.stop()
@@ -103,6 +117,50 @@ def test_chain_audit_reports_gaps(spark, tmp_path):
     assert got == want
 
 
+def test_runs_keep_their_ends_only():
+    """Lines in any order, some absent, changed or repeated: what is found in the end follows from the lines alone."""
+    rng = random.Random(4)
+    for _ in range(60):
+        head, lines = streams.GENESIS, {}
+        for seq in range(1, 40):
+            occurrence = f"{rng.getrandbits(256):064x}"
+            lines[seq] = (head, occurrence, streams.link(head, occurrence))
+            head = lines[seq][2]
+        for seq in rng.sample(range(1, 40), 4):
+            k = rng.randrange(3)
+            lines[seq] = tuple("0" * 64 if i == k else v for i, v in enumerate(lines[seq]))
+        for seq in rng.sample(range(1, 39), rng.randrange(8)):
+            del lines[seq]
+        order, runs, repeated = list(lines), streams.Runs(0, streams.GENESIS, {}), []
+        rng.shuffle(order)
+        for n, seq in enumerate(order):
+            runs.add(seq, *lines[seq])
+            if n % 9 == 4:  # a line comes again
+                repeated.append(seq)
+                runs.add(seq, *lines[seq])
+            runs = rng.random() < 0.3 and _reloaded(runs) or runs
+        gaps = sum(s - 1 not in lines for s in lines if s > 1) + (1 not in lines)
+        assert len(runs.runs) <= gaps
+        while runs.give_up():
+            pass
+        want = [(s, "seq repeated") for s in repeated]
+        for s, (prev, occurrence, got) in lines.items():
+            before = streams.GENESIS if s == 1 else lines[s - 1][2] if s - 1 in lines else None
+            if before is None:
+                want.append((s, "seq gap"))
+            elif prev != before:
+                want.append((s, "prev_chain_hash mismatch"))
+            elif streams.link(prev, occurrence) != got:
+                want.append((s, "chain_hash mismatch"))
+        assert sorted(runs.found) == sorted(want)
+
+
+def _reloaded(runs):
+    again = streams.Runs(runs.seq, runs.hash, dict(runs.runs))
+    again.found = runs.found
+    return again
+
+
 def test_chain_forms_agree(spark):
     rows = chain(spark, 200).where(F.col("seq") % 31 != 0)
     rows = rows.unionByName(rows.where(F.col("seq") % 11 == 0))
