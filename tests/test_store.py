@@ -13,7 +13,7 @@ from factwright.functions import envelopes as E
 from factwright.operators import append, audit as A, claims as C, federation as FED, lineage as L, normalize as N, policy as G, projection as P
 from factwright.plans import jobs
 from factwright.session import cut
-from factwright.sources import config, evidence, logs, sinks
+from factwright.sources import commits, config, evidence, logs, sinks
 from tests import fixtures as X
 
 LOG = "log:home"
@@ -228,6 +228,35 @@ def test_import_refuses(spark, tmp_path):
     assert sinks.write_verbatim(broken, None, out).count() > 0 and not os.path.exists(out)
 
 
+def test_a_commit_takes_effect_with_its_manifest(spark, tmp_path):
+    root = str(tmp_path / "store")
+    facts = spark.createDataFrame([r for r in X.IDENTITIES], schemas.IDENTITY)
+    with pytest.raises(ValueError, match="moved"):
+        sinks.commit(spark, root, "one", identities=facts, unless=lambda: "moved")
+    assert commits.committed(spark, root) == [] and jobs.open_store(spark, root, LOG).identities.count() == 0
+    assert sinks.commit(spark, root, "one", identities=facts, local=None)["parts"] == {"identities": len(X.IDENTITIES)}
+    assert jobs.open_store(spark, root, LOG).identities.count() == len(X.IDENTITIES)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.commit(spark, root, "one", identities=facts)
+    assert sinks.commit(spark, root, "none", identities=facts.limit(0))["parts"] == {} and len(commits.committed(spark, root)) == 1
+
+
+def test_checkpoints_and_anchors_are_stored_with_their_evidence(spark, root):
+    s = jobs.open_store(spark, root, LOG)
+    signatures = spark.createDataFrame([(LOG, "ed25519:a:AAAA")], "log_id string, signature string")
+    iri = jobs.checkpoint(s, "2026-04-01T00:00:00Z", signatures, "me").first().iri
+    s = jobs.open_store(spark, root, LOG)
+    anchors = spark.createDataFrame(
+        [(iri, "rekor:x", '{"a":1}', "2026-04-02T00:00:00Z"), ("checkpoint:" + "0" * 64, "rekor:x", '{"b":1}', "2026-04-02T00:00:00Z")],
+        "checkpoint_iri string, provider_iri string, response string, recorded_at string")
+    refused = jobs.record_anchors(s, anchors, "2026-04-03T00:00:00Z", "ingestor:t:f", LOG).collect()
+    assert [(r.key, r.reason) for r in refused] == [("checkpoint:" + "0" * 64, "checkpoint not in raw evidence")]
+    again = jobs.open_store(spark, root, LOG)
+    assert again.identities.where(F.col("subject") == iri).count() == 1
+    # the anchor's facts resolve, and nothing but what no verifier has run for is wrong
+    assert {(r.check_no, r.reason) for r in jobs.audit(again)[0].collect() if r.check_no != 8} == set()
+
+
 def test_nquads_export(spark, root, tmp_path):
     s = jobs.open_store(spark, root, LOG)
     out = str(tmp_path / "nq")
