@@ -105,7 +105,8 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 def op8(spark, sf):
     path = new_folder(spark, "warc")
     archive.write(archive.records(table(spark, sf, "pages")), path)
-    found = archive.parse(archive.read(spark, path))
+    archive.export(archive.read(spark, path), f"{path}/files", "gzip")
+    found = archive.resolve(archive.load(spark, f"{path}/files"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -164,7 +165,9 @@ h AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
 o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, *, substr(role, 1, 1) AS initial,
-    NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM d),
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM d),
 f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS dup, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM o),
 g AS (SELECT *, blank OR dup AS dead, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM f),
 s AS (SELECT c, 0::BIGINT AS i, '000000000' AS k0, NULL::VARCHAR AS k1, '000000003I' AS k2, '000000006II' AS k3 FROM (SELECT DISTINCT c FROM g)

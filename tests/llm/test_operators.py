@@ -1,5 +1,8 @@
 """Each numbered operator on odd rows, on empty tables and against a plain version or its SQL in DuckDB."""
 
+import base64
+import gzip
+import hashlib
 import os
 import random
 import zlib
@@ -276,6 +279,40 @@ def test_archive_round_trip(spark, odd, tmp_path):
         assert text[head + n : head + n + 4] == b"\r\n\r\n"
         at, seen = head + n + 4, seen + 1
     assert seen == len(PAGES)
+    for name, how in (("files", {}), ("packed", {"compression": "gzip", "per_file": 2})):
+        if how:
+            archive.export(back, str(tmp_path / name), **how)
+        loaded = archive.load(spark, str(tmp_path / name))
+        assert sorted(bytes(r.header) for r in loaded.collect()) == sorted(bytes(r.header) for r in back.collect())
+        assert sorted((r.payload.decode() for r in loaded.where("length(payload) > 0").collect())) == sorted(["<p>x</p>", "é" * 70_000, "é" * 70_000, "<p>X</p>"])
+        assert rows(archive.resolve(loaded)) == sorted((tuple(r) for r in got), key=str)
+
+
+def test_archive_files_with_borders_in_payloads_and_ids_as_text(spark, tmp_path):
+    """Payloads that look like records, url lines that would break a header, text ids and one member of gzip per record."""
+    text = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = [(f"p{i:02}", "u\r\nContent-Length: 0", text * (i // 3)) for i in range(9)]
+    archive.write(archive.records(spark.createDataFrame(pages, "page_id string, url string, html string")), str(tmp_path / "a"))
+    archive.export(archive.read(spark, str(tmp_path / "a")), str(tmp_path / "files"), per_file=1)
+    (tmp_path / "members").mkdir()
+    parts = [(tmp_path / "files" / f).read_bytes() for f in os.listdir(tmp_path / "files") if f.startswith("part")]
+    (tmp_path / "members" / "all.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts))
+    for name in ("files", "members"):
+        got = archive.resolve(archive.load(spark, str(tmp_path / name))).collect()
+        assert sorted((r.record_type, r.payload_bytes) for r in got) == sorted(("response" if i % 3 == 2 else "revisit", len(text) * (i // 3)) for i in range(9))
+        assert all(r.payload_digest == base64.b32encode(hashlib.sha1((text * (r.payload_bytes // len(text))).encode()).digest()).decode() for r in got)
+
+
+def test_archive_files_that_are_broken(spark, tmp_path):
+    archive.write(archive.records(spark.createDataFrame(PAGES, "page_id long, url string, html string")), str(tmp_path / "a"))
+    archive.export(archive.read(spark, str(tmp_path / "a")).coalesce(1), str(tmp_path / "files"))
+    whole = next((tmp_path / "files" / f).read_bytes() for f in os.listdir(tmp_path / "files") if f.startswith("part"))
+    lost = whole.replace(b"WARC-Refers-To: <urn:page:2>", b"WARC-Refers-To: <urn:page:9>")
+    for name, data, why in (("cut", whole[:-9], "no WARC record"), ("changed", whole.replace(b"<p>X</p>", b"<p>Y</p>"), "payload differs"), ("lost", lost, "no response")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        with pytest.raises(Exception, match=why):
+            archive.resolve(archive.load(spark, str(tmp_path / name))).collect()
 
 
 def test_archive_notices_a_changed_payload(spark, tmp_path):
