@@ -2,7 +2,7 @@
 
 A fingerprint is the least hash of the KGRAM-word runs in a window of SPAN words. Every span of SPAN words that a text
 shares with a benchmark item therefore has an equal fingerprint on both sides, and neighbouring windows mostly
-share one. The fingerprints of the benchmark go into a bit table of fixed size; windows of a document whose
+share one. The fingerprints of the benchmark go into a bit table whose size follows their number up to a bound; windows of a document whose
 fingerprint is in it become rows, are extended to the exact words and joined with the benchmark's windows by those, so
 that neither chance nor the size of the table decides a hit. An item of fewer than SPAN words is one window and
 its own fingerprint; documents are searched for runs of its length.
@@ -13,15 +13,15 @@ repeated rows get equal results."""
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factwright.llm import words as W
 from factwright.llm.common import in_arrow, row_key, without
 from factwright.session import cut
 
 KGRAM, SPAN = 5, 10
-TABLE_BITS = 1 << 24  # 2 MB, whatever the size of the benchmark
-_LAST = np.uint64(TABLE_BITS - 1)
+TABLE_BITS = 1 << 24, 1 << 28  # of 2 to 32 MB, with room for SPARSE bits a window; beyond 16 million windows more chance hits become rows
+SPARSE = 16
 
 
 def _least(h: np.ndarray) -> np.ndarray:
@@ -61,18 +61,20 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 def _table(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     """The bit table of all fingerprints, and the lengths of windows shorter than SPAN. Bits are merged in Spark; at
-    most TABLE_BITS / 64 rows and SPAN lengths come to the driver."""
-    bit = F.col("fingerprint").bitwiseAND(F.lit(TABLE_BITS - 1))
+    most a row for 64 bits and SPAN lengths come to the driver."""
+    least, most = TABLE_BITS
+    bits = min(max(least, 1 << (SPARSE * windows.count() - 1).bit_length()), most)
+    bit = F.col("fingerprint").bitwiseAND(F.lit(bits - 1))
     cells = windows.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(fingerprint & 63 as int))")).alias("bits"))
     found = cells.toPandas()
-    out = np.zeros(TABLE_BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     short = [r.n for r in windows.where(F.col("n") < SPAN).select("n").distinct().collect()]
     return out, short
 
 
 def _in(table: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    b = prints & _LAST
+    b = prints & np.uint64(64 * len(table) - 1)
     return (table[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -138,13 +140,12 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataF
 
 def spans(exact: DataFrame) -> DataFrame:
     """Hits extended to maximal spans: per document key an array of (at, end) in words, and n_hit, the words in them."""
-    sorted_hits = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end"))))
-    start = "array(struct(hits[0].at as at, hits[0].end as end))"
-    merged = f"""aggregate(hits, {start}, (s, x) -> if(x.at <= element_at(s, -1).end,
-        concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).at as at, greatest(element_at(s, -1).end, x.end) as end))),
-        concat(s, array(struct(x.at as at, x.end as end)))))"""
-    out = exact.groupBy("key").agg(sorted_hits.alias("hits")).select("key", F.expr(merged).alias("spans"))
-    return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.at)"))
+    one = Window.partitionBy("key").orderBy("at", "end")
+    before = F.max("end").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    hits = exact.select("key", "at", (F.col("at") + F.col("n")).alias("end")).distinct()
+    begun = hits.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(one))
+    found = begun.groupBy("key", "span").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("spans"), F.sum(F.col("end") - F.col("at")).alias("n_hit"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
