@@ -10,8 +10,8 @@ among good texts of that length; a document's log weight is ``SHARP`` times the
 target in both views.
 
 The raw model counts every document. The target model uses at most ``SAMPLE`` labelled rows in expectation, drawn by the hash of
-their ids; a fifth of them are held out, and k is the number of documents whose key is above the cut that best tells
-good from bad held-out rows, a lost good one counting ``LOSS`` times. The k-th largest key is found by counts over ranges of
+their ids; a fifth of them are held out, and k is the number of documents whose log weight, without noise, is above the cut that best tells
+good from bad held-out rows, a lost good one counting ``LOSS`` times. Which k documents are drawn is up to the noise too. The k-th largest key is found by counts over ranges of
 keys, refined where k falls, so that nothing is sorted or collected.
 
 Defined cases: null, empty and wordless texts have the weight of a text of length 1 without evidence; without good or bad
@@ -185,10 +185,10 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     views = [spread(held.loc[good, f"w{i}"].to_numpy(), held.loc[good, f"n{i}"].to_numpy()) for i in range(2)]
     scored = sums.withColumn("log_weight", log_weight(views)).withColumn("draw", F.col("log_weight") + gumbel())
     scored = cut(scored.select("doc_id", "key", F.col("n0").alias("n_words"), "log_weight", "draw"))
-    draws = scored.join(held_out, "doc_id").select("good", "draw").toPandas()
-    good = draws["good"] == 1
-    least = best_cut(draws.loc[good, "draw"].to_numpy(), draws.loc[~good, "draw"].to_numpy())
-    k = scored.where(F.col("draw") >= F.lit(least)).count()
+    weights = scored.join(held_out, "doc_id").select("good", "log_weight").toPandas()
+    good = weights["good"] == 1
+    least = best_cut(weights.loc[good, "log_weight"].to_numpy(), weights.loc[~good, "log_weight"].to_numpy())
+    k = scored.where(F.col("log_weight") >= F.lit(least)).count()
     return scored.withColumn("kept", top(scored, k))
 
 
