@@ -198,6 +198,34 @@ def test_resampling_of_odd_rows_and_ties(spark, odd):
         assert df.where(resample.top(df, k)).count() == want
 
 
+def test_draws_follow_the_weights(spark):
+    """Gumbel top-k is drawing without replacement: with weights 1 and 4, the share of each class in the draw is that of successive draws."""
+    d = spark.range(20_000).select(F.xxhash64("id").alias("key"), (F.col("id") % 2 * float(np.log(4))).alias("log_weight"))
+    d = d.withColumn("draw", F.col("log_weight") + resample.gumbel())
+    for k in (1_000, 8_000, 15_000):
+        drawn = {r[0]: r[1] for r in d.where(resample.top(d, k)).groupBy("log_weight").count().collect()}
+        light, heavy = (drawn[w] for w in sorted(drawn))
+        assert light + heavy == k
+        u = 1 - light / 10_000  # each draws at its own time: what is left of the heavy is the fourth power of what is left of the light
+        assert 1 - heavy / 10_000 == pytest.approx(u**4, abs=0.02)
+
+
+def test_number_drawn_is_apart_from_the_draws(spark):
+    rng = random.Random(4)
+    good, bad = [f"g{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(2000):
+        share = rng.random()  # of the bad words; half way between both, texts are alike in weight
+        docs.append((i, " ".join(rng.choice(bad if rng.random() < share else good) for _ in range(40))))
+        labels.append((i, int(share < 0.5), 0))
+    got = resample.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).toPandas()
+    ranked = got.sort_values("draw", ascending=False)
+    k = int(got["kept"].sum())
+    assert 0 < k < 2000 and ranked["kept"].tolist() == [True] * k + [False] * (2000 - k)
+    by_weight = set(got.sort_values("log_weight", ascending=False)["doc_id"][:k])
+    assert 0 < len(by_weight - set(got.loc[got["kept"], "doc_id"])) < k / 4  # the noise decides near the cut
+
+
 def test_language_of_held_out_documents(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language.held_out())
     got = language.predict(docs, *language.learn(docs.where("not held_out"))).join(docs.select("doc_id", "lang", "held_out"), "doc_id").where("held_out").collect()
@@ -366,6 +394,24 @@ def test_windows_of_repeated_rows_and_short_items(spark, odd):
     assert all(r.n_hit == by[1].n_hit for r in got if r.doc_id == 2)
 
 
+def test_many_spans_in_a_long_text(spark):
+    n = 60_000
+    docs = [(1, " ".join(f"hit w{i}" for i in range(n))), (2, "hit hit it is a hit"), (3, "a b c d e f g h i j k l m hit")]
+    items = spark.createDataFrame([(1, "hit"), (2, "a b c d e f g h i j k"), (3, "it is")], "item_id long, text string")
+    got = {r.doc_id: r for r in winnow.report(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert [tuple(s) for s in got[1].spans] == [(2 * i, 2 * i + 1) for i in range(n)] and got[1].n_hit == n
+    assert [tuple(s) for s in got[2].spans] == [(0, 4), (5, 6)] and got[2].n_hit == 5 and got[2].items == ["1", "3"]
+    assert [tuple(s) for s in got[3].spans] == [(0, 11), (13, 14)] and got[3].n_hit == 12
+
+
+@pytest.mark.parametrize("bits", [(64, 64), (64, 1 << 20)])
+def test_size_of_the_table_decides_no_hit(spark, odd, monkeypatch, bits):
+    docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = rows(winnow.report(docs.select("doc_id", "text"), items))
+    monkeypatch.setattr(winnow, "TABLE_BITS", bits)
+    assert rows(winnow.report(docs.select("doc_id", "text"), items)) == want
+
+
 def test_spans_are_extended_and_every_shared_span_is_found(spark):
     rng = random.Random(4)
     item = [f"q{i}" for i in range(40)]
