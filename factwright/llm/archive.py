@@ -59,7 +59,7 @@ def write(found: DataFrame, path: str) -> None:
     """Headers and payloads of ``records``, each payload once."""
     found.select("page_id", "address", "header", "record_type").write.parquet(f"{path}/headers")
     # copies of one payload are folded before they are shuffled; the bytes themselves are no key
-    found.groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    found.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
