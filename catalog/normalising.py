@@ -175,7 +175,7 @@ def checkpoints(spark, sf):
 def undeclared_predicate(spark, sf):
     """A vocabulary with only the predicates that parts and suppliers need."""
     names = spark.createDataFrame([(n,) for n in ("depends_on", "published_at", "published_by", "affected_by")], "predicate string")
-    return V.undeclared_predicate(store.table(spark, sf, "lines"), names).select("id", "predicate")
+    return V.undeclared_predicate(store.lines_once(spark, sf), names).select("id", "predicate")
 
 
 @query("vocabulary_not_superset", sql("""SELECT 'v'||(n+1) AS version, predicate, reason FROM (SELECT a.n, a.predicate, CASE WHEN b.predicate IS NULL THEN 'dropped' WHEN a.kind<>b.kind THEN 'changed' END AS reason
