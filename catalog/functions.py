@@ -209,7 +209,7 @@ def identity_violations(spark, sf):
     WHEN event_id%3=0 THEN 'log_id is required' WHEN event_id%2=0 THEN 'prev_chain_hash is required' END AS reason FROM occ""", "occ"))
 def occurrence_violations(spark, sf):
     k = F.col("event_id")
-    rows = store.table(spark, sf, "occurrences").withColumn("identity_id", F.when(k % 7 == 0, F.lit("abc")).otherwise(F.col("identity_id"))).withColumn(
+    rows = store.occurrences_once(spark, sf).withColumn("identity_id", F.when(k % 7 == 0, F.lit("abc")).otherwise(F.col("identity_id"))).withColumn(
         "attestor", F.when(k % 5 == 0, F.lit("")).otherwise(F.col("attestor"))).withColumn("log_id", F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("log_id"))).withColumn(
         "prev_chain_hash", F.when(k % 2 == 0, F.lit("")).otherwise(F.col("prev_chain_hash")))
     return rows.select("id", checks.occurrence_violation().alias("reason"))
