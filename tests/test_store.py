@@ -431,3 +431,27 @@ def test_landed_sources(spark):
 def test_policy_folder_hashes(spark):
     folder = spark.createDataFrame([("release_signing", "v2", "h2")], "name string, version string, policy_hash string")
     assert [p.policy_hash for p in jobs.with_hashes(G.BUILT_IN, folder)] == ["", "h2", ""]
+
+
+def test_files_follow_the_rows_and_not_the_logs(spark, tmp_path):
+    """Many logs of many days lie in a few files; folders of one log, as they were written before, are read beside them."""
+    rows = spark.range(200).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("identity_id"), F.lit("a").alias("attestor"), F.lit("observer").alias("attestor_role"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'").alias("ingested_at"),
+        F.concat(F.lit("log:a_b:\t%"), (F.col("id") % 40).cast("string")).alias("log_id"))
+    built = cut(append.append_occurrences(rows))
+    folder = str(tmp_path / "assertions" / "occurrences")
+    sinks.append_occurrences(built, f"{folder}/foreign")
+    assert sum(not n.startswith((".", "_")) for _, _, names in os.walk(folder) for n in names) < 40
+    alone = f"{folder}/foreign/log=log_alone"
+    os.makedirs(alone)
+    line = "\t".join(("1", "0" * 64, "a" * 64, "b" * 64))
+    open(f"{alone}/part-0.txt", "w").write(line + "\n")
+    found = {(r.log_id, r.is_local) for r in logs.discover_logs(spark, str(tmp_path), LOG).collect()}
+    assert found == {(r.log_id, False) for r in built.select("log_id").distinct().collect()} | {("log:alone", False)}
+    events, missing = logs.read_occurrences(spark, str(tmp_path), LOG)
+    names = ["log_id", "seq", "id", "identity_id", "prev_chain_hash", "chain_hash", "ingested_at", "attestor", "attestor_role"]
+    assert sorted(map(tuple, events.select(names).collect())) == sorted(map(tuple, built.select(names).collect()))
+    assert [(r.log_id, r.occurrence_id) for r in missing.collect()] == [("log:alone", "a" * 64)]
+    chain = logs.read_chain(spark, str(tmp_path), LOG)
+    assert chain.where("malformed IS NOT NULL").count() == 0 and A.chain_integrity(chain.where("log_id <> 'log:alone'"), 10).count() == 0
