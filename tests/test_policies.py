@@ -161,3 +161,16 @@ def test_one_dependency_in_a_third_of_the_subjects(spark):
     dealt = many.join(heavy, "member", "left").withColumn("salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64("subject", "member"), F.lit(64))).otherwise(0))
     sizes = sorted(r["count"] for r in dealt.repartition(16, "member", "salt").groupBy(F.spark_partition_id()).count().collect())
     assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_long_tables_are_written_only_for_what_reads_them(spark, monkeypatch):
+    """Claims of which only the rows are read leave no table of their facts or evidence."""
+    from catalog import audits, lineage
+    from factwright.plans import store
+
+    monkeypatch.setattr(store, "_written", {})
+    monkeypatch.setattr(store, "_named", lambda sf: "rows_alone")
+    sf = "/root/testdata/sf0.001"
+    for query in (lineage.subject_claims, audits.audit_claim_signatures):
+        assert query(spark, sf).count() > 0
+    assert {name for _, _, name in store._written if name.startswith("claims_")} == {"claims_rows"}
